@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, sharding
+from tessera.llm import bpe, chat, packing, sharding
 from tessera.llm.common import table
 
 # Fixed value: the probe conversation of the chat query.
@@ -19,12 +20,20 @@ def op2_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_target_examples(turns.unionByName(probe)))
 
 
+def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_splitters(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_prefix_target, op10_sampled_splitters)}
+    return {f.__name__: f for f in (op2_prefix_target, op6_merge_replay, op9_hilbert_packing, op10_sampled_splitters)}
 
 
 def oracle_sql() -> dict[str, str]:
