@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import encode_block, merges_of
 from tessera.llm.common import stored, text_or_empty
 from tessera.llm.ranges import sampled_ranges
 
@@ -76,17 +77,21 @@ def _grid(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Tokens:
-    """Token ids of the given vocabulary; texts the fast encoder refuses go to the slow one."""
+    """Token ids of the given vocabulary; a text on which the fast encoder gives up goes through merge replay."""
 
     def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.table = table
+        self.table, self.pattern = table, pattern
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        try:
+            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        except (ValueError, RuntimeError):  # its pattern engine runs out of stack on very long runs
+            block = encode_block([text], merges_of(self.table), self.pattern)
+            return np.concatenate([np.zeros(0, np.int32), *(block.of_word(w) for w in block.documents[0])]).astype(np.uint32)
 
 
 def _tokenized(batches: Iterator[pd.DataFrame], ranks, pattern: str, end_id: int) -> Iterator[pd.DataFrame]:
