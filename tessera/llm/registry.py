@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, packing, sharding
+from tessera.llm import bpe, chat, packing, sharding, vector_dedup, vector_search
 from tessera.llm.common import table
 
 # Fixed value: the probe conversation of the chat query.
@@ -20,10 +20,18 @@ def op2_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_target_examples(turns.unionByName(probe)))
 
 
+def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -33,7 +41,8 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_prefix_target, op6_merge_replay, op9_hilbert_packing, op10_sampled_splitters)}
+    built = (op2_prefix_target, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op9_hilbert_packing, op10_sampled_splitters)
+    return {f.__name__: f for f in built}
 
 
 def oracle_sql() -> dict[str, str]:
