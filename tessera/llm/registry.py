@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, packing, sharding, vector_dedup, vector_search
+from tessera.llm import bpe, chat, ngram_join, packing, sharding, vector_dedup, vector_search
 from tessera.llm.common import table
 
 # Fixed value: the probe conversation of the chat query.
@@ -32,6 +32,10 @@ def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_links(table(spark, sf_dir, "embeddings"))
 
 
+def op8_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_groups(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -41,7 +45,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    built = (op2_prefix_target, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op9_hilbert_packing, op10_sampled_splitters)
+    built = (op2_prefix_target, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op8_vertical_join, op9_hilbert_packing, op10_sampled_splitters)
     return {f.__name__: f for f in built}
 
 
