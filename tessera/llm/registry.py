@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, ngram_join, packing, sharding, vector_dedup, vector_search
+from tessera.llm import bpe, chat, ngram_join, packing, sharding, substring_dedup, vector_dedup, vector_search
 from tessera.llm.common import table
 
 # Fixed value: the probe conversation of the chat query.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
@@ -45,7 +49,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    built = (op2_prefix_target, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op8_vertical_join, op9_hilbert_packing, op10_sampled_splitters)
+    built = (op1_suffix_array, op2_prefix_target, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op8_vertical_join, op9_hilbert_packing, op10_sampled_splitters)
     return {f.__name__: f for f in built}
 
 
