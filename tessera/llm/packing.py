@@ -23,7 +23,7 @@ from tessera.llm.ranges import sampled_ranges
 DIMENSIONS = 4
 BITS = 15
 #: Tokens of a range; a range is what one task orders and packs.
-RANGE_TOKENS = 16 << 20
+RANGE_TOKENS = 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

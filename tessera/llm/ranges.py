@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed bounds of what the driver holds.
-MAX_RANGES = 4096
-SAMPLES_PER_RANGE = 24
+MAX_RANGES = 65536
+SAMPLES_PER_RANGE = 8
 #: Splitter intervals are looked up through this many equal slices of the first key.
 SLICE_BITS = 12
 
