@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, ngram_join, packing, sharding, substring_dedup, vector_dedup, vector_search
+from tessera.llm import bpe, chat, html_extraction, ngram_join, packing, quality, sharding, substring_dedup, vector_dedup, vector_search
 from tessera.llm.common import table
 
 # Fixed value: the probe conversation of the chat query.
@@ -24,6 +24,15 @@ def op2_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_target_examples(turns.unionByName(probe)))
 
 
+def op3_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings"))
 
@@ -49,7 +58,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    built = (op1_suffix_array, op2_prefix_target, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op8_vertical_join, op9_hilbert_packing, op10_sampled_splitters)
+    built = (op1_suffix_array, op2_prefix_target, op3_dom_boosting, op4_co_training, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op8_vertical_join, op9_hilbert_packing, op10_sampled_splitters)
     return {f.__name__: f for f in built}
 
 
