@@ -79,8 +79,29 @@ def _fragment_counts(words: int, fragments: int):
     return run
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of each class in this fragment, how many n-grams some other class also has."""
+def _shared(buckets: int):
+    """A fragment -> for each bucket of classes one row: class keys, and how many n-grams some other class also has."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, found = _twins(pdf)
+        bucket = keys % buckets
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [(b, keys[order[a:z]].tobytes(), found[order[a:z]].tobytes()) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if z > a]
+        return pd.DataFrame(rows, columns=["b", "keys", "found"])
+
+    return run
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The counts of all fragments, added up per class."""
+    keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
+    found = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["found"]])
+    kinds, number = np.unique(keys, return_inverse=True)
+    return pd.DataFrame({"key8": kinds, "shared": np.bincount(number, weights=found).astype(np.int64)})
+
+
+def _twins(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
     grams = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["grams"]])
@@ -98,7 +119,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     twin[:-1] |= same
     found = np.bincount(owner[order[twin]], minlength=len(kinds))
     some = found > 0
-    return pd.DataFrame({"key8": kinds[some], "shared": found[some]})
+    return kinds[some], found[some].astype(np.int64)
 
 
 def _sets(words: int):
@@ -191,7 +212,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     # 1. what every class shares with others, fragment by fragment
     fragments = 1 << max(4, (2 * partitions(spark) - 1).bit_length())
     blocks = rows.select("text").mapInPandas(_fragment_counts(words, fragments), "f int, keys binary, counts binary, grams binary")
-    shared = blocks.groupBy("f").applyInPandas(_shared, "key8 long, shared long").groupBy("key8").agg(F.sum("shared").alias("shared"))
+    shared = blocks.groupBy("f").applyInPandas(_shared(fragments), "b int, keys binary, found binary")
+    shared = shared.groupBy("b").applyInPandas(_summed, "key8 long, shared long")
     numbered = classes.mapInPandas(_eight, "c long, n long, key8 long")
     left = stored(numbered.join(shared, "key8").filter(F.col("shared") * den >= F.col("n") * num).select("c", "n"), "left")
     # 2. the sets of the classes left; n-grams of one class only can't be shared and drop out
