@@ -314,3 +314,47 @@ def repeat_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("spans", F.lit(0))).alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
+
+
+def _trim(data: bytes, lo: int, hi: int) -> tuple[int, int]:
+    """The span less what it holds of code points that stick out of it."""
+    while lo < hi and data[lo] & 0xC0 == 0x80:
+        lo += 1
+    while hi > lo and hi < len(data) and data[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return lo, hi
+
+
+def cut_text(text: str, starts: np.ndarray, ends: np.ndarray) -> str:
+    """text without the union of the byte spans, whole code points only."""
+    data = text.encode("utf-8", "surrogatepass")
+    kept, at = [], 0
+    for lo, hi in zip(*(x.tolist() for x in merge_spans(starts, ends))):
+        lo, hi = _trim(data, lo, hi)
+        kept.append(data[at:lo])
+        at = hi
+    kept.append(data[at:])
+    return b"".join(kept).decode("utf-8", "surrogatepass")
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with repeats (see repeated_spans) cut out of their texts; all rows and columns stay.
+
+    A code point of which only part is a repeat stays. A text that is a repeat as a whole becomes empty; null texts and rows
+    without id stay as they are.
+    """
+    described, spans = repeated_spans(docs, length, id_col, text_col)
+    copies = described.filter((F.col("id") > F.col("rep")) & (F.col("n_bytes") >= length))
+    spans = spans.unionByName(copies.select("id", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    by_doc = spans.groupBy("id").agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends")).withColumnRenamed("id", "_span_id")
+    joined = docs.join(by_doc, F.col(id_col).cast("long") == F.col("_span_id"), "left").drop("_span_id")
+    fields = docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf[text_col] = [
+                t if a is None or t is None else cut_text(t, np.asarray(a, np.int64), np.asarray(z, np.int64)) for t, a, z in zip(pdf[text_col], pdf["_starts"], pdf["_ends"])
+            ]
+            yield pdf[fields]
+
+    return joined.mapInPandas(run, docs.schema)
