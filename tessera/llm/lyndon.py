@@ -7,8 +7,12 @@ previous-smaller pointers, into its group. No suffix is ever renamed recursively
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
+#: Longer texts keep their tables in packed arrays, which are a little slower and far smaller than lists.
+PACK = 1 << 18
+
 
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Order of the suffixes of text; a shorter suffix precedes a longer one that begins with it."""
@@ -24,19 +28,21 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     for c in text:
         counts[c] += 1
     at = 1
-    size = {0: 1}  # by a group's first place in the order, which is also its name
-    top = [0] * n  # a group's name by its last place
+    table = (lambda x: array("q", x)) if n > PACK else list
+    size = table([0]) * n  # by a group's first place in the order, which is also its name
+    size[0] = 1
+    top = table([0]) * n  # a group's name by its last place
     for c in symbols:
         start[c] = at
         members[at] = []
         size[at] = counts[c]
         at += counts[c]
         top[at - 1] = start[c]
-    group = [start[c] for c in text]
+    group = table([start[c] for c in text])
     group.append(0)
     for i in range(n - 1):
         members[group[i]].append(i)
-    prev = [-1] * n
+    prev = table([-1]) * n
     end = n
     while end > 0:
         g = top[end - 1]
@@ -98,9 +104,9 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                 for p in own:
                     group[p] = new
     # phase 2
-    order = [0] * n
+    order = table([0]) * n
     order[0] = n - 1
-    free = list(range(n))
+    free = table(range(n))
     placed = bytearray(n)
     placed[n - 1] = 1
     for i in range(n):
@@ -111,4 +117,4 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             free[g] += 1
             placed[s] = 1
             s = prev[s]
-    return order[1:]
+    return list(order[1:])

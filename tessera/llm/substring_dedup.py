@@ -6,8 +6,9 @@ Sorting all suffixes of a corpus is out of proportion to what repeats, so suffix
    hashes are counted in fragments of the hash order; only anchors that two different texts share go on.
 2. Each such anchor sends its context - all bytes of the strings that can hold it - to the bucket of its hash. Equal contexts
    are kept once, with their smallest document.
-3. A bucket sorts the suffixes of its contexts (lyndon.suffix_array). Neighbours in that order with `length` equal bytes form
-   a group; the group's smallest document tells which of its strings are repeats.
+3. An anchor's contexts are narrowed to what can agree with another of them; a bucket sorts the suffixes of what is left
+   (lyndon.suffix_array). Neighbours in that order with `length` equal bytes form a group; the group's smallest document
+   tells which of its strings are repeats.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ _STEP = 0x9E3779B97F4A7C15
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all GRAM-byte strings (GRAM is a power of two): halves are joined again and again."""
+    """64-bit hashes of all GRAM-byte strings of the last axis (GRAM is a power of two), by joining halves."""
     h, step, size = _BYTES[b], _STEP, 1
     while size < GRAM:
-        h = h[:-size] * np.uint64(step) + h[size:]
+        h = h[..., :-size] * np.uint64(step) + h[..., size:]
         step, size = step * step % (1 << 64), 2 * size
     return mixed(h)
 
@@ -135,18 +136,18 @@ def _contexts(length: int, bits: int):
     width = before + after
 
     def emit(parts: list[tuple]):
-        h, ids, start, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        rows = np.concatenate([p[4] for p in parts])
+        h, ids, start, size, off = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        rows = np.concatenate([p[5] for p in parts])
         f = (h >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(f, kind="stable")
         edges = np.searchsorted(f[order], np.arange((1 << bits) + 1))
         for i in range(1 << bits):
             own = order[edges[i] : edges[i + 1]]
             if len(own):
-                yield i, h[own].tobytes(), ids[own].tobytes(), start[own].tobytes(), size[own].tobytes(), rows[own].tobytes()
+                yield i, h[own].tobytes(), ids[own].tobytes(), start[own].tobytes(), size[own].tobytes(), off[own].tobytes(), rows[own].tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["f", "h", "ids", "start", "size", "bytes"]
+        columns = ["f", "h", "ids", "start", "size", "off", "bytes"]
         parts, held = [], 0
         for pdf in batches:
             for i, t, grams in zip(pdf["id"], pdf["text"], pdf["grams"]):
@@ -160,7 +161,7 @@ def _contexts(length: int, bits: int):
                 lo, hi = np.maximum(0, at - before), np.minimum(len(b), at + after)
                 place = lo[:, None] + np.arange(width)
                 rows = np.where(place < hi[:, None], b[np.minimum(place, len(b) - 1)], 0).astype(np.uint8)
-                parts.append((h, np.full(len(at), i, np.int64), lo, (hi - lo).astype(np.uint8), rows))
+                parts.append((h, np.full(len(at), i, np.int64), lo, (hi - lo).astype(np.uint8), (at - lo).astype(np.uint8), rows))
                 held += rows.size
                 if held > BLOCK_BYTES:
                     yield pd.DataFrame(emit(parts), columns=columns)
@@ -201,55 +202,118 @@ def smallest_owner(contexts: list[bytes], owners: np.ndarray, length: int) -> li
     return out
 
 
+def _agreement(h: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """How many bytes each row of sides has in common, from its start, with the row of equal h that agrees longest."""
+    joined = np.ascontiguousarray(np.concatenate([h.astype(">u8")[:, None].view(np.uint8).reshape(len(h), 8), sides], axis=1))
+    order = np.argsort(joined.view(f"V{joined.shape[1]}").ravel(), kind="stable")
+    ranked = joined[order]
+    differ = ranked[1:] != ranked[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), joined.shape[1]) - 8
+    best = np.maximum(np.r_[0, common], np.r_[common, 0])
+    out = np.empty(len(h), np.int64)
+    out[order] = np.maximum(best, 0)
+    return out
+
+
+def _recurs(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether a context holds its anchor's gram more than once."""
+    out = np.zeros(len(h), bool)
+    for a in range(0, len(h), 4096):
+        out[a : a + 4096] = (_grams(rows[a : a + 4096]) == h[a : a + 4096, None]).sum(axis=1) > 1
+    return out
+
+
+def narrowed(h: np.ndarray, off: np.ndarray, size: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part [start, end) of each context that can agree with another one of its anchor.
+
+    A string that holds the gram once can only match a context at the gram; it then lies within the longest agreement to the
+    left and to the right. Contexts with the gram more than once are taken whole.
+    """
+    side = length - GRAM
+    step = np.arange(side)
+    right = off[:, None] + GRAM + step
+    right = np.where(right < size[:, None], np.take_along_axis(rows, np.minimum(right, rows.shape[1] - 1), axis=1), 0)
+    left = off[:, None] - 1 - step
+    left = np.where(left >= 0, np.take_along_axis(rows, np.maximum(left, 0), axis=1), 0)
+    a = off - np.minimum(off, _agreement(h, left.astype(np.uint8)))
+    z = np.minimum(size, off + GRAM + _agreement(h, right.astype(np.uint8)))
+    whole = _recurs(h, rows)
+    return np.where(whole, 0, a), np.where(whole, size, z)
+
+
 def _repeats(length: int):
     """A bucket's contexts -> (id, start, end) of bytes that a document with a smaller id also has."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, ids, start = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("h", np.uint64), ("ids", np.int64), ("start", np.int64)))
-        size = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["size"]]).astype(np.int64)
+        size, off = (np.concatenate([np.frombuffer(x, np.uint8) for x in pdf[c]]).astype(np.int64) for c in ("size", "off"))
         width = 2 * length - GRAM
         rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in pdf["bytes"]])
-        joined = np.concatenate([h.astype(">u8")[:, None].view(np.uint8).reshape(len(h), 8), size.astype(np.uint8)[:, None], rows], axis=1)
-        kinds, first, number = np.unique(np.ascontiguousarray(joined).view(f"V{joined.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        least = np.full(len(kinds), np.iinfo(np.int64).max)
+        small = np.stack([size, off], axis=1).astype(np.uint8)
+        joined = np.ascontiguousarray(np.concatenate([h.astype(">u8")[:, None].view(np.uint8).reshape(len(h), 8), small, rows], axis=1))
+        kinds, first, number = np.unique(joined.view(f"V{joined.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        n_kinds = len(kinds)
+        del joined, kinds
+        least = np.full(n_kinds, np.iinfo(np.int64).max)
         np.minimum.at(least, number, ids)
         later = (ids > least[number]) & (size >= length)  # the whole context is in an earlier document
         out = [(ids[later], start[later], start[later] + size[later])]
         # kinds are sorted by hash: an anchor's contexts lie side by side, and one alone has nothing to be sorted against
-        hash_of = h[first]
-        new = np.r_[True, hash_of[1:] != hash_of[:-1]]
-        edges = np.r_[np.flatnonzero(new), len(kinds)]
-        several = np.flatnonzero(np.diff(edges) > 1)
-        place = {}
-        for i in np.flatnonzero(ids == least[number]).tolist():
-            place.setdefault(int(number[i]), []).append(i)
-        batch: list[int] = []
-        held = 0
-
-        def sort() -> None:
-            contexts = [rows[first[k], : size[first[k]]].tobytes() for k in batch]
-            for k, owner in zip(batch, smallest_owner(contexts, least[batch], length)):
-                hit = np.flatnonzero(owner < least[k])
-                if len(hit) == 0:
-                    continue
-                cut = np.flatnonzero(np.diff(hit) > 1)
-                a, z = hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]] + length
-                for i in place[k]:
-                    out.append((np.full(len(a), ids[i]), start[i] + a, start[i] + z))
-
-        for g in several.tolist():
-            batch += range(edges[g], edges[g + 1])
-            held += int(size[first[edges[g] : edges[g + 1]]].sum())
-            if held > SORT_BYTES:
-                sort()
-                batch, held = [], 0
-        if batch:
-            sort()
+        new = np.r_[True, h[first][1:] != h[first][:-1]]
+        group = np.cumsum(new) - 1
+        own = np.flatnonzero(np.bincount(group)[group] > 1)
+        if len(own):
+            at = first[own]
+            a, z = narrowed(h[at], off[at], size[at], rows[at], length)
+            fits = z - a >= length
+            own, a, z = own[fits], a[fits], z[fits]
+            firsts = np.flatnonzero(ids == least[number])
+            firsts = firsts[np.argsort(number[firsts], kind="stable")]
+            found = _sorted_groups(group[own], [rows[first[k], i:j].tobytes() for k, i, j in zip(own.tolist(), a.tolist(), z.tolist())], least[own], length)
+            for x, lo, hi in found:
+                k = own[x]
+                b, e = np.searchsorted(number[firsts], [k, k + 1])
+                for i in firsts[b:e].tolist():
+                    out.append((np.full(len(lo), ids[i]), start[i] + a[x] + lo, start[i] + a[x] + hi))
         return pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("id", "start", "end"))})
 
     return run
 
 
+def _sorted_groups(group: np.ndarray, texts: list[bytes], owners: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number, starts, ends) of the strings of each text that a smaller owner also has; a group is sorted together.
+
+    Equal texts of a group are one for the sorting, with their smallest owner.
+    """
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+    batch: list[dict[bytes, list[int]]] = []
+    held = 0
+
+    def sort() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        members = [own for kinds in batch for own in kinds.values()]
+        least = np.array([owners[own].min() for own in members])
+        for own, owner in zip(members, smallest_owner([texts[own[0]] for own in members], least, length)):
+            for x in own:
+                hit = np.flatnonzero(owner < owners[x])
+                if len(hit):
+                    cut = np.flatnonzero(np.diff(hit) > 1)
+                    yield x, hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]] + length
+
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        if hi - lo < 2:
+            continue
+        kinds: dict[bytes, list[int]] = {}
+        for x in range(lo, hi):
+            kinds.setdefault(texts[x], []).append(x)
+        batch.append(kinds)
+        held += sum(map(len, kinds))
+        if held > SORT_BYTES:
+            yield from sort()
+            batch, held = [], 0
+    if batch:
+        yield from sort()
+
+
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of [start, end)."""
     order = np.argsort(starts, kind="stable")
@@ -279,7 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     flags = shared.groupBy("key8").agg(F.collect_list("gram").alias("grams"))
     key8 = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
     flagged = flags.join(classes.withColumn("key8", key8), "key8").select(F.col("rep").alias("id"), "grams")
-    contexts = rows.join(flagged, "id").mapInPandas(_contexts(length, bits), "f int, h binary, ids binary, start binary, size binary, bytes binary")
+    contexts = rows.join(flagged, "id").mapInPandas(_contexts(length, bits), "f int, h binary, ids binary, start binary, size binary, off binary, bytes binary")
     spans = contexts.groupBy("f").applyInPandas(_repeats(length), "id long, start long, end long")
     return described, stored(spans, "spans")
 
