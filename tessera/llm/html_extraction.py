@@ -15,14 +15,13 @@ from html import escape
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import dom
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import stored, text_or_empty
 
 #: Documented bounds of the fit: source pages drawn from the table, and training pages made of them.
 SOURCE_PAGES = 400
@@ -297,31 +296,32 @@ def _paragraphs(source: str) -> list[str]:
     return [t for _, t in dom.read(source).blocks if len(t) > 40]
 
 
-def training_rows(sources: list[str], pages: int = TRAINING_PAGES, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the elements of generated pages."""
-    rng = random.Random(seed)
+def training_rows(sources: list[str], seeds: Iterator[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of the elements of one generated page for each seed."""
     pools = [p for p in map(_paragraphs, sources) if p] or [["No page of this table has any text, so this one stands in for it."]]
-    xs, ys = [], []
-    for _ in range(pages):
+    for seed in seeds:
+        rng = random.Random(seed)
         own = rng.choice(pools)
         k = min(len(own), rng.choice([1, 2, 3, 5, 8, 12]))
         page = dom.read(training_page(rng.sample(own, k), rng.choice(pools), rng))
         y = labels_of(page)
-        xs.append(features(page)[y >= 0])
-        ys.append(y[y >= 0])
-    return np.concatenate(xs), np.concatenate(ys)
+        yield features(page)[y >= 0], y[y >= 0]
 
 
-def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", seed: int = 5) -> Forest:
-    """Fit the trees on at most SOURCE_PAGES pages of the table, drawn by hash (a bound, not a share)."""
+def fit(pages: DataFrame, html_col: str = "html", seed: int = 5) -> Forest:
+    """Fit the trees on TRAINING_PAGES pages made from at most SOURCE_PAGES of the table, drawn by hash (a bound, not a share)."""
     spark = pages.sparkSession
     drawn = pages.filter(F.col(html_col).isNotNull()).select(F.xxhash64(F.col(html_col)).alias("h"), F.col(html_col).alias("html"))
-    sources = [r[1] for r in drawn.orderBy("h").limit(SOURCE_PAGES).collect()]
-    x, y = training_rows(sources, seed=seed)
-    frame = pa.table({"x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), "label": y.astype(float)})
-    rows = spark.createDataFrame(frame).select(array_to_vector("x").alias("features"), "label").coalesce(2).cache()
+    shipped = spark.sparkContext.broadcast([r[1] for r in drawn.orderBy("h").limit(SOURCE_PAGES).collect()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, y = zip(*training_rows(shipped.value, [seed * 1_000_003 + int(i) for i in pdf["id"]]))
+            yield pd.DataFrame({"x": list(np.concatenate(x)), "label": np.concatenate(y).astype(float)})
+
+    made = stored(spark.range(0, TRAINING_PAGES, 1, 6).mapInPandas(run, "x array<double>, label double"), "training")
+    rows = made.select(array_to_vector("x").alias("features"), "label").coalesce(4)
     model = GBTClassifier(maxIter=50, maxDepth=4, stepSize=0.3, minInstancesPerNode=10, subsamplingRate=0.8, seed=seed, featuresCol="features").fit(rows)
-    rows.unpersist()
     return forest_of(model.toDebugString)
 
 
@@ -355,6 +355,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null or empty html, and pages without article, give an empty text. Null ids and urls are handed through; repeated rows
     give a row each; other columns are ignored. Without a forest, one is fitted on the table's own pages.
     """
-    forest = forest or fit(pages, html_col, id_col)
+    forest = forest or fit(pages, html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
     return rows.mapInPandas(_extracted(forest), "page_id long, url string, text string, n_chars long")
