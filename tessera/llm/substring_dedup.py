@@ -44,7 +44,7 @@ def _grams(b: np.ndarray) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of anchors: each run of length - GRAM + 1 grams has one with the run's smallest hash."""
+    """Positions and names (hashes) of anchors: each run of length - GRAM + 1 grams has one with the run's smallest hash."""
     width = length - GRAM + 1
     if len(b) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -71,7 +71,7 @@ def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
                 i = max(j, i + 1)
                 keep[i] = True
         at = at[keep]
-    return at, h[at]
+    return at, mixed(h[at])  # anchors have small hashes, and buckets need even ones
 
 
 def _key8(data: bytes) -> int:
@@ -219,7 +219,7 @@ def _recurs(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Whether a context holds its anchor's gram more than once."""
     out = np.zeros(len(h), bool)
     for a in range(0, len(h), 4096):
-        out[a : a + 4096] = (_grams(rows[a : a + 4096]) == h[a : a + 4096, None]).sum(axis=1) > 1
+        out[a : a + 4096] = (mixed(_grams(rows[a : a + 4096])) == h[a : a + 4096, None]).sum(axis=1) > 1
     return out
 
 
@@ -368,7 +368,7 @@ def repeat_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     described, spans = repeated_spans(docs, length, id_col, text_col)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     by_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = rows.join(by_doc, "id").mapInPandas(_cut, "id long, removed long, spans long, kept string")
+    cut = rows.join(by_doc, "id").mapInPandas(_cut, "id long, removed long, spans long, kept string").dropDuplicates(["id"])
     whole = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= length)
     joined = described.join(cut, "id", "left")
     return joined.select(
