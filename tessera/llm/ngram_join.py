@@ -212,7 +212,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     # 1. what every class shares with others, fragment by fragment
     fragments = 1 << max(4, (2 * partitions(spark) - 1).bit_length())
     blocks = rows.select("text").mapInPandas(_fragment_counts(words, fragments), "f int, keys binary, counts binary, grams binary")
-    shared = blocks.groupBy("f").applyInPandas(_shared(fragments), "b int, keys binary, found binary")
+    shared = blocks.groupBy("f").applyInPandas(_shared(max(16, fragments // 8)), "b int, keys binary, found binary")
     shared = shared.groupBy("b").applyInPandas(_summed, "key8 long, shared long")
     numbered = classes.mapInPandas(_eight, "c long, n long, key8 long")
     left = stored(numbered.join(shared, "key8").filter(F.col("shared") * den >= F.col("n") * num).select("c", "n"), "left")
