@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, text_or_empty
 
 #: Documented bounds of the fit: labelled rows, and unlabelled rows that may get pseudo-labels.
-LABELLED_ROWS = 4000
-POOL_ROWS = 3000
+LABELLED_ROWS = 3000
+POOL_ROWS = 2000
 ROUNDS = 4
 #: In a round a view hands over its surest share of the pool, as long as it is at least so sure.
 SHARE, SURE = 0.05, 0.98
@@ -217,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = sample["label"].to_numpy(float)
     content = _dense([(np.asarray(a, int), np.asarray(v)) for a, v in zip(sample["at"], sample["value"])])
     meta = np.array(sample["meta"].tolist(), float).reshape(len(sample), -1)
+    del sample
     own = ~np.isnan(y)
     if not 0 < y[own].sum() < own.sum():
         return None
