@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,8 +131,8 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key8": owner[kept], "gram": (np.int64(pdf["f"].iloc[0]) << 32) | grams[kept].astype(np.int64)})
 
 
-def _contexts(length: int, bits: int):
-    """Texts with their shared anchors -> for each bucket one row: hashes, ids, positions, lengths and context bytes."""
+def _contexts(length: int, counted_bits: int, bits: int):
+    """Texts with their shared anchors -> for each bucket one row: hashes, ids, positions, lengths and packed context bytes."""
     before, after = length - GRAM, length
     width = before + after
 
@@ -141,10 +142,12 @@ def _contexts(length: int, bits: int):
         f = (h >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(f, kind="stable")
         edges = np.searchsorted(f[order], np.arange((1 << bits) + 1))
+        pack = zstandard.ZstdCompressor(level=3).compress
         for i in range(1 << bits):
             own = order[edges[i] : edges[i + 1]]
+            own = own[np.argsort(h[own], kind="stable")]  # contexts of one anchor follow each other and pack well
             if len(own):
-                yield i, h[own].tobytes(), ids[own].tobytes(), start[own].tobytes(), size[own].tobytes(), off[own].tobytes(), rows[own].tobytes()
+                yield i, h[own].tobytes(), ids[own].tobytes(), start[own].tobytes(), size[own].tobytes(), off[own].tobytes(), pack(rows[own].tobytes())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["f", "h", "ids", "start", "size", "off", "bytes"]
@@ -153,7 +156,7 @@ def _contexts(length: int, bits: int):
             for i, t, grams in zip(pdf["id"], pdf["text"], pdf["grams"]):
                 b = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
                 at, h = anchors(b, length)
-                gram = (h >> np.uint64(32 - bits)).astype(np.int64)
+                gram = (h >> np.uint64(32 - counted_bits)).astype(np.int64)
                 own = np.isin(gram, np.asarray(grams, np.int64))
                 at, h = at[own], h[own]
                 if len(at) == 0:
@@ -248,7 +251,8 @@ def _repeats(length: int):
         h, ids, start = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("h", np.uint64), ("ids", np.int64), ("start", np.int64)))
         size, off = (np.concatenate([np.frombuffer(x, np.uint8) for x in pdf[c]]).astype(np.int64) for c in ("size", "off"))
         width = 2 * length - GRAM
-        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in pdf["bytes"]])
+        unpack = zstandard.ZstdDecompressor().decompress
+        rows = np.concatenate([np.frombuffer(unpack(x), np.uint8).reshape(-1, width) for x in pdf["bytes"]])
         small = np.stack([size, off], axis=1).astype(np.uint8)
         joined = np.ascontiguousarray(np.concatenate([h.astype(">u8")[:, None].view(np.uint8).reshape(len(h), 8), small, rows], axis=1))
         kinds, first, number = np.unique(joined.view(f"V{joined.shape[1]}").ravel(), return_index=True, return_inverse=True)
@@ -337,13 +341,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     described = stored(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "described")
     classes = described.groupBy("sha").agg(F.min("id").alias("rep"))
     described = described.join(classes, "sha")
-    bits = max(4, (2 * partitions(spark) - 1).bit_length())
-    counted = rows.select("text").mapInPandas(_counted(length, bits), "f int, keys binary, counts binary, grams binary")
+    counted_bits = max(4, partitions(spark).bit_length() - 1)  # every fragment names a block's texts again
+    bits = counted_bits + 2
+    counted = rows.select("text").mapInPandas(_counted(length, counted_bits), "f int, keys binary, counts binary, grams binary")
     shared = counted.groupBy("f").applyInPandas(_shared, "key8 long, gram long")
     flags = shared.groupBy("key8").agg(F.collect_list("gram").alias("grams"))
     key8 = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
     flagged = flags.join(classes.withColumn("key8", key8), "key8").select(F.col("rep").alias("id"), "grams")
-    contexts = rows.join(flagged, "id").mapInPandas(_contexts(length, bits), "f int, h binary, ids binary, start binary, size binary, off binary, bytes binary")
+    contexts = rows.join(flagged, "id").mapInPandas(_contexts(length, counted_bits, bits), "f int, h binary, ids binary, start binary, size binary, off binary, bytes binary")
     spans = contexts.groupBy("f").applyInPandas(_repeats(length), "id long, start long, end long")
     return described, stored(spans, "spans")
 
