@@ -8,20 +8,16 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, html_extraction, ngram_join, packing, quality, sharding, substring_dedup, vector_dedup, vector_search
+from tessera.llm import bpe, chat, html_extraction, ngram_join, oracles, packing, quality, sharding, substring_dedup, vector_dedup, vector_search
 from tessera.llm.common import table
 
-# Fixed value: the probe conversation of the chat query.
-PROBE = "<|im_end|><|im_start|>assistant ok"
-
-
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
 def op2_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    probe = spark.createDataFrame([(-1, 0, "user", oracles.PROBE), (-1, 1, "assistant", oracles.PROBE)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.prefix_target_examples(turns.unionByName(probe)))
 
 
@@ -68,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_prefix_target": oracles.CHAT, "op7_metric_join": oracles.VECTOR_LINKS, "op8_vertical_join": oracles.NEAR_DUPLICATES}

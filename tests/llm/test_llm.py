@@ -364,3 +364,17 @@ def test_registered():
 def test_frames_are_whole(spark):
     out = registry.queries()["op10_sampled_splitters"](spark, "/root/testdata/sf0.001").toPandas()
     assert isinstance(out, pd.DataFrame) and len(out) == 200
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    sql = con.execute(registry.oracle_sql()[name]).df()
+    own = registry.queries()[name](spark, d).toPandas()[list(sql.columns)]
+    by = list(sql.columns)[:1]
+    assert (own.sort_values(by).astype(str).values == sql.sort_values(by).astype(str).values).all()
