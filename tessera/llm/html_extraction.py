@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import dom
-from tessera.llm.common import stored, text_or_empty
+from tessera.llm.common import bounded_draw, stored, text_or_empty
 
 #: Documented bounds of the fit: source pages drawn from the table, and training pages made of them.
 SOURCE_PAGES = 400
@@ -308,11 +308,11 @@ def training_rows(sources: list[str], seeds: Iterator[int]) -> Iterator[tuple[np
         yield features(page)[y >= 0], y[y >= 0]
 
 
-def fit(pages: DataFrame, html_col: str = "html", seed: int = 5) -> Forest:
+def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", seed: int = 5) -> Forest:
     """Fit the trees on TRAINING_PAGES pages made from at most SOURCE_PAGES of the table, drawn by hash (a bound, not a share)."""
     spark = pages.sparkSession
-    drawn = pages.filter(F.col(html_col).isNotNull()).select(F.xxhash64(F.col(html_col)).alias("h"), F.col(html_col).alias("html"))
-    shipped = spark.sparkContext.broadcast([r[1] for r in drawn.orderBy("h").limit(SOURCE_PAGES).collect()])
+    known = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    shipped = spark.sparkContext.broadcast([r["html"] for r in bounded_draw(known, "id", SOURCE_PAGES, seed).collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -355,6 +355,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null or empty html, and pages without article, give an empty text. Null ids and urls are handed through; repeated rows
     give a row each; other columns are ignored. Without a forest, one is fitted on the table's own pages.
     """
-    forest = forest or fit(pages, html_col)
+    forest = forest or fit(pages, html_col, id_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
     return rows.mapInPandas(_extracted(forest), "page_id long, url string, text string, n_chars long")
