@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, text_or_empty
+from tessera.llm.common import bounded_draw, stored, text_or_empty
 
 #: Documented bounds of the fit: labelled rows, and unlabelled rows that may get pseudo-labels.
 LABELLED_ROWS = 3000
@@ -207,11 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("lid")).agg(F.max(label_col).cast("double").alias("label"))
     rows = _rows(docs, id_col, text_col)
-    order = F.xxhash64("id", F.lit(23))
     ids = rows.select("id").filter("id is not null").distinct()
     # the drawn ids first: texts are read for them only
-    some = ids.join(known, ids["id"] == known["lid"]).select("id", "label").orderBy(order, "id").limit(labelled)
-    rest = ids.join(known, ids["id"] == known["lid"], "left_anti").select("id", F.lit(None).cast("double").alias("label")).orderBy(order, "id").limit(pool)
+    some = bounded_draw(ids.join(known, ids["id"] == known["lid"]).select("id", "label"), "id", labelled, 23)
+    rest = ids.join(known, ids["id"] == known["lid"], "left_anti").select("id", F.lit(None).cast("double").alias("label"))
+    rest = bounded_draw(rest, "id", pool, 23)
     drawn = stored(some.unionByName(rest), "drawn")
     sample = rows.join(F.broadcast(drawn), "id").mapInPandas(_described, "label double, at array<int>, value array<float>, meta array<double>").toPandas()
     y = sample["label"].to_numpy(float)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_draw, stored
 from tessera.llm.components import connected_components, union_find
 from tessera.llm.vectors import matrix, unit, usable_rows
 
@@ -74,7 +74,7 @@ def _pivots(classes: DataFrame, largest: int) -> dict[int, np.ndarray]:
     n = min(MAX_PIVOTS, math.ceil(largest / CELL))
     if n < 2:
         return {}
-    drawn = classes.orderBy(F.xxhash64("rep", F.lit(5)), "rep").select("embedding").limit(n).collect()
+    drawn = bounded_draw(classes, "rep", n, 5).select("embedding").collect()
     by: dict[int, list] = {}
     for (v,) in drawn:
         by.setdefault(len(v), []).append(v)
