@@ -149,8 +149,11 @@ def _prefixes(num: int, den: int):
     return run
 
 
-def _pairs(num: int, den: int):
-    """Posting lists -> pairs of classes in different components that length and signature leave possible."""
+def _pairs(num: int, den: int, each: int | None = None):
+    """Posting lists -> pairs of classes in different components that length and signature leave possible.
+
+    each: only so many partners of a class (the next in size), for a first round that leaves the rest to a later one.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
@@ -165,7 +168,7 @@ def _pairs(num: int, den: int):
                 continue
             total = n[i] + n[j]
             most = total - 2 * -(-num * total // (num + den))  # of n-grams in one set only
-            j = j[np.bitwise_count(sig[j] ^ sig[i]).sum(axis=1) <= most]
+            j = j[np.bitwise_count(sig[j] ^ sig[i]).sum(axis=1) <= most][:each]
             out.append(np.stack([np.full(len(j), c[i]), c[j]]))
         pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"x": pairs.min(axis=0), "y": pairs.max(axis=0)})
@@ -232,14 +235,15 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     cut = sets.select("c", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("f"), "grams")
     cut = cut.select("c", "f", F.expr(f"filter(grams, g -> shiftrightunsigned(g, {shift}) = f)").alias("grams"))
     links = stored(_verified(stars, cut, left, num, den), "links")
-    parts = stored(connected_components(links), "parts").withColumnRenamed("node", "c").withColumnRenamed("component", "comp")
-    # 3b. members of different components
-    known = sets.mapInPandas(_signed, "c long, sig binary").join(parts, "c", "left").select("c", "sig", F.coalesce("comp", "c").alias("comp"))
-    posted = prefixes.join(known, "c")
-    mixed = posted.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
-    pairs = posted.join(mixed, "g").groupBy("g").applyInPandas(_pairs(num, den), "x long, y long").distinct()
-    more = stored(_verified(pairs, cut, left, num, den), "more")
-    component = connected_components(links.unionByName(more))
+    # 3b. members of different components: first one partner each, which joins most of a large group, then all that is left
+    known = stored(sets.mapInPandas(_signed, "c long, sig binary"), "signed")
+    for each in (1, None):
+        parts = stored(connected_components(links), "parts").withColumnRenamed("node", "c").withColumnRenamed("component", "comp")
+        posted = prefixes.join(known.join(parts, "c", "left").select("c", "sig", F.coalesce("comp", "c").alias("comp")), "c")
+        mixed = posted.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
+        pairs = posted.join(mixed, "g").groupBy("g").applyInPandas(_pairs(num, den, each), "x long, y long").distinct()
+        links = stored(links.unionByName(_verified(pairs, cut, left, num, den)), "links")
+    component = connected_components(links)
     keyed = described.join(classes.select("key", "c"), "key", "left").join(component, F.col("c") == F.col("node"), "left")
     return keyed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "c", "id").alias("component_id"))
 
