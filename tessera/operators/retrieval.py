@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialized
+
 #: Questions of a block: what a task holds of them, and what is broadcast at a time.
 QUESTION_BLOCK = 4096
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -110,6 +112,30 @@ def lexical(questions: DataFrame, fragments: DataFrame, k: int, qid: str = "item
     return ranked(scored, k)
 
 
+def holders(questions: DataFrame, fragments: DataFrame, qid: str = "item_id", fid: str = "doc_id") -> DataFrame:
+    """(qid, fid) of every fragment whose text contains the question's, whatever its rank; empty texts have none.
+
+    A question's first and last word may be parts of longer words in a fragment, the pairs between them may not. So fragments
+    are looked up by the rarest of those pairs and then compared; questions without such a pair are compared with all.
+    """
+    def run(batches):
+        for pdf in batches:
+            own = [WORD.findall(t.lower())[1:-1] for t in pdf["item"]]
+            yield pdf.assign(inner=[list(dict.fromkeys(f"{a} {b}" for a, b in zip(t, t[1:]))) for t in own])
+
+    asked = questions.select(F.col(qid).alias("qid"), F.col("text").alias("item")).filter("item != ''")
+    asked = asked.mapInPandas(run, "qid long, item string, inner array<string>")
+    texts = fragments.select(F.col(fid).alias("fid"), F.col("text").alias("body"))
+    own = asked.select("qid", F.explode("inner").alias("pair"))
+    postings = _postings(fragments, fid).select(F.col("id").alias("fid"), F.explode("pairs").alias("pair"))
+    postings = materialized(postings.join(own.select("pair").distinct(), "pair", "left_semi"), "postings")
+    rarest = own.join(postings.groupBy("pair").count(), "pair", "left").groupBy("qid").agg(F.min_by("pair", F.struct(F.coalesce("count", F.lit(0)), "pair")).alias("pair"))
+    found = rarest.join(postings, "pair").select("qid", "fid").distinct()
+    found = found.join(texts, "fid").join(asked.select("qid", "item"), "qid").filter(F.contains("body", "item"))
+    short = asked.filter(F.size("inner") == 0).select("qid", "item").join(texts, F.contains("body", "item"))
+    return found.select("qid", "fid").unionByName(short.select("qid", "fid")).distinct()
+
+
 def reranked(candidates: DataFrame, k: int) -> DataFrame:
     """The k candidates of greatest pair_score; ties keep the candidates' order."""
     order = Window.partitionBy("qid").orderBy(F.desc("pair_score"), "rank")

@@ -169,13 +169,17 @@ def _candidates(spark, d):
     return retrieval.lexical(table(spark, d, "benchmark"), table(spark, d, "documents"), config.DEFAULT.candidates)
 
 
+def _held(spark, d):
+    """(qid, fid, hit) of every document that contains an item, found by retrieval or not."""
+    held = retrieval.holders(table(spark, d, "benchmark"), table(spark, d, "documents"))
+    return materialized(held.withColumn("hit", F.lit(True)), "held")
+
+
 def _top(spark, d):
     """(qid, fid, rank, score, hit) of the reranked candidates and the questions with their category."""
     candidates = materialized(_candidates(spark, d), "candidates")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("fid"), F.col("text").alias("body"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    held = candidates.select("qid", "fid").join(docs, "fid").join(items, "qid").filter(F.contains("body", "item")).select("qid", "fid", F.lit(True).alias("hit"))
-    held = materialized(held, "held")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
+    held = _held(spark, d)
     top = retrieval.reranked(candidates, config.DEFAULT.top_k).join(held, ["qid", "fid"], "left")
     top = top.select("qid", "fid", F.col("final_rank").alias("rank"), F.col("pair_score").alias("score"), F.coalesce("hit", F.lit(False)).alias("hit"))
     known = held.select("qid").distinct().withColumn("known", F.lit(True))
@@ -641,9 +645,7 @@ def compare_encoders(spark, d):
 )
 def compare_rerank(spark, d):
     candidates = materialized(_candidates(spark, d), "candidates")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("fid"), F.col("text").alias("body"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    held = materialized(candidates.select("qid", "fid").join(docs, "fid").join(items, "qid").filter(F.contains("body", "item")).select("qid", "fid", F.lit(True).alias("hit")), "held")
+    held = _held(spark, d)
     dense = candidates.filter("rank <= 4").select(F.lit("dense").alias("run"), "qid", "fid", "rank")
     second = retrieval.reranked(candidates, 4).select(F.lit("reranked").alias("run"), "qid", "fid", F.col("final_rank").alias("rank"))
     runs = dense.unionByName(second).join(held, ["qid", "fid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from tessera import config
 from tessera.operators import evaluation, fragments, gate, pages
+from tessera.plans import catalogue
 from tessera.sources import corpus
 
 
@@ -70,6 +71,23 @@ def test_rebuild_leaves_other_tags(spark, tmp_path):
         raise AssertionError("a foreign tag went through")
 
 
+def _tables(spark, folder, docs, items):
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_item_held_beyond_the_candidates_is_answerable(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon"
+    long_ = " ".join(f"w{i}" for i in range(4000))
+    docs = [(i, f"alpha beta only {i}") for i in range(25)] + [(99, f"{long_} x{item}s {long_}")]
+    d = _tables(spark, tmp_path, docs, [(1, item), (2, "alpha beta nowhere gamma delta"), (3, ""), (4, None), (5, "pha bet")])
+    assert 99 not in {r["fid"] for r in catalogue._candidates(spark, d).filter("qid = 1").collect()}
+    kinds = {r["qid"]: (r["category"], r["hit_rank"]) for r in catalogue.queries()["score_table"](spark, d).collect()}
+    assert kinds == {1: ("respondible", None), 2: ("fuera", None), 3: ("fuera", None), 4: ("fuera", None), 5: ("respondible", None)}
+    assert catalogue.queries()["compare_rerank"](spark, d).first().asDict() == {"questions": 2, "dense": 0.0, "reranked": 0.0}
+
+
 def test_requests(spark):
     rows = [("", None), ("  ", None), ("x" * 1001, None), ("ok", 8), ("ok", 7), (None, None)]
     out = [r["reason"] for r in gate.checked(spark.createDataFrame(rows, "text string, stage int")).collect()]
