@@ -10,12 +10,18 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # HTML's element kinds.
-RAW = frozenset("script style textarea title noscript template iframe svg object canvas math".split())
+RAW = frozenset("script style textarea title".split())
+FOREIGN = frozenset("svg math".split())
+DROPPED = FOREIGN | frozenset("noscript template iframe object canvas".split())
+#: Elements of svg and math that hold HTML.
+HOLDING = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 BLOCK = frozenset(
     "html body main article section nav aside header footer div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table thead tbody"
     " tfoot tr td th caption form fieldset legend label button select option address details summary dialog menu hgroup center hr".split()
 )
-VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
+VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
+#: Tags that svg and math don't have: one of them ends an open svg or math.
+BREAKING = BLOCK | frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
 #: A start of one of these ends an open one of the listed kinds, but not across the listed borders.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -63,6 +69,7 @@ def _naming(attributes: str) -> tuple[tuple[str, ...], bool, str]:
 def read(source: str) -> Page:
     page = Page()
     stack, texts, in_link = [0], [], False
+    dropped: list[str] = []  # open elements from a DROPPED one down
     pos, n = 0, len(source)
 
     def flush() -> None:
@@ -81,13 +88,36 @@ def read(source: str) -> Page:
             if kind in borders:
                 return
 
+    def in_foreign() -> bool:
+        return next((k in FOREIGN for k in reversed(dropped) if k in DROPPED or k in HOLDING), False)
+
+    def goes_on(tag: str, ending: bool, closed: bool) -> bool:
+        """Whether a tag belongs to what is dropped; if not, the dropped part ends before it."""
+        if ending and tag in dropped:
+            del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
+            return True
+        if in_foreign() and tag in BREAKING:
+            while in_foreign():
+                dropped.pop()
+            return bool(dropped) and goes_on(tag, ending, closed)
+        if ending:
+            return not (tag == "head" or (tag == "a" and in_link) or (tag in BLOCK and any(page.tag[i] == tag for i in stack)))
+        if tag == "body" and all(page.tag[i] != tag for i in stack):
+            return False
+        if tag in ENDS and page.tag[stack[-1]] in ENDS[tag][0] and not any(k in ENDS[tag][0] | ENDS[tag][1] for k in dropped):
+            return False
+        if not closed and tag not in VOID:
+            dropped.append(tag)
+        return True
+
     while pos < n:
         m = TOKEN.search(source, pos)
         if m is None:
-            texts.append(source[pos:])
+            if not dropped:
+                texts.append(source[pos:])
             break
         at = m.start()
-        if at > pos:
+        if at > pos and not dropped:
             piece = source[pos:at]
             texts.append(piece)
             if in_link:
@@ -98,10 +128,19 @@ def read(source: str) -> Page:
             continue
         tag = tag.lower()
         ending = source[at + 1] == "/"
-        if tag in RAW and not ending:
+        closed = source[pos - 2] == "/" and not ending
+        if tag in RAW and not ending and not (dropped and in_foreign()):
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
             pos = end.end() if end else n
             continue
+        if dropped:
+            if goes_on(tag, ending, closed):
+                continue
+            dropped.clear()
+        if tag in DROPPED:
+            if not ending and not closed:
+                dropped.append(tag)
+            continue
         if tag == "br":
             texts.append(" ")
         elif tag == "a":

@@ -153,6 +153,22 @@ def test_extraction_of_odd_pages(spark, forest):
 # 4
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<p>one</p><svg viewBox='0 0 1 1'/><p>two</p>", "<p>one</p><math/><p>two</p>", "<p>one</p><iframe src='x'/><p>two</p>",
+        "<p>one</p><svg><path d='M0'><p>two</p>", "<p>one <a href='x'><svg><path d='M0'></a></p><p>two</p>", "<p>one</p><div><object><b>no</b></div><p>two</p>",
+        "<p>one</p><div><canvas>no</div><p>two</p><canvas>no</canvas>", "<p>one</p><div><template><div>no</div></div><p>two</p>",
+        "<p>one</p><svg><title/><style>no</style><foreignObject><p>no</p></foreignObject></svg><p>two</p>", "<p>one</p><noscript><div>no</div></noscript><p>two</p>",
+        "<p>one</p><object><svg><p>no</object><p>two</p>", "<p>one</p><script>'<p>no</p>'</script><p>two</p>",
+    ],
+)
+def test_dropped_elements_end_where_they_should(inner):
+    for head in ("", "<head><noscript><link></head>")[: 1 + ("<object>" in inner)]:
+        page = dom.read(f"<html>{head}<body><article>{inner}</article><p>three</p></body></html>")
+        assert [t for _, t in page.blocks] == ["one", "two", "three"]
+
+
 def test_quality_on_held_out_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
