@@ -149,18 +149,35 @@ def search(
 
     Candidates are all other rows; score is the Euclidean distance in double precision, ties go to the smaller id. A query
     visits the calibrated number of leaves and goes on until they hold more than k rows, so it gets k rows or all there are.
-    Rows without id, null or zero vectors and vectors with null or non-finite components take no part, nor do vectors whose
-    length isn't the commonest one. Repeated rows are candidates each; an id is never its own candidate. An empty table gives
+    Rows without id, null or zero vectors and vectors with null or non-finite components take no part; vectors of different
+    lengths aren't compared. The commonest length and all of more than TASK_ROWS rows have a tree each, the others are searched
+    exactly, one length in a task. Repeated rows are candidates each; an id is never its own candidate. An empty table gives
     an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     fit = usable_rows(vectors, id_col, vector_col)
-    lengths = fit.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
+    size = F.size("embedding")
+    lengths = dict(fit.groupBy(size).count().collect())  # one row a length
+    if not lengths:
         return spark.createDataFrame([], schema)
-    dim, total = lengths
-    fit = fit.filter(F.size("embedding") == dim)
+    commonest = min(lengths, key=lambda d: (-lengths[d], d))
+    treed = [commonest, *sorted(d for d, n in lengths.items() if n > TASK_ROWS and d != commonest)]
+    found = _by_tree(fit.filter(size == commonest), lengths[commonest], every, k, recall)
+    for d in treed[1:]:
+        found = found.unionByName(_by_tree(fit.filter(size == d), lengths[d], every, k, recall))
+    if len(treed) < len(lengths):
+        rest = fit.filter(~size.isin(treed))
+        rows = rest.select("vec_id", "embedding", size.alias("d"))
+        asked = rest.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding"), size.alias("d"))
+        found = found.unionByName(asked.groupBy("d").cogroup(rows.groupBy("d")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_tree(fit: DataFrame, total: int, every: int, k: int, recall: float) -> DataFrame:
+    """query_id, vec_id, score: at least the k nearest found by a tree over rows of one length, before they are ranked."""
+    spark = fit.sparkSession
     share = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE_ROWS / total) * (1 << 30)))
     drawn = [r[0] for r in fit.filter(share).select("embedding").limit(SAMPLE_ROWS + SAMPLE_ROWS // 4).collect()]
     sample = matrix(drawn if drawn else [fit.first()["embedding"]])
@@ -206,6 +223,4 @@ def search(
         .withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
     )
     key = ["leaf", "row_part", "query_part"]
-    found = asked.groupBy(*key).cogroup(rows.select("vec_id", "embedding", *key).groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return asked.groupBy(*key).cogroup(rows.select("vec_id", "embedding", *key).groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")

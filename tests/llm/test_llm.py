@@ -225,6 +225,21 @@ def test_search(vectors):
     assert vector_search.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("task_rows", [10, vector_search.TASK_ROWS])
+def test_search_of_rarer_lengths(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(vector_search, "TASK_ROWS", task_rows)
+    rng = np.random.default_rng(8)
+    x = {i: rng.standard_normal(4 if i < 300 else 7 if i < 420 else 9 if i < 425 else 2).astype(np.float32).tolist() for i in range(426)}
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<float>")
+    got = {}
+    for r in vector_search.search(df, every=20, k=3, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == list(range(0, 426, 20))
+    for q in range(300, 426, 20):
+        gaps = sorted((float(np.square(np.subtract(x[q], x[i], dtype=float)).sum()), i) for i in x if i != q and len(x[i]) == len(x[q]))
+        assert got[q] == [i for _, i in gaps[:3]]
+
+
 @pytest.mark.parametrize("cell", [4000, 60])
 def test_vector_links(vectors, monkeypatch, cell):
     monkeypatch.setattr(vector_dedup, "CELL", cell)
