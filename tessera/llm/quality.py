@@ -7,6 +7,8 @@ other. Their calibrated probabilities are then joined by a third, small model, a
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,14 +30,29 @@ BUCKETS = 1 << 11
 META_BUCKETS = 64
 # The signs that are counted one by one.
 SIGNS = "!?.,;:|*#$%&=_-/\\<>()[]{}\"'@+~^0123456789"
+# Thai and Lao, Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 CONTENT_DIM = BUCKETS + len(SIGNS) + 14
 
 
 def _bucket(word: str, size: int) -> int:
-    h = 0
-    for b in word.encode("utf-8", "surrogatepass")[:24]:
-        h = (h * 31 + b) & 0xFFFFFFFF
-    return (h ^ h >> 15) % size
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
+
+
+def terms(words: list[str], text: str) -> list[str]:
+    """The words; runs of scripts that are written without spaces are cut into pairs of characters."""
+    if text.isascii() or not UNSPACED.search(text):
+        return words
+    out = []
+    for word in words:
+        at = 0
+        for m in UNSPACED.finditer(word):
+            run = m[0]
+            out += [word[at : m.start()]] if at < m.start() else []
+            out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
+            at = m.end()
+        out += [word[at:]] if at < len(word) else []
+    return out
 
 
 class Buckets(dict):
@@ -67,8 +84,9 @@ def content_features(text: str, buckets: Buckets) -> tuple[np.ndarray, np.ndarra
     """Sparse (columns, values): words' shares by bucket, signs' shares, statistics."""
     words = text.split()
     if words:
-        at, n = np.unique(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), return_counts=True)
-        share = np.sqrt(n / len(words))
+        own = terms(words, text)
+        at, n = np.unique(np.fromiter(map(buckets.__getitem__, own), np.int64, len(own)), return_counts=True)
+        share = np.sqrt(n / len(own))
     else:
         at, share = np.zeros(0, np.int64), np.zeros(0)
     length = max(1, len(text))

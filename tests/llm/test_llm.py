@@ -190,6 +190,19 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.keep_good(docs.limit(0), model).count() == 0
 
 
+def test_features_see_whole_words():
+    def at(text):
+        return {int(c) for c in quality.content_features(text, quality.Buckets())[0] if c < quality.BUCKETS}
+
+    long_ = "https://example.org/a/long/path/"
+    assert len({quality._bucket(f"{long_}{i}", 1 << 30) for i in range(50)}) == 50
+    same = [(quality.meta_features(f"a-source-with-a-long-name-{i}", "en", 1) > 0).nonzero()[0][0] for i in range(20)]
+    assert len(set(same)) > 5
+    run = "天地玄黄宇宙洪荒日月盈昃"
+    assert at("x" + run) == at("x") | {quality._bucket(run[i : i + 2], quality.BUCKETS) for i in range(len(run) - 1)}
+    assert at("荒日 plain") <= at(run + " plain") and quality.terms(["a", "日"], "a 日") == ["a", "日"]
+
+
 # 5 and 7
 
 
