@@ -10,20 +10,35 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder every executor can see: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{label}"
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{label}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet at path and read it back: cuts lineage and survives lost executors."""
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a path of its own in the shared folder."""
+    return written(df, new_path(df.sparkSession, label))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where.getParent(), True)
 
 
 def partitions(spark: SparkSession) -> int:

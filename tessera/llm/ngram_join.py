@@ -1,203 +1,257 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global n-gram order (rarest first, ties by hash) is cut into fragments. Overlaps are counted fragment by fragment, each
-on its own, and summed:
+N-grams have a global order, that of their hashes, which is cut into fragments. Overlaps are counted fragment by fragment,
+each on its own, and summed:
 
-1. Hash order, all documents: each fragment holds every document's n-grams of one hash range and counts those that another
-   class of documents also has. Summed per class, this bounds its overlap with any partner; most classes end here.
-2. Frequency order, the classes left: the first, rarest part of each class's order finds candidate pairs.
-3. Candidate pairs: partial overlaps are counted per fragment and summed per pair, which decides the link exactly.
+1. Per class: the first part of a class's order (its head) is dealt out by fragment; each fragment counts the n-grams that
+   other classes' heads also hold. Summed per class, too few mean that no link is possible; most classes end here.
+2. Per pair: of the classes left, those that share one of their rarest n-grams are candidates, as far as lengths, places in
+   the order and signatures allow a link.
+3. Candidate pairs' sets are cut into fragments; partial overlaps are counted per fragment and summed per pair, which
+   decides the link exactly.
 
 Classes are equal n-gram sets. A component needs a spanning set of links, not all pairs: candidates first go to one leader
-of each posting list, and only classes still in different components are then paired with each other.
+of each posting list, twice, and only classes that are still apart are then paired with each other.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import partitions, stored, text_or_empty
 from tessera.llm.components import connected_components
-from tessera.llm.shingles import WordNumbers, shingle_set
-
-#: Documents whose n-grams travel together in the first count.
-BLOCK_DOCS = 2000
-#: Fragments of the order in which candidate pairs are counted.
-FRAGMENTS = 4
+from tessera.llm.shingles import binary_column, shingle_sets, slices
+
+#: Classes whose heads travel together, and n-grams of one fragment of the heads (8 bytes each).
+BLOCK_CLASSES, FRAGMENT_GRAMS = 2000, 2 << 20
+#: A head is longer than a link needs by one n-gram in so many, all of which a partner must share.
+EXTRA = 10
+#: Fragments in which candidate pairs are counted.
+PAIR_FRAGMENTS = 4
 #: Bits of the parity signature: two sets differ by at least as many n-grams as their signatures differ by bits.
 SIGNATURE_BITS = 1024
 
 
-def _described(words: int):
-    """(id, n_shingles, key) of each document; key is the digest of its set, so equal sets share it."""
+def _ceil(x, num: int, den: int):
+    """ceil(x * num / den) of whole numbers."""
+    return (x * num + den - 1) // den
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = WordNumbers()
-        for pdf in batches:
-            sets = [shingle_set(t, words, numbers) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
 
-    return run
+def _surplus(n, num: int, den: int):
+    """How many n-grams heads of sets of n or more must have in common, if they are linked."""
+    need = _ceil(n, num, den)
+    return np.maximum(1, np.minimum(need, _ceil(need, 1, EXTRA)))
+
+
+def head_length(n, num: int, den: int):
+    """N-grams of a set's head. Of two linked sets, the first k common n-grams lie within n - ceil(n num / den) + k of either."""
+    return np.minimum(n, n - _ceil(n, num, den) + np.maximum(1, _ceil(n, 1, EXTRA)))
 
 
-def _fragment_counts(words: int, fragments: int):
-    """Blocks of documents -> for each fragment one row: class numbers, counts and the low 32 bits of the n-grams."""
-    shift = np.uint64(64 - fragments.bit_length() + 1)
-
-    def emit(block: list[tuple[int, np.ndarray]]):
-        keys = np.array([k for k, _ in block], np.int64)
-        parts = [np.searchsorted(s >> shift, np.arange(fragments + 1, dtype=np.uint64)) if fragments > 1 else np.array([0, len(s)]) for _, s in block]
-        low = [s.astype(np.uint32) for _, s in block]
-        for f in range(fragments):
-            counts = np.array([p[f + 1] - p[f] for p in parts], np.uint32)
-            yield f, keys.tobytes(), counts.tobytes(), b"".join(x[p[f] : p[f + 1]].tobytes() for x, p in zip(low, parts))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = WordNumbers()
-        block: dict[int, np.ndarray] = {}
-        size = 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                s = shingle_set(t, words, numbers)
-                if len(s):
-                    key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
-                    if key not in block:
-                        block[key] = s
-                        size += len(s)
-                if len(block) >= BLOCK_DOCS or size > 4 << 20:
-                    yield pd.DataFrame(emit(list(block.items())), columns=["f", "keys", "counts", "grams"])
-                    block, size = {}, 0
-        if block:
-            yield pd.DataFrame(emit(list(block.items())), columns=["f", "keys", "counts", "grams"])
+def _described(words: int, num: int, den: int):
+    """(id, n, key, head) of each document; key is the digest of its set, so equal sets share it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                grams, n = shingle_sets(data, offsets, words)
+                ends = np.cumsum(n)
+                raw = memoryview(grams).cast("B") if len(grams) else b""
+                keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * z]) for a, z in zip((ends - n).tolist(), ends.tolist())]
+                size = head_length(n, num, den)
+                inside = np.arange(len(grams)) - np.repeat(ends - n, n) < np.repeat(size, n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), binary_column(grams[inside], size)],
+                    names=["id", "n", "key", "head"],
+                )
 
     return run
 
 
-def _shared(buckets: int):
-    """A fragment -> for each bucket of classes one row: class keys, and how many n-grams some other class also has."""
+def _dealt(fragments: int, width: int):
+    """Classes with their heads -> for each block of classes and fragment one row: counts and n-grams.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, found = _twins(pdf)
-        bucket = keys % buckets
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(b, keys[order[a:z]].tobytes(), found[order[a:z]].tobytes()) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if z > a]
-        return pd.DataFrame(rows, columns=["b", "keys", "found"])
+    A block is named by its first class; the row of fragment 0 carries the block's classes and their sizes.
+    """
+
+    def emit(c: list[np.ndarray], n: list[np.ndarray], heads: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        c, n, grams, size = (np.concatenate(x) for x in (c, n, heads, sizes))
+        f = np.minimum(grams // np.uint64(width), np.uint64(fragments - 1)).astype(np.int64)
+        owner = np.repeat(np.arange(len(c)), size)
+        order = np.argsort(f, kind="stable")
+        edges = np.searchsorted(f[order], np.arange(fragments + 1))
+        rows = []
+        for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])):
+            if z > a or i == 0:
+                counts = np.bincount(owner[order[a:z]], minlength=len(c)).astype(np.uint32)
+                head = (c.astype(np.int64).tobytes(), n.astype(np.int64).tobytes()) if i == 0 else (None, None)
+                rows.append((i, int(c[0]), counts.tobytes(), grams[order[a:z]].tobytes(), *head))
+        return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["f", "block", "counts", "grams", "c", "n"]), _DEALT, preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: tuple[list, ...] = ([], [], [], [])
+        held = 0
+        for batch in batches:
+            heads = batch.column("head")
+            for lo in range(0, len(batch), BLOCK_CLASSES):
+                part = heads.slice(lo, BLOCK_CLASSES)
+                offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+                own = (
+                    batch.column("c").slice(lo, BLOCK_CLASSES).to_numpy(zero_copy_only=False),
+                    batch.column("n").slice(lo, BLOCK_CLASSES).to_numpy(zero_copy_only=False),
+                    np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64),
+                    np.diff(offsets) // 8,
+                )
+                for x, y in zip(parts, own):
+                    x.append(y)
+                held += len(part)
+                if held >= BLOCK_CLASSES:
+                    yield emit(*parts)
+                    parts, held = ([], [], [], []), 0
+        if held:
+            yield emit(*parts)
 
     return run
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The counts of all fragments, added up per class."""
-    keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
-    found = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["found"]])
-    kinds, number = np.unique(keys, return_inverse=True)
-    return pd.DataFrame({"key8": kinds, "shared": np.bincount(number, weights=found).astype(np.int64)})
-
-
-def _twins(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
-    grams = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["grams"]])
-    kinds, number = np.unique(keys, return_inverse=True)
-    first = np.zeros(len(keys), bool)  # copies of a class in other blocks count once
-    first[np.unique(number, return_index=True)[1]] = True
-    kept = np.repeat(first, counts)
-    grams = grams[kept]
-    owner = np.repeat(number[first], counts[first]).astype(np.int32)
+_DEALT = pa.schema([("f", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("grams", pa.binary()), ("c", pa.binary()), ("n", pa.binary())])
+
+
+def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A fragment -> for each block: how many n-grams of each class some other class also has."""
+    counts = [np.frombuffer(x, np.uint32) for x in pdf["counts"]]
+    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["grams"]])
     order = np.argsort(grams, kind="stable")
-    grams = grams[order]
+    same = grams[order[1:]] == grams[order[:-1]]
     twin = np.zeros(len(grams), bool)
-    same = grams[1:] == grams[:-1]
-    twin[1:] |= same
-    twin[:-1] |= same
-    found = np.bincount(owner[order[twin]], minlength=len(kinds))
-    some = found > 0
-    return kinds[some], found[some].astype(np.int64)
+    twin[order[1:][same]] = True
+    twin[order[:-1][same]] = True
+    ends = np.cumsum(np.concatenate(counts))
+    before = np.r_[0, np.cumsum(twin)]
+    sums = before[ends] - before[np.r_[0, ends[:-1]]]
+    cut = np.cumsum([len(x) for x in counts])[:-1]
+    return pd.DataFrame({"block": pdf["block"], "found": [x.astype(np.uint32).tobytes() for x in np.split(sums, cut)], "c": pdf["c"], "n": pdf["n"]})
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = WordNumbers()
-        for pdf in batches:
-            yield pd.DataFrame({"c": pdf["c"], "grams": [shingle_set(t, words, numbers).view(np.int64) for t in pdf["text"]]})
+def _summed(num: int, den: int):
+    """A block's counts of all fragments, added up -> its classes that may have a partner."""
 
-    return run
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.sum([np.frombuffer(x, np.uint32) for x in pdf["found"]], axis=0)
+        (c,), (n,) = ([np.frombuffer(x, np.int64) for x in pdf[k] if x is not None] for k in ("c", "n"))
+        kept = found >= _surplus(n, num, den)
+        return pd.DataFrame({"c": c[kept], "n": n[kept]})
 
+    return run
 
-def _signature(grams: np.ndarray) -> bytes:
-    bits = np.bincount((grams.view(np.uint64) >> np.uint64(20)) % np.uint64(SIGNATURE_BITS), minlength=SIGNATURE_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
 
+def _sets(words: int):
+    """(c, key, n, grams, sig) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                grams, n = shingle_sets(data, offsets, words)
+                ends = np.cumsum(n)
+                raw = memoryview(grams).cast("B") if len(grams) else b""
+                keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * z]) for a, z in zip((ends - n).tolist(), ends.tolist())]
+                starts = np.r_[0, ends].astype(np.int32)
+                bit = ((grams >> np.uint64(20)) % np.uint64(SIGNATURE_BITS)).astype(np.int64)
+                bits = np.bincount(np.repeat(np.arange(len(n)), n) * SIGNATURE_BITS + bit, minlength=len(n) * SIGNATURE_BITS) & 1
+                sig = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                step = SIGNATURE_BITS // 64
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("c").slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(starts), pa.array(grams.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, step, dtype=np.int32)), pa.array(sig)),
+                    ],
+                    names=["c", "key", "n", "grams", "sig"],
+                )
 
-def _prefixes(num: int, den: int):
-    """Sorted n-grams with their frequencies -> the rarest ones, of which a partner must share at least one."""
+    return run
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["g"], pdf["df"]))
-        g, df, n = pdf["g"].to_numpy()[order], pdf["df"].to_numpy()[order], int(pdf["n"].iloc[0])
-        length = n - -(-num * n // den) + 1 - (n - len(g))  # n-grams of no other class come first and find nobody
-        length = max(0, length)
-        return pd.DataFrame({"g": g[:length], "c": pdf["c"].iloc[:length].to_numpy(), "n": n})
 
-    return run
+def _overlap_needed(a: Column, b: Column, num: int, den: int) -> Column:
+    """The least overlap of linked sets of a and b n-grams."""
+    return F.ceil((a + b) * num / (num + den) - 1e-9)
 
 
-def _pairs(num: int, den: int, each: int | None = None):
-    """Posting lists -> pairs of classes in different components that length and signature leave possible.
+def _may_link(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) that lengths and signatures leave possible."""
+    both = pairs.join(signed.select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), "x")
+    both = both.join(signed.select(F.col("c").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy")), "y")
+    return both.filter(_signatures_agree(F.col("nx"), F.col("ny"), F.col("sx"), F.col("sy"), num, den)).select("x", "y")
 
-    each: only so many partners of a class (the next in size), for a first round that leaves the rest to a later one.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        c, n, comp = (pdf[x].to_numpy() for x in ("c", "n", "comp"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), -1)
-        out = []
-        for i in range(len(c) - 1):
-            end = np.searchsorted(n, n[i] * den // num, side="right")
-            j = np.arange(i + 1, end)
-            j = j[comp[j] != comp[i]]
-            if len(j) == 0:
-                continue
-            total = n[i] + n[j]
-            most = total - 2 * -(-num * total // (num + den))  # of n-grams in one set only
-            j = j[np.bitwise_count(sig[j] ^ sig[i]).sum(axis=1) <= most][:each]
-            out.append(np.stack([np.full(len(j), c[i]), c[j]]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"x": pairs.min(axis=0), "y": pairs.max(axis=0)})
+def _signatures_agree(n1: Column, n2: Column, s1: Column, s2: Column, num: int, den: int) -> Column:
+    apart = sum(F.bit_count(s1[i].bitwiseXOR(s2[i])) for i in range(SIGNATURE_BITS // 64))
+    return apart <= n1 + n2 - 2 * _overlap_needed(n1, n2, num, den)
 
-    return run
 
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose overlap, counted per fragment and summed, reaches num / den of their union."""
+    shift = 64 - (PAIR_FRAGMENTS.bit_length() - 1)
+    cut = sets.select("c", "n", F.explode(F.sequence(F.lit(0), F.lit(PAIR_FRAGMENTS - 1))).alias("f"), "grams")
+    cut = cut.select("c", "n", "f", F.expr(f"filter(grams, g -> shiftrightunsigned(g, {shift}) = f)").alias("grams"))
+    both = pairs.join(cut.select(F.col("c").alias("x"), F.col("n").alias("nx"), "f", F.col("grams").alias("a")), "x")
+    both = both.join(cut.select(F.col("c").alias("y"), F.col("n").alias("ny"), "f", F.col("grams").alias("b")), ["y", "f"])
+    parts = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("a", "b")).alias("part"))
+    summed = parts.groupBy("x", "y", "nx", "ny").agg(F.sum("part").alias("common"))
+    return summed.filter(F.col("common") * den >= (F.col("nx") + F.col("ny") - F.col("common")) * num).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
-def _overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf["part"] = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(pdf["a"], pdf["b"])]
-        yield pdf[["x", "y", "part"]]
 
+def _postings(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(g, c, n, rest) of each class's rarest n-grams, of which linked classes share one: rest n-grams of its order are left from g on.
 
-def _verified(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) whose overlap, counted per fragment and summed, reaches num / den of their union."""
-    both = (
-        pairs.join(fragments.withColumnRenamed("c", "x").withColumnRenamed("grams", "a"), "x")
-        .join(fragments.withColumnRenamed("c", "y").withColumnRenamed("grams", "b"), ["y", "f"])
-        .select("x", "y", "a", "b")
+    N-grams of one class only come first in that order and find nobody, so they are left out.
+    """
+    grams = sets.select("c", "n", F.explode("grams").alias("g"))
+    frequent = grams.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    order = Window.partitionBy("c").orderBy(F.desc("df"), F.desc("g"))
+    return grams.join(frequent, "g").withColumn("rest", F.row_number().over(order)).filter(F.col("rest") * den >= F.col("n") * num).select("g", "c", "n", "rest")
+
+
+def _starred(posted: DataFrame, num: int, den: int, largest: bool) -> DataFrame:
+    """(x, y): each member of a posting list with the list's leader, its smallest set (or its largest)."""
+    # of two linked sets, the smaller one has a common n-gram among so few of its rarest
+    short = F.col("rest") * (num + den) >= F.col("n") * (2 * num)
+    choose, wanted = (F.max, posted) if largest else (F.min, posted.filter(short))
+    leader = wanted.groupBy("g").agg(choose(F.struct("n", "c", "rest", "comp")).alias("lead"))
+    small, large = (F.col("n"), F.col("lead.n")) if largest else (F.col("lead.n"), F.col("n"))
+    fits = (
+        (F.col("comp") != F.col("lead.comp"))
+        & (small <= large)
+        & (large * num <= small * den)
+        & (F.least("rest", "lead.rest") >= _overlap_needed(small, large, num, den))
     )
-    parts = both.mapInPandas(_overlap, "x long, y long, part long")
-    summed = parts.groupBy("x", "y").agg(F.sum("part").alias("common"))
-    size = sizes.select("c", "n")
-    return (
-        summed.join(size.withColumnRenamed("c", "x").withColumnRenamed("n", "nx"), "x")
-        .join(size.withColumnRenamed("c", "y").withColumnRenamed("n", "ny"), "y")
-        .filter(F.col("common") * den >= (F.col("nx") + F.col("ny") - F.col("common")) * num)
-        .select(F.col("x").alias("u"), F.col("y").alias("v"))
+    rows = posted.filter(short) if largest else posted
+    return rows.join(stored(leader, "leaders"), "g").filter(fits).select(F.least("c", "lead.c").alias("x"), F.greatest("c", "lead.c").alias("y")).distinct()
+
+
+def _paired(posted: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y): all members of posting lists that are still apart, as far as lengths, places and signatures allow a link."""
+    mixed = stored(posted.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g"), "mixed")
+    rows = posted.join(mixed, "g").join(signed.select("c", "sig"), "c")
+    a = rows.filter(F.col("rest") * (num + den) >= F.col("n") * (2 * num)).select("g", *(F.col(k).alias(f"a_{k}") for k in ("c", "n", "rest", "comp", "sig")))
+    b = rows.select("g", *(F.col(k).alias(f"b_{k}") for k in ("c", "n", "rest", "comp", "sig")))
+    later = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_c") != F.col("b_c")))
+    fits = (
+        (F.col("a_comp") != F.col("b_comp"))
+        & later
+        & (F.col("b_n") * num <= F.col("a_n") * den)
+        & (F.least("a_rest", "b_rest") >= _overlap_needed(F.col("a_n"), F.col("b_n"), num, den))
+        & _signatures_agree(F.col("a_n"), F.col("b_n"), F.col("a_sig"), F.col("b_sig"), num, den)
     )
+    return a.join(b, (a["g"] == b["g"]) & fits).select(F.least("a_c", "b_c").alias("x"), F.greatest("a_c", "b_c").alias("y")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,55 +259,53 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
 
     Documents without words have no shingles and link with nothing (nor with each other). component_id is the smallest id
     that links reach. Equal sets are one class; no class is paired with another unless a shared rare n-gram, their lengths
-    and their signatures allow a link, and no cap is set on partners. Null text counts as empty; rows without id are
-    dropped; ids are expected to be distinct (rows that repeat an id give a row each). An empty table gives an empty result.
+    and their signatures allow a link, and no cap is set on partners. Null text counts as empty. Every row gives one row; rows
+    without id link with nothing and have no component_id. Of rows that repeat an id with different texts, the one with the
+    smallest digest links, the others take over its component_id. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    described = stored(rows.mapInPandas(_described(words), "id long, n long, key binary"), "described")
-    classes = stored(described.filter("n > 0").groupBy("key").agg(F.min("id").alias("c"), F.first("n").alias("n")), "classes")
-    # 1. what every class shares with others, fragment by fragment
-    fragments = 1 << max(4, (2 * partitions(spark) - 1).bit_length())
-    blocks = rows.select("text").mapInPandas(_fragment_counts(words, fragments), "f int, keys binary, counts binary, grams binary")
-    shared = blocks.groupBy("f").applyInPandas(_shared(max(16, fragments // 8)), "b int, keys binary, found binary")
-    shared = shared.groupBy("b").applyInPandas(_summed, "key8 long, shared long")
-    numbered = classes.mapInPandas(_eight, "c long, n long, key8 long")
-    left = stored(numbered.join(shared, "key8").filter(F.col("shared") * den >= F.col("n") * num).select("c", "n"), "left")
-    # 2. the sets of the classes left; n-grams of one class only can't be shared and drop out
-    sets = rows.join(left.select("c"), F.col("id") == F.col("c"), "left_semi").select(F.col("id").alias("c"), "text").dropDuplicates(["c"])
-    sets = stored(sets.mapInPandas(_sets(words), "c long, grams array<long>"), "sets")
-    grams = sets.select("c", F.explode("grams").alias("g"))
-    frequent = grams.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = grams.join(frequent, "g").join(left, "c")
-    prefixes = ordered.groupBy("c").applyInPandas(_prefixes(num, den), "g long, c long, n long")
-    prefixes = stored(prefixes, "prefixes")
-    # 3a. each posting list's members against one leader
-    leader = prefixes.groupBy("g").agg(F.min(F.struct("n", "c")).alias("lead"), F.count("*").alias("m")).filter("m > 1").select("g", F.col("lead.n").alias("ln"), F.col("lead.c").alias("lc"))
-    stars = prefixes.join(leader, "g").filter(F.col("c") != F.col("lc")).filter(F.col("ln") * den >= F.col("n") * num)
-    stars = stars.select(F.least("c", "lc").alias("x"), F.greatest("c", "lc").alias("y")).distinct()
-    shift = 64 - (FRAGMENTS.bit_length() - 1)
-    cut = sets.select("c", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("f"), "grams")
-    cut = cut.select("c", "f", F.expr(f"filter(grams, g -> shiftrightunsigned(g, {shift}) = f)").alias("grams"))
-    links = stored(_verified(stars, cut, left, num, den), "links")
-    # 3b. members of different components: first one partner each, which joins most of a large group, then all that is left
-    known = stored(sets.mapInPandas(_signed, "c long, sig binary"), "signed")
-    for each in (1, None):
-        parts = stored(connected_components(links), "parts").withColumnRenamed("node", "c").withColumnRenamed("component", "comp")
-        posted = prefixes.join(known.join(parts, "c", "left").select("c", "sig", F.coalesce("comp", "c").alias("comp")), "c")
-        mixed = posted.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
-        pairs = posted.join(mixed, "g").groupBy("g").applyInPandas(_pairs(num, den, each), "x long, y long").distinct()
-        links = stored(links.unionByName(_verified(pairs, cut, left, num, den)), "links")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    described = stored(rows.mapInArrow(_described(words, num, den), "id long, n long, key binary, head binary"), "described")
+    ids = described.filter("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("key", "n")).alias("s"), F.count("*").alias("rows"))
+    ids = stored(ids.select("id", "s.key", "s.n", "rows"), "ids")
+    classes = stored(ids.groupBy("key").agg(F.min("id").alias("c"), F.first("n").alias("n")), "classes")
+    facts = classes.agg(F.sum("n").alias("grams")).crossJoin(ids.agg(F.max("rows").alias("rows"))).first()
+    repeated = (facts["rows"] or 0) > 1
+    # 1. what every class's head shares with others, fragment by fragment
+    share = (den - num) / den + 1 / EXTRA
+    fragments = max(4, partitions(spark), int((facts["grams"] or 0) * share) // FRAGMENT_GRAMS + 1)
+    width = int(min(1.0, share * fragments / (fragments - 1)) * (1 << 64)) // fragments
+    heads = described.select("id", F.col("key").alias("own"), "head").join(classes, (F.col("id") == F.col("c")) & (F.col("own") == F.col("key")))
+    heads = heads.select("c", "n", "head").sortWithinPartitions("c")  # a retried task must deal the same blocks
+    dealt = heads.mapInArrow(_dealt(fragments, width), "f int, block long, counts binary, grams binary, c binary, n binary")
+    partial = dealt.groupBy("f").applyInPandas(_partial, "block long, found binary, c binary, n binary")
+    left = stored(partial.groupBy("block").applyInPandas(_summed(num, den), "c long, n long").distinct(), "left")
+    # 2. the sets of the classes left
+    kept = left.select("c").join(classes.select("c", "key"), "c")
+    texts = rows.join(kept, F.col("id") == F.col("c")).select("c", "text", F.col("key").alias("own"))
+    sets = texts.select("c", "text").mapInArrow(_sets(words), "c long, key binary, n long, grams array<long>, sig array<long>")
+    if repeated:
+        sets = sets.join(kept, ["c", "key"], "left_semi").dropDuplicates(["c"])
+    sets = stored(sets.select("c", "n", "grams", "sig"), "sets")
+    signed = sets.select("c", "n", "sig")
+    posted = stored(_postings(sets, num, den), "postings")
+    # 3. each posting list's members with one leader, then those still apart with the next one, then with each other
+    links = None
+    for step in range(3):
+        last = step == 2
+        if links is None:
+            known = posted.withColumn("comp", F.col("c"))
+        else:
+            names = connected_components(links, None if last else 1).withColumnRenamed("node", "c")
+            known = posted.join(names, "c", "left").select("g", "c", "n", "rest", F.coalesce("component", "c").alias("comp"))
+        pairs = _paired(known, signed, num, den) if last else _may_link(_starred(known, num, den, largest=step == 1), signed, num, den)
+        found = _verified(pairs, sets, num, den)
+        links = stored(links.unionByName(found) if links is not None else found, "pairs")
     component = connected_components(links)
-    keyed = described.join(classes.select("key", "c"), "key", "left").join(component, F.col("c") == F.col("node"), "left")
-    return keyed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "c", "id").alias("component_id"))
-
-
-def _eight(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf["key8"] = [int.from_bytes(k[:8], "little", signed=True) for k in pdf["key"]]
-        yield pdf[["c", "n", "key8"]]
-
-
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"c": pdf["c"], "sig": [_signature(np.asarray(g, np.int64)) for g in pdf["grams"]]})
+    # one row per document
+    named = ids.select("id", "key").join(classes.select("key", "c"), "key").join(component, F.col("c") == F.col("node"), "left")
+    named = named.select(F.col("id").alias("_id"), F.coalesce("component", "c").alias("component"))
+    wordy = described.filter("n > 0 and id is not null").select("id", "n").join(named, F.col("id") == F.col("_id"))
+    rest = described.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
+    out = wordy.select("id", "n", "component").unionByName(rest)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
