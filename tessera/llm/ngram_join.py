@@ -276,7 +276,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     fragments = max(4, partitions(spark), int((facts["grams"] or 0) * share) // FRAGMENT_GRAMS + 1)
     width = int(min(1.0, share * fragments / (fragments - 1)) * (1 << 64)) // fragments
     heads = described.select("id", F.col("key").alias("own"), "head").join(classes, (F.col("id") == F.col("c")) & (F.col("own") == F.col("key")))
-    heads = heads.select("c", "n", "head").sortWithinPartitions("c")  # a retried task must deal the same blocks
+    heads = heads.select("c", "n", "head")
+    heads = (heads.dropDuplicates(["c"]) if repeated else heads).sortWithinPartitions("c")  # a retried task must deal the same blocks
     dealt = heads.mapInArrow(_dealt(fragments, width), "f int, block long, counts binary, grams binary, c binary, n binary")
     partial = dealt.groupBy("f").applyInPandas(_partial, "block long, found binary, c binary, n binary")
     left = stored(partial.groupBy("block").applyInPandas(_summed(num, den), "c long, n long").distinct(), "left")

@@ -73,9 +73,12 @@ def test_suffix_order_of_packed_tables(monkeypatch):
 @settings(max_examples=60, deadline=None)
 def test_every_window_holds_an_anchor(noise, run):
     b = np.frombuffer(noise + b"a" * run * 4 + noise + b"ab" * run, np.uint8)
-    at, _ = substring_dedup.anchors(b, 50)
+    _, at, _, start, end = substring_dedup.anchor_runs(b, np.array([0, len(b)]), 50)
     for k in range(len(b) - 49):
-        assert ((at >= k) & (at + substring_dedup.GRAM <= k + 50)).any()
+        assert ((at >= k) & (at + substring_dedup.GRAM <= k + 50) & (start <= k) & (end >= k + 50)).any()
+    if len(b):
+        two = substring_dedup.anchor_runs(np.concatenate([b, b]), np.array([0, len(b), 2 * len(b)]), 50)
+        assert (two[1][two[0] == 1] - len(b) == at).all() and (two[4][two[0] == 0] == end).all()
 
 
 def test_repeats(docs, corpus):
