@@ -116,30 +116,48 @@ def parse(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+READ = "conv_id long, example int, chars long, n_turns long, turns_sha string, target string, sha string, before_sha string"
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Examples, each read back whole: its turns' digest, its target, and digests of itself and of what the example before it must be."""
+    for pdf in batches:
+        out = []
+        for c, e, text, start, end in zip(pdf["conv_id"], pdf["example"], pdf["text"], pdf["target_start"], pdf["target_end"]):
+            turns = parse(text)
+            said, before = hashlib.sha256(), 0
+            for role, body, a, z in turns:
+                said.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
+                if role == TARGET_ROLE and a != start:
+                    before = z + len(END) + 1
+            target = unescape(text[start:end]) if start >= 0 else None
+            whole, part = (hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (text, text[:before]))
+            out.append((c, e, len(text), len(turns), said.hexdigest(), target, whole, part))
+        yield pd.DataFrame(out, columns=["conv_id", "example", "chars", "n_turns", "turns_sha", "target", "sha", "before_sha"])
+
+
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Read examples back; those of a conversation follow each other. Only what a longer example adds is parsed."""
+    """One row per conversation of what was read back, sorted by conversation and example."""
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
     out, conv = [], None
-    seen = turns = loss = chars = n = 0
-    all_turns = all_loss = None
+    turns = loss = chars = n = 0
+    said, sha, all_loss = "", "", hashlib.sha256()
 
     def done():
-        return [(conv, turns, all_turns.hexdigest(), loss, all_loss.hexdigest(), chars, n)] if conv is not None else []
+        return [(conv, turns, said, loss, all_loss.hexdigest(), chars, n)] if conv is not None else []
 
     for pdf in batches:
-        for c, text, start, end in zip(pdf["conv_id"], pdf["text"], pdf["target_start"], pdf["target_end"]):
-            if c != conv:
+        for row in pdf.itertuples():
+            if row.conv_id != conv:
                 out += done()
-                conv, seen, turns, loss, chars, n = c, 0, 0, 0, 0, 0
-                all_turns, all_loss = hashlib.sha256(), hashlib.sha256()
-            for role, body, *_ in parse(text[seen:]):
-                all_turns.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
-                turns += 1
-            if start >= 0:
-                target = unescape(text[start:end])
-                loss += len(target)
-                all_loss.update(target.encode("utf-8", "surrogatepass"))
-            seen, chars, n = len(text), chars + len(text), n + 1
+                conv, loss, chars, n, all_loss = row.conv_id, 0, 0, 0, hashlib.sha256()
+                sha = hashlib.sha256().hexdigest()
+            if row.before_sha != sha:
+                raise ValueError(f"conversation {conv}: example {row.example} doesn't begin with the one before it")
+            if row.target is not None:
+                loss += len(row.target)
+                all_loss.update(row.target.encode("utf-8", "surrogatepass"))
+            turns, said, sha, chars, n = row.n_turns, row.turns_sha, row.sha, chars + row.chars, n + 1
         if len(out) > 5000:
             yield pd.DataFrame(out, columns=columns)
             out = []
@@ -149,5 +167,10 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the examples as prefix_target_examples lays them out."""
-    return examples.mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    """One row per conversation, read back from the examples, in whatever order they come.
+
+    Every example is parsed whole; one that doesn't begin with the example before it raises an error. Only targets and
+    digests are dealt out by conversation.
+    """
+    read = examples.mapInPandas(_read, READ).repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return read.mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
