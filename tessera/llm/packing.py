@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_block, merges_of
-from tessera.llm.common import stored, text_or_empty
-from tessera.llm.ranges import sampled_ranges
+from tessera.llm.common import partitions, stored, text_or_empty
+from tessera.llm.ranges import MAX_RANGES, sampled_ranges
 
 DIMENSIONS = 4
 BITS = 15
@@ -106,7 +106,7 @@ def _tokenized(batches: Iterator[pd.DataFrame], ranks, pattern: str, end_id: int
             counts.append(len(own))
             ids.append(own.astype("<u4" if own.max() > 65535 else "<u2").tobytes())
         if counts:
-            yield pd.DataFrame({"k2": pdf["id"], "k1": hilbert_key(_grid(np.array(points))), "w": counts, "ids": ids})
+            yield pd.DataFrame({"named": pdf["named"], "k2": pdf["k2"], "k1": hilbert_key(_grid(np.array(points))), "w": counts, "ids": ids})
 
 
 def _pack(length: int):
@@ -114,7 +114,8 @@ def _pack(length: int):
         current, at = None, 0
         for pdf in batches:
             out = []
-            for range_id, before, doc, n, blob in zip(pdf["range_id"], pdf["weight_before"], pdf["k2"], pdf["w"], pdf["ids"]):
+            names = np.where(pdf["named"], pdf["k2"].astype(object), None)
+            for range_id, before, doc, n, blob in zip(pdf["range_id"], pdf["weight_before"], names, pdf["w"], pdf["ids"]):
                 if range_id != current:
                     current, at = range_id, before
                 ids = np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype("<u4")
@@ -125,7 +126,8 @@ def _pack(length: int):
                     out.append((doc, start, take, zlib.crc32(ids[start : start + take].tobytes()), n, sequence, offset))
                     start, at = start + take, at + take
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                rows = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                yield rows.assign(doc_id=rows["doc_id"].astype("Int64"))
 
     return run
 
@@ -138,20 +140,22 @@ def pack_along_curve(
     Each document's ids and end_id lie in exactly one piece each; a sequence's pieces fill it from offset 0 without gaps, and
     only the last sequence is padded. Null text counts as empty (one id). Copies share a key and are told apart by id, so a
     range may cut through a group of copies. Rows are read with their id as number and must have distinct ids for the pieces
-    to be told apart; repeated rows are packed each. Rows without id are dropped, as
-    no document owns their pieces. An empty table gives no pieces.
+    to be told apart; repeated rows are packed each, and so are rows without id, whose pieces have no doc_id. An empty table
+    gives no pieces.
     """
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file: under 1 MB, whatever the corpus
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    tokens = rows.mapInPandas(lambda it: _tokenized(it, ranks, pattern, end_id), "k2 long, k1 long, w long, ids binary")
+    own = F.col(id_col).cast("long")
+    rows = docs.select(own.isNotNull().alias("named"), F.coalesce(own, F.monotonically_increasing_id()).alias("k2"), text_or_empty(text_col).alias("text"))
+    tokens = rows.mapInPandas(lambda it: _tokenized(it, ranks, pattern, end_id), "named boolean, k2 long, k1 long, w long, ids binary")
     tokens = stored(tokens, "tokens")
     total = tokens.agg(F.sum("w")).first()[0] or 0
-    ranges = sampled_ranges(tokens, max(1, -(-total // range_tokens), min(4 * spark.sparkContext.defaultParallelism, total // 65536)))
+    parts = min(MAX_RANGES, max(1, -(-total // range_tokens), min(4 * spark.sparkContext.defaultParallelism, total // 65536)))
+    ranges = sampled_ranges(tokens, parts)
     ordered = (
         ranges.rows.join(F.broadcast(ranges.before.select("range_id", "weight_before")), "range_id")
-        .repartition("range_id")
+        .repartition(max(partitions(spark), parts), "range_id")
         .sortWithinPartitions("range_id", "k1", "k2")
     )
     return ordered.mapInPandas(_pack(length), PIECES)
