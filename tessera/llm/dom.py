@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"([a-zA-Z_:-][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # HTML's element kinds.
 RAW = frozenset("script style textarea title".split())
@@ -19,6 +21,7 @@ BLOCK = frozenset(
     "html body main article section nav aside header footer div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table thead tbody"
     " tfoot tr td th caption form fieldset legend label button select option address details summary dialog menu hgroup center hr".split()
 )
+BESIDE_P = BLOCK - {"p"}
 VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
 #: Tags that svg and math don't have: one of them ends an open svg or math.
 BREAKING = BLOCK | frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
@@ -61,13 +64,63 @@ def _naming(attributes: str) -> tuple[tuple[str, ...], bool, str]:
             hidden |= "display:none" in value.replace(" ", "").lower()
         elif name == "aria-hidden":
             hidden |= value.lower() == "true"
+        elif name == "hidden":
+            hidden = True
         elif name == "data-mark":
             mark = value
     return tuple(words), hidden, mark
 
 
+class Tags:
+    """Tags of a page, one after the other. What a search didn't find ahead isn't searched for again, so time is linear."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.missing: set[str] = set()
+
+    def _find(self, what: str, pos: int) -> int:
+        found = -1 if what in self.missing else self.source.find(what, pos)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def _end(self, pos: int) -> int:
+        """Behind the ">" that ends the tag open at pos; one in quotes doesn't, and a quote that none follows is a plain sign."""
+        while ">" not in self.missing:
+            m = STOP.search(self.source, pos)
+            if m is None:
+                self.missing.add(">")
+            elif m[0] == ">":
+                return m.end()
+            else:
+                closing = self._find(m[0], m.end())
+                pos = m.end() if closing < 0 else closing + 1
+        return -1
+
+    def next(self, pos: int) -> tuple[int, int, str, str] | None:
+        """(start, end, name, attributes) of the next tag from pos on; comments and declarations have no name."""
+        source = self.source
+        at = source.find("<", pos)
+        while at >= 0:
+            if source.startswith("<!--", at):
+                end = self._find("-->", at + 4)
+                return at, len(source) if end < 0 else end + 3, "", ""
+            if source[at + 1 : at + 2] in ("!", "?"):
+                end = self._find(">", at)
+                if end >= 0:
+                    return at, end + 1, "", ""
+            elif m := NAME.match(source, at):
+                end = self._end(m.end())
+                if end >= 0:
+                    return at, end, m[1].lower(), source[m.end() : end - 1].removesuffix("/")
+            at = source.find("<", at + 1)
+        return None
+
+
 def read(source: str) -> Page:
     page = Page()
+    tags = Tags(source)
+    opened: Counter[str] = Counter()
     stack, texts, in_link = [0], [], False
     dropped: list[str] = []  # open elements from a DROPPED one down
     pos, n = 0, len(source)
@@ -80,9 +133,12 @@ def read(source: str) -> Page:
             texts.clear()
 
     def close(kinds, borders) -> None:
+        if not any(opened[k] for k in kinds):
+            return
         for i in range(len(stack) - 1, 0, -1):
             kind = page.tag[stack[i]]
             if kind in kinds:
+                opened.subtract(page.tag[x] for x in stack[i:])
                 del stack[i:]
                 return
             if kind in borders:
@@ -101,8 +157,8 @@ def read(source: str) -> Page:
                 dropped.pop()
             return bool(dropped) and goes_on(tag, ending, closed)
         if ending:
-            return not (tag == "head" or (tag == "a" and in_link) or (tag in BLOCK and any(page.tag[i] == tag for i in stack)))
-        if tag == "body" and all(page.tag[i] != tag for i in stack):
+            return not (tag == "head" or (tag == "a" and in_link) or (tag in BLOCK and opened[tag] > 0))
+        if tag == "body" and not opened[tag]:
             return False
         if tag in ENDS and page.tag[stack[-1]] in ENDS[tag][0] and not any(k in ENDS[tag][0] | ENDS[tag][1] for k in dropped):
             return False
@@ -111,27 +167,25 @@ def read(source: str) -> Page:
         return True
 
     while pos < n:
-        m = TOKEN.search(source, pos)
-        if m is None:
+        found = tags.next(pos)
+        if found is None:
             if not dropped:
                 texts.append(source[pos:])
             break
-        at = m.start()
+        at, end, tag, attributes = found
         if at > pos and not dropped:
             piece = source[pos:at]
             texts.append(piece)
             if in_link:
                 page.linked[stack[-1]] += len(piece)
-        pos = m.end()
-        tag = m[1]
-        if tag is None:
+        pos = end
+        if not tag:
             continue
-        tag = tag.lower()
         ending = source[at + 1] == "/"
         closed = source[pos - 2] == "/" and not ending
         if tag in RAW and not ending and not (dropped and in_foreign()):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
-            pos = end.end() if end else n
+            last = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
+            pos = last.end() if last else n
             continue
         if dropped:
             if goes_on(tag, ending, closed):
@@ -155,19 +209,20 @@ def read(source: str) -> Page:
             if ending:
                 close({tag}, ())
                 continue
-            close({"p"}, BLOCK - {"p"})
+            close({"p"}, BESIDE_P)
             if tag in ENDS:
                 close(*ENDS[tag])
-            words, hidden, mark = _naming(m[2]) if m[2].strip() else ((), False, "")
+            words, hidden, mark = _naming(attributes) if attributes.strip() else ((), False, "")
             page.tag.append(tag)
             page.parent.append(stack[-1])
             page.depth.append(len(stack))
             page.words.append(words)
-            page.hidden.append(hidden or " hidden" in m[2])
+            page.hidden.append(hidden)
             page.mark.append(mark)
             page.links.append(0)
             page.linked.append(0)
             if tag not in VOID:
                 stack.append(len(page.tag) - 1)
+                opened[tag] += 1
     flush()
     return page

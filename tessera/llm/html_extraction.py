@@ -24,7 +24,7 @@ from tessera.llm import dom
 from tessera.llm.common import bounded_draw, stored, text_or_empty
 
 #: Documented bounds of the fit: source pages drawn from the table, and training pages made of them.
-SOURCE_PAGES = 400
+SOURCE_PAGES, SOURCE_PARAGRAPHS, SOURCE_CHARS = 400, 60, 4000
 TRAINING_PAGES = 1500
 #: Log-odds it takes to take an element out of a parent that stays.
 PARTING = 1.0
@@ -296,9 +296,9 @@ def _paragraphs(source: str) -> list[str]:
     return [t for _, t in dom.read(source).blocks if len(t) > 40]
 
 
-def training_rows(sources: list[str], seeds: Iterator[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features and labels of the elements of one generated page for each seed."""
-    pools = [p for p in map(_paragraphs, sources) if p] or [["No page of this table has any text, so this one stands in for it."]]
+def training_rows(pools: list[list[str]], seeds: Iterator[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of the elements of one page for each seed, made of the paragraphs of other pages."""
+    pools = pools or [["No page of this table has any text, so this one stands in for it."]]
     for seed in seeds:
         rng = random.Random(seed)
         own = rng.choice(pools)
@@ -311,8 +311,17 @@ def training_rows(sources: list[str], seeds: Iterator[int]) -> Iterator[tuple[np
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", seed: int = 5) -> Forest:
     """Fit the trees on TRAINING_PAGES pages made from at most SOURCE_PAGES of the table, drawn by hash (a bound, not a share)."""
     spark = pages.sparkSession
-    known = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    shipped = spark.sparkContext.broadcast([r["html"] for r in bounded_draw(known, "id", SOURCE_PAGES, seed).collect()])
+    known = pages.filter(F.col(html_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"))
+
+    def paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pools = [[t[:SOURCE_CHARS] for t in _paragraphs(h)[:SOURCE_PARAGRAPHS]] for h in pdf["html"]]
+            yield pd.DataFrame({"id": pdf["id"], "pool": pools})
+
+    ids = [r["id"] for r in bounded_draw(known.select("id"), "id", SOURCE_PAGES, seed).collect()]
+    drawn = known.filter(F.col("id").isin(ids)).mapInPandas(paragraphs, "id long, pool array<string>").orderBy("id", "pool").limit(SOURCE_PAGES)
+    pools = [list(r["pool"]) for r in drawn.collect() if r["pool"]]
+    shipped = spark.sparkContext.broadcast(pools)  # at most SOURCE_PAGES x SOURCE_PARAGRAPHS x SOURCE_CHARS characters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -325,12 +334,6 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", seed:
     return forest_of(model.toDebugString)
 
 
-def extract_one(source: str, forest: Forest) -> str:
-    page = dom.read(source)
-    kept = decode(page, forest.logits(features(page)))
-    return "\n".join(t for i, t in page.blocks if kept[i])
-
-
 def _extracted(forest: Forest):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

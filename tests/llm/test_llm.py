@@ -118,6 +118,13 @@ def test_chat(spark):
     assert (out[1]["loss_chars"], out[1]["loss_sha256"]) == (3, hashlib.sha256("é<|".encode()).hexdigest())
     assert out[2]["loss_chars"] == 0 and out[1]["formatted_chars"] == sum(len(r["text"]) for r in e[:3])
     assert chat.digests(chat.prefix_target_examples(turns.limit(0))).count() == 0
+    assert sorted(chat.digests(examples.repartition(4)).collect()) == sorted(out.values())
+    damaged = examples.selectExpr("conv_id", "example", "n_context_turns", "if(example = 1, replace(text, 'system', 'sYstem'), text) AS text", "target_start", "target_end")
+    with pytest.raises(Exception, match="doesn't begin"):
+        chat.digests(damaged).collect()
+    assert chat.digests(chat.prefix_target_examples(turns.unionByName(turns).withColumn("chars", turns.conv_id))).count() == 2
+    long = spark.createDataFrame([(7, i, ("user", "assistant")[i % 2], "x" * 2000) for i in range(600)], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.prefix_target_examples(long)).first()["loss_chars"] == 600_000
 
 
 # 3
@@ -172,6 +179,17 @@ def test_dropped_elements_end_where_they_should(inner):
         assert [t for _, t in page.blocks] == ["one", "two", "three"]
 
 
+def test_reading_is_linear_and_sees_attributes():
+    import time
+
+    for part in ("<p ", '<p "', "<!", "<!-- ", "<p '\"", "</p", "<a href=x", "<div>", "<li><p>"):
+        began = time.time()
+        dom.read(part * ((1 << 20) // len(part)))
+        assert time.time() - began < 8, part
+    page = dom.read("<p class='is hidden'>a</p><p data-x=\"not hidden\">b</p><p hidden>c</p><p class=x hidden=''>d</p><p title='a>b'>e</p><p title='f>g</p>")
+    assert page.hidden[1:] == [False, False, True, True, False, False] and [t for _, t in page.blocks] == ["a", "b", "c", "d", "e", "g"]
+
+
 def test_quality_on_held_out_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
