@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ def _contexts(length: int, counted_bits: int, bits: int):
                 yield i, h[own].tobytes(), ids[own].tobytes(), start[own].tobytes(), size[own].tobytes(), off[own].tobytes(), pack(rows[own].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, number = [], 0, 0
+        parts, held, number = [], 0, TaskContext.get().partitionId()  # spreads the tasks' repeats
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             lists = batch.column("grams")

@@ -21,15 +21,18 @@ from tessera.llm.vectors import matrix, unit, usable_rows
 
 #: A cell holds about so many vectors as long as MAX_PIVOTS allows; larger cells are joined in blocks.
 CELL = 4000
-MAX_PIVOTS = 256
+MAX_PIVOTS = 4096
 BLOCK = 4096
+#: Vectors whose distances to all pivots a task holds at a time.
+STEP = 1024
 #: Added to the radius, well above rounding of double distances.
 SLACK = 1e-6
 
 
 def _cells(batches: Iterator[pd.DataFrame], pivots: dict[int, np.ndarray], radius: float) -> Iterator[pd.DataFrame]:
+    between = {d: np.sqrt(np.maximum(1e-30, 2 - 2 * p @ p.T)) for d, p in pivots.items()}
     for pdf in batches:
-        for dim, rows in pdf.groupby(pdf["embedding"].map(len)):
+        for dim, rows in ((d, g.iloc[a : a + STEP]) for d, g in pdf.groupby(pdf["embedding"].map(len)) for a in range(0, len(g), STEP)):
             known = pivots.get(dim)
             u = unit(matrix(rows["embedding"]))
             if known is None or len(known) < 2:
@@ -38,7 +41,7 @@ def _cells(batches: Iterator[pd.DataFrame], pivots: dict[int, np.ndarray], radiu
             far = np.sqrt(np.maximum(0, 2 - 2 * u @ known.T))
             own = far.argmin(axis=1)
             best = far[np.arange(len(u)), own][:, None]
-            apart = np.sqrt(np.maximum(1e-30, 2 - 2 * known @ known.T))[own]
+            apart = between[dim][own]
             # distance from a vector to the plane between its pivot and another: no vector behind it is nearer
             border = (far**2 - best**2) / (2 * apart)
             seen = (border <= radius + SLACK) & (far - best <= 2 * (radius + SLACK))

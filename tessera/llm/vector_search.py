@@ -20,8 +20,8 @@ from tessera.llm.common import stored
 from tessera.llm.vectors import matrix, usable_rows
 
 #: Documented bounds: rows the tree is fitted on, its leaves, calibration queries, and rows or queries of one search task.
-SAMPLE_ROWS = 20_000
-MAX_LEAVES = 1024
+SAMPLE_ROWS, MOST_SAMPLE_ROWS = 20_000, 131_072
+MAX_LEAVES = 8192
 LEAF_ROWS = 256
 CALIBRATION_QUERIES = 200
 TASK_ROWS = 16_384
@@ -178,10 +178,11 @@ def search(
 def _by_tree(fit: DataFrame, total: int, every: int, k: int, recall: float) -> DataFrame:
     """query_id, vec_id, score: at least the k nearest found by a tree over rows of one length, before they are ranked."""
     spark = fit.sparkSession
-    share = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE_ROWS / total) * (1 << 30)))
-    drawn = [r[0] for r in fit.filter(share).select("embedding").limit(SAMPLE_ROWS + SAMPLE_ROWS // 4).collect()]
-    sample = matrix(drawn if drawn else [fit.first()["embedding"]])
     leaves = min(MAX_LEAVES, max(1, total // LEAF_ROWS))
+    wanted = min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, 16 * leaves))
+    share = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, wanted / total) * (1 << 30)))
+    drawn = [r[0] for r in fit.filter(share).select("embedding").limit(wanted + wanted // 4).collect()]
+    sample = matrix(drawn if drawn else [fit.first()["embedding"]])
     tree = fit_tree(sample, max(2.0, len(sample) / leaves))
     visits = calibrate(tree, sample, k, recall)
     shipped = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES * 2 centres
@@ -207,20 +208,22 @@ def _by_tree(fit: DataFrame, total: int, every: int, k: int, recall: float) -> D
                         rows += held[leaf]
             yield pd.DataFrame(out, columns=["query_id", "leaf", "embedding"])
 
-    asked = filed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding").mapInPandas(traverse, "query_id long, leaf int, embedding array<float>")
-    n_queries = filed.filter(F.pmod("vec_id", F.lit(every)) == 0).count()
-    # a leaf's rows and queries are dealt out in parts, so that no task gets more than its share of a large leaf
-    parts = spark.createDataFrame([(i, -(-n // TASK_ROWS)) for i, n in held.items()], "leaf int, row_parts int")
-    query_parts = -(-max(1, n_queries) // TASK_QUERIES)
+    asked = filed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding")
+    asked = stored(asked.mapInPandas(traverse, "query_id long, leaf int, embedding array<float>"), "asked")
+    # a leaf's rows and queries are dealt out in parts, so that no task gets more than its share of a large leaf; leaves that no
+    # query visits drop out
+    visitors = dict(asked.groupBy("leaf").count().collect())
+    parts = [(i, -(-held[i] // TASK_ROWS), -(-n // TASK_QUERIES)) for i, n in visitors.items()]
+    parts = spark.createDataFrame(parts, "leaf int, row_parts int, query_parts int")
     rows = (
         filed.join(F.broadcast(parts), "leaf")
         .withColumn("row_part", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")))
-        .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+        .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
     )
     asked = (
         asked.join(F.broadcast(parts), "leaf")
         .withColumn("row_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_parts").cast("long") - 1)))
-        .withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
+        .withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int"))
     )
     key = ["leaf", "row_part", "query_part"]
     return asked.groupBy(*key).cogroup(rows.select("vec_id", "embedding", *key).groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")

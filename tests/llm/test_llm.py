@@ -259,6 +259,19 @@ def test_search(vectors):
     assert vector_search.search(df.limit(0)).count() == 0
 
 
+def test_recall_of_the_registered_search(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+    got = registry.queries()["op5_kmeans_tree"](spark, d).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for q in ids[ids % 100 == 0]:
+        gap = ((x - x[ids == q]) ** 2).sum(axis=1)
+        gap[ids == q] = np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, gap))[:10]]))
+    assert hits >= 0.95 * 10 * len(got)
+
+
 @pytest.mark.parametrize("task_rows", [10, vector_search.TASK_ROWS])
 def test_search_of_rarer_lengths(spark, monkeypatch, task_rows):
     monkeypatch.setattr(vector_search, "TASK_ROWS", task_rows)
@@ -397,6 +410,48 @@ def test_repeated_rows_and_other_columns(spark, docs):
     n = twice.count()
     for f in (sharding.shard_by_splitters, lambda d: bpe.token_digests(d, RANKS, PATTERN), substring_dedup.repeat_digests, ngram_join.near_duplicate_groups, substring_dedup.remove_repeats):
         assert f(twice).count() == n, f
+
+
+def test_repeated_rows_of_pages_and_vectors(spark, forest, vectors):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(5).selectExpr("*", "1 as id", "'x' as text", "2 as n_chars")
+    both = html_extraction.extract(pages.unionByName(pages), forest=forest)
+    assert both.count() == 10 and both.distinct().count() == html_extraction.extract(pages, forest=forest).distinct().count()
+    assert html_extraction.extract(pages.limit(0), forest=forest).count() == 0
+    df = vectors[0].selectExpr("*", "1 as rep", "2 as cell", "3 as leaf", "4 as query_id", "5 as side")
+    assert vector_search.search(df).count() == vector_search.search(vectors[0]).count()
+    once, twice = table(vector_dedup.vector_links(df)), vector_dedup.vector_links(df.unionByName(df)).distinct()
+    links = {r["vec_id"]: r["n_links"] for r in twice.collect()}
+    assert all(links[i] == 2 * once[i][0] + 1 for i in range(230)) and links[1100] == 0
+    assert vector_dedup.vector_links(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_stay(spark, docs):
+    extra = spark.createDataFrame([(None, "a text of no document, long enough to be found again in another one of them", "en", "s", 9)] * 2 + [(None, None, None, None, None)], DOC)
+    more = docs.unionByName(extra)
+    n = more.count()
+    for f in (sharding.shard_by_splitters, lambda d: bpe.token_digests(d, RANKS, PATTERN), substring_dedup.repeat_digests, substring_dedup.remove_repeats):
+        assert f(more).filter("doc_id is null").count() == 3 and f(more).count() == n
+    assert {r["n_removed"] for r in substring_dedup.repeat_digests(more).filter("doc_id is null").collect()} == {0}
+    groups = ngram_join.near_duplicate_groups(more).filter("doc_id is null").collect()
+    assert len(groups) == 3 and {r["component_id"] for r in groups} == {None}
+    pieces = packing.pack_along_curve(more, RANKS, PATTERN).filter("doc_id is null and start = 0")
+    assert pieces.count() == 3
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = "first text of the id, with words enough to be cut, and then some more of them", "second text of the very same id, other words, and then a few more of those"
+    rows = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, f"{a} and a tail")], "doc_id long, text string")
+    taken, other = sorted((a, b), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    out = substring_dedup.repeat_digests(rows)
+    gone = {(r["doc_id"], r["kept_sha256"] == hashlib.sha256(b"").hexdigest()) for r in out.collect()}
+    assert out.count() == 5 and (2 if taken == a else 3, True) in gone and (2 if other == a else 3, False) in gone and (1, True) not in gone
+    texts = sorted(r["text"] for r in substring_dedup.remove_repeats(rows).filter("doc_id = 1").collect())
+    assert texts == sorted((a, b))
+    assert ngram_join.near_duplicate_groups(rows).count() == 5
+
+
+def test_packing_of_copies(docs):
+    twice = docs.unionByName(docs)
     assert packing.pack_along_curve(twice, RANKS, PATTERN).groupBy("doc_id").count().count() == docs.count()
 
 
