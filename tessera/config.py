@@ -51,7 +51,7 @@ BANDS = [0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.01]
 OVERRIDES = [(2, "Credits of the guide. The authors are named on this page, which stands in for the text taken from the layout of the page.")]
 TEMPLATES = [
     ("plain", "", ""),
-    ("instruct", "", "Instruct: Given a question, retrieve fragments of the guide that answer it\nQuery: "),
+    ("instruct", "", "Instruct: Find the parts of the guide in which a reader's question is settled\nQuery: "),
     ("task", "title: none | text: ", "task: search result | query: "),
 ]
 REFUSAL = "No reliable information was found in the guide."

@@ -36,6 +36,11 @@ def percent(part: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(F.round(100.0 * part / total, 1))
 
 
+def to_decimals(score, places: int) -> Column:
+    """score with so many decimals, judged by its exact binary value, ties to even."""
+    return F.call_function("format_number", F.col(score) if isinstance(score, str) else score, F.lit("0." + "0" * places)).cast("double")
+
+
 def confidence(best: Column, settings: Settings = DEFAULT) -> Column:
     """Level of a best score, judged after rounding to three decimals."""
     r = F.round(best, 3)

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import BANDS, THRESHOLDS
-from tessera.functions.scores import percent
+from tessera.functions.scores import percent, to_decimals
+from tessera.functions.text import plain_name
 
 
-def first_hits(rankings: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """(run, qid, hit_rank) of every question and run: the first rank up to k whose row is a hit, null if none."""
-    runs = rankings.select("run").distinct()
+def first_hits(rankings: DataFrame, questions: DataFrame, k: int, runs: list[str]) -> DataFrame:
+    """(run, qid, hit_rank) of every question and named run: the first rank up to k whose row is a hit, null if none."""
     best = rankings.filter(F.col("hit") & (F.col("rank") <= k)).groupBy("run", "qid").agg(F.min("rank").alias("hit_rank"))
-    return questions.select("qid").join(runs).join(best, ["run", "qid"], "left")
+    asked = questions.select("qid", F.explode(F.array(*map(F.lit, runs))).alias("run"))
+    return asked.join(best, ["run", "qid"], "left")
+
+
+def named_hits(rankings: DataFrame) -> DataFrame:
+    """rankings with hit: whether a fragment's activity, tool or section is the expected name, case and accents aside."""
+    wanted = plain_name("expected")
+    match = [F.coalesce(plain_name(c) == wanted, F.lit(False)) for c in ("actividad", "herramienta", "seccion")]
+    return rankings.withColumn("hit", (wanted != "") & (match[0] | match[1] | match[2]))
 
 
 def metrics(hits: DataFrame) -> DataFrame:
@@ -32,13 +40,21 @@ def page_hits(rankings: DataFrame, k: int) -> DataFrame:
     return rankings.filter(F.col("rank") <= k).groupBy("qid").agg(F.max(F.coalesce(inside, F.lit(False))).alias("page_hit"))
 
 
+def page_metrics(found: DataFrame, questions: DataFrame) -> DataFrame:
+    """recall_page: percent of all questions (one decimal) whose expected page was hit; found is page_hits()'s result."""
+    asked = questions.select("qid").join(found, "qid", "left")
+    hit = F.count_if(F.coalesce("page_hit", F.lit(False)))
+    return asked.agg(F.count("*").alias("questions"), F.round(100.0 * hit / F.count("*"), 1).alias("recall_page"), (F.count("*") - hit).alias("misses"))
+
+
 def score_table(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, category, scores, best, hit_rank, hit_score): scores to four decimals, best first."""
-    listed = F.array_sort(F.collect_list(F.struct("rank", F.round("score", 4).alias("score"))))
+    """(qid, category, scores, best, hit_rank, hit_score): scores to four decimals (ties to even), best first."""
+    score = to_decimals("score", 4)
+    listed = F.array_sort(F.collect_list(F.struct("rank", score.alias("score"))))
     per = hits.groupBy("qid").agg(
-        F.transform(listed, lambda x: x["score"]).alias("scores"), F.round(F.max("score"), 4).alias("best"),
+        F.transform(listed, lambda x: x["score"]).alias("scores"), F.max(score).alias("best"),
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("hit_rank"),
-        F.min_by(F.round("score", 4), F.when(F.col("hit"), F.col("rank"))).alias("hit_score"),
+        F.min_by(score, F.when(F.col("hit"), F.col("rank"))).alias("hit_score"),
     )
     return questions.select("qid", "category").join(per, "qid", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
@@ -104,8 +120,3 @@ def swapped(ranking: DataFrame) -> DataFrame:
     """A second store's ranking: the first two hits of even questions change places."""
     odd = F.when((F.col("qid") % 4 == 0) & (F.col("rank") <= 2), 3 - F.col("rank")).otherwise(F.col("rank"))
     return ranking.withColumn("rank", odd)
-
-
-def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -9,6 +9,7 @@ from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
 
@@ -34,6 +35,25 @@ def spans(counts: list[int], size: int, overlap: int) -> Iterator[tuple[int, int
         s = min(e + 1, max(s + 1, bisect_left(sums, max(sums[e] - overlap, sums[e + 1] - size)) + 1))
 
 
+def sweep(pages: DataFrame, grid: list[tuple[int, int]], text: str = "text") -> DataFrame:
+    """(size, overlap, n, words, longest) of the fragments under each setting; a text is split into sentences once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for t in pdf[text]:
+                sums = [0, *accumulate(len(x.split()) for x in sentences(t))]
+                counts = [b - a for a, b in zip(sums, sums[1:])]
+                for size, overlap in grid if counts else ():
+                    own = [sums[e] - sums[s - 1] for s, e in spans(counts, size, overlap)]
+                    rows.append((size, overlap, len(own), sum(own), max(own)))
+            per = pd.DataFrame(rows, columns=["size", "overlap", "n", "words", "longest"])
+            yield per.groupby(["size", "overlap"], as_index=False).agg({"n": "sum", "words": "sum", "longest": "max"})
+
+    parts = pages.select(text).mapInPandas(run, "size int, overlap int, n long, words long, longest long")
+    return parts.groupBy("size", "overlap").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
 def fragments(pages: DataFrame, size: int = DEFAULT.chunk_tokens, overlap: int = DEFAULT.chunk_overlap, text: str = "text") -> DataFrame:
     """pages with pos, first, last, n_words and the fragment's text in place of the page's; other columns are inherited.
 

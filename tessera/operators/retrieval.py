@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tessera.session import materialized
 
 #: Questions of a block: what a task holds of them, and what is broadcast at a time.
-QUESTION_BLOCK = 4096
+QUESTION_BLOCK, FRAGMENT_BLOCK = 4096, 65536
+#: So many distinct word pairs of questions are broadcast at most; beyond, fragments' pairs are joined with them.
+PAIRS_SHIPPED = 1 << 19
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -33,48 +35,62 @@ def _unit(vectors) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
+def _best(ids, labels, fids: np.ndarray, flabel: np.ndarray, scores: np.ndarray, best: list, k: int) -> None:
+    """Keep each question's k best of what it has and of these fragments."""
+    for i, q in enumerate(ids):
+        ok = fids != q
+        if labels is not None and labels[i]:
+            ok &= flabel == labels[i]
+        s, f = np.concatenate([best[i][0], scores[i][ok]]), np.concatenate([best[i][1], fids[ok]])
+        at = _top(s, f, k)
+        best[i] = s[at], f[at]
+
+
 def nearest(questions: DataFrame, fragments: DataFrame, k: int, same_label: bool = False) -> DataFrame:
     """(qid, fid, score, rank): the k fragments of greatest cosine (6 decimals, ties by id), never the question itself.
 
-    questions (qid, qv, qlabel) come in blocks of QUESTION_BLOCK, each broadcast in turn; fragments (fid, fv, flabel) stay
-    where they are and hand on k rows per question and task. same_label: a question's label filters fragments before they
-    are ranked; null and 0 filter nothing.
+    Up to QUESTION_BLOCK questions (qid, qv, qlabel) are broadcast; fragments (fid, fv, flabel) stay where they are and hand
+    on k rows per question and task. More questions are dealt out in blocks of about that size, fragments in blocks of about
+    FRAGMENT_BLOCK, and every pair of blocks is one group of one job. same_label: a question's label filters fragments before
+    they are ranked; null and 0 filter nothing.
     """
     spark = questions.sparkSession
+    schema = "qid long, fid long, score double"
+    questions, fragments = questions.select("qid", "qv", "qlabel"), fragments.select("fid", "fv", "flabel")
     n = questions.count()
-    blocks = max(1, -(-n // QUESTION_BLOCK))
-    found = None
-    for b in range(blocks):
-        own = questions.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else questions
-        rows = own.select("qid", "qv", "qlabel").orderBy("qid").collect()
-        if not rows:
-            continue
-        shipped = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows]), [r[2] for r in rows]))
-
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            ids, vectors, labels = shipped.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                fids = pdf["fid"].to_numpy()
+    if n > QUESTION_BLOCK:
+        own, parts = -(-n // QUESTION_BLOCK), max(1, -(-fragments.count() // FRAGMENT_BLOCK))
+
+        def block(key, asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
+            if len(asked) and len(found):
+                scores = np.round(_unit(asked["qv"]) @ _unit(found["fv"]).T, 6)
+                labels = asked["qlabel"].fillna(0).tolist() if same_label else None
+                _best(asked["qid"], labels, found["fid"].to_numpy(), found["flabel"].to_numpy(), scores, best, k)
+            rows = [pd.DataFrame({"qid": q, "fid": f, "score": s}) for q, (s, f) in zip(asked["qid"], best)]
+            return pd.concat(rows) if rows else pd.DataFrame({"qid": [], "fid": [], "score": []})
+
+        def dealt(df: DataFrame, key: str, mine: str, count: int, other: str, others: int) -> DataFrame:
+            return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+        asked = dealt(questions, "qid", "qb", own, "fb", parts).groupBy("qb", "fb")
+        return ranked(asked.cogroup(dealt(fragments, "fid", "fb", parts, "qb", own).groupBy("qb", "fb")).applyInPandas(block, schema), k)
+    rows = questions.orderBy("qid").collect()
+    if not rows:
+        return ranked(spark.createDataFrame([], schema), k)
+    shipped = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows]), [r[2] for r in rows] if same_label else None))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors, labels = shipped.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for pdf in batches:
+            if not pdf.empty:
                 scores = np.round(vectors @ _unit(pdf["fv"]).T, 6)
-                flabel = pdf["flabel"].to_numpy()
-                for i, q in enumerate(ids):
-                    ok = fids != q
-                    if same_label and labels[i]:
-                        ok &= flabel == labels[i]
-                    s, f = np.concatenate([best[i][0], scores[i][ok]]), np.concatenate([best[i][1], fids[ok]])
-                    at = _top(s, f, k)
-                    best[i] = s[at], f[at]
-            for i, q in enumerate(ids):
-                yield pd.DataFrame({"qid": q, "fid": best[i][1], "score": best[i][0]})
-
-        part = fragments.mapInPandas(run, "qid long, fid long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "qid long, fid long, score double")
-    return ranked(found, k)
+                _best(ids, labels, pdf["fid"].to_numpy(), pdf["flabel"].to_numpy(), scores, best, k)
+        sizes = [len(f) for _, f in best]
+        yield pd.DataFrame({"qid": np.repeat(np.array(ids, np.int64), sizes), "fid": np.concatenate([f for _, f in best]), "score": np.concatenate([s for s, _ in best])})
+
+    return ranked(fragments.mapInPandas(run, schema), k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -88,30 +104,56 @@ def pairs_of(text: str | None) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(t, t[1:])))
 
 
-def _postings(df: DataFrame, id_col: str) -> DataFrame:
+def _postings(df: DataFrame, id_col: str, only=None) -> DataFrame:
+    """(id, n, pairs) of each text; with a broadcast set, only its pairs leave the task (n counts all)."""
+
     def run(batches):
         for pdf in batches:
             own = [pairs_of(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in own], "pairs": own})
+            kept = own if only is None else [[p for p in x if p in only.value] for x in own]
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in own], "pairs": kept})
 
     return df.select(F.col(id_col).alias("id"), F.col("text")).mapInPandas(run, "id long, n long, pairs array<string>")
 
 
-def lexical(questions: DataFrame, fragments: DataFrame, k: int, qid: str = "item_id", fid: str = "doc_id") -> DataFrame:
+def postings(fragments: DataFrame, fid: str = "doc_id", only=None) -> DataFrame:
+    """(fid, nf, pair): the inverted index of fragments."""
+    return _postings(fragments, fid, only).select(F.col("id").alias("fid"), F.col("n").alias("nf"), F.explode("pairs").alias("pair"))
+
+
+def lexical(questions: DataFrame, fragments: DataFrame | None, k: int, qid: str = "item_id", fid: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
     """Candidates by shared word pairs: (qid, fid, score, rank, pair_score).
 
     score is shared / sqrt(pairs of both), pair_score shared / the question's pairs, both to 6 decimals. An inverted-index
-    join: only pairs that questions have leave the fragments' side. Texts without pairs find nothing.
+    join over a stored index, if one is given, or over the fragments' texts. In the latter case only pairs that questions have
+    leave the tasks that read fragments, as long as questions have at most PAIRS_SHIPPED. Texts without pairs find nothing.
     """
     q = _postings(questions, qid).select(F.col("id").alias("qid"), F.col("n").alias("nq"), F.explode("pairs").alias("pair"))
-    f = _postings(fragments, fid).select(F.col("id").alias("fid"), F.col("n").alias("nf"), F.explode("pairs").alias("pair"))
-    shared = q.join(f, "pair").groupBy("qid", "fid", "nq", "nf").agg(F.count("*").alias("shared"))
+    if index is None:
+        q = materialized(q, "asked")
+        own = [r["pair"] for r in q.select("pair").distinct().limit(PAIRS_SHIPPED + 1).collect()]
+        only = q.sparkSession.sparkContext.broadcast(frozenset(own)) if len(own) <= PAIRS_SHIPPED else None
+        index = postings(fragments, fid, only)
+    shared = q.join(index, "pair").groupBy("qid", "fid", "nq", "nf").agg(F.count("*").alias("shared"))
     scored = shared.select(
         "qid", "fid", F.round(F.col("shared") / F.sqrt(F.col("nq") * F.col("nf")), 6).alias("score"), F.round(F.col("shared") / F.col("nq"), 6).alias("pair_score")
     )
     return ranked(scored, k)
 
 
+def shared_pairs_scorer() -> Callable[[list[tuple[str, str]]], list[float]]:
+    """A pair scorer without a model: the share of a question's word pairs that a text has, to 6 decimals."""
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        out = []
+        for question, text in pairs:
+            own = pairs_of(question)
+            out.append(round(len(set(own) & set(pairs_of(text))) / max(1, len(own)), 6))
+        return out
+
+    return score
+
+
 def holders(questions: DataFrame, fragments: DataFrame, qid: str = "item_id", fid: str = "doc_id") -> DataFrame:
     """(qid, fid) of every fragment whose text contains the question's, whatever its rank; empty texts have none.
 
@@ -127,10 +169,10 @@ def holders(questions: DataFrame, fragments: DataFrame, qid: str = "item_id", fi
     asked = asked.mapInPandas(run, "qid long, item string, inner array<string>")
     texts = fragments.select(F.col(fid).alias("fid"), F.col("text").alias("body"))
     own = asked.select("qid", F.explode("inner").alias("pair"))
-    postings = _postings(fragments, fid).select(F.col("id").alias("fid"), F.explode("pairs").alias("pair"))
-    postings = materialized(postings.join(own.select("pair").distinct(), "pair", "left_semi"), "postings")
-    rarest = own.join(postings.groupBy("pair").count(), "pair", "left").groupBy("qid").agg(F.min_by("pair", F.struct(F.coalesce("count", F.lit(0)), "pair")).alias("pair"))
-    found = rarest.join(postings, "pair").select("qid", "fid").distinct()
+    found_in = postings(fragments, fid).drop("nf")
+    found_in = materialized(found_in.join(own.select("pair").distinct(), "pair", "left_semi"), "postings")
+    rarest = own.join(found_in.groupBy("pair").count(), "pair", "left").groupBy("qid").agg(F.min_by("pair", F.struct(F.coalesce("count", F.lit(0)), "pair")).alias("pair"))
+    found = rarest.join(found_in, "pair").select("qid", "fid").distinct()
     found = found.join(texts, "fid").join(asked.select("qid", "item"), "qid").filter(F.contains("body", "item"))
     short = asked.filter(F.size("inner") == 0).select("qid", "item").join(texts, F.contains("body", "item"))
     return found.select("qid", "fid").unionByName(short.select("qid", "fid")).distinct()

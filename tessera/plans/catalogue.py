@@ -119,10 +119,10 @@ PAIRS = """dw AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\
     SELECT qid, fid, round(shared / sqrt(qn.n * dn.n), 6) AS score, round(shared / qn.n, 6) AS pair_score
     FROM sh JOIN qn ON qn.id = qid JOIN dn ON dn.id = fid)) WHERE rank <= 20),
   hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pair_score DESC, rank) AS final_rank FROM cand) WHERE final_rank <= 4),
-  held AS (SELECT qid, fid FROM cand JOIN documents d ON d.doc_id = fid JOIN benchmark b ON b.item_id = qid WHERE contains(d.text, b.text)),
+  held AS (SELECT b.item_id AS qid, d.doc_id AS fid FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''),
   top AS (SELECT h.qid, h.fid, h.final_rank AS rank, h.pair_score AS score, x.fid IS NOT NULL AS hit FROM hits h LEFT JOIN held x USING (qid, fid)),
   quest AS (SELECT item_id AS qid, CASE WHEN item_id IN (SELECT qid FROM held) THEN 'respondible' ELSE 'fuera' END AS category FROM benchmark),
-  per AS (SELECT qid, round(max(score), 4) AS best, min(CASE WHEN hit THEN rank END) AS hit_rank, round(min_by(score, CASE WHEN hit THEN rank END), 4) AS hit_score,
+  per AS (SELECT qid, CAST(printf('%.4f', max(score)) AS DOUBLE) AS best, min(CASE WHEN hit THEN rank END) AS hit_rank, CAST(printf('%.4f', min_by(score, CASE WHEN hit THEN rank END)) AS DOUBLE) AS hit_score,
     string_agg(printf('%.4f', score), ',' ORDER BY rank) AS scores FROM top GROUP BY qid),
   st AS (SELECT q.qid, q.category, coalesce(p.best, 0.0) AS best, p.hit_rank, p.hit_score, p.scores FROM quest q LEFT JOIN per p USING (qid))"""
 
@@ -404,12 +404,7 @@ GRID = [(250, 0), (250, 50), (400, 50), (800, 50)]
     )
 )
 def chunk_sweep(spark, d):
-    out = None
-    for s, o in GRID:
-        one = _fragments(spark, d, s, o).groupBy(F.lit(s).alias("size"), F.lit(o).alias("overlap"))
-        one = one.agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return fragments.sweep(table(spark, d, "documents"), GRID)
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------------
@@ -470,6 +465,14 @@ def rerank_top4(spark, d):
     return retrieval.reranked(_candidates(spark, d), config.DEFAULT.top_k)
 
 
+@register(f"WITH {PAIRS} SELECT qid, fid, pair_score, CAST(rank AS INTEGER) AS rank, CAST(final_rank AS INTEGER) AS final_rank FROM hits")
+def rerank_injected(spark, d):
+    """Rerank by a pair scorer that reads the texts (here without a model)."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    pairs = _candidates(spark, d).select("qid", "fid", "rank").join(asked, "qid").join(table(spark, d, "documents").select(F.col("doc_id").alias("fid"), "text"), "fid")
+    return retrieval.rerank_with(pairs, retrieval.shared_pairs_scorer, config.DEFAULT.top_k).select("qid", "fid", "pair_score", "rank", "final_rank")
+
+
 @register(f"WITH {VECTORS}, {_knn(4)} SELECT qid, fid, round(1 / (1 + exp(-(8 * score - 4))), 6) AS score FROM knn")
 def sigmoid_score(spark, d):
     hits = retrieval.nearest(_questions(spark, d), _vectors(spark, d), 4)
@@ -586,7 +589,7 @@ def _runs(spark, d):
 
 @register(f"WITH {VECTORS}, {_knn(20)}, {FIRST} SELECT 'dense' AS run, qid, CAST(hit_rank AS VARCHAR) AS hit_rank FROM first")
 def first_hit_rank(spark, d):
-    hits = evaluation.first_hits(_runs(spark, d), _questions(spark, d), 20)
+    hits = evaluation.first_hits(_runs(spark, d), _questions(spark, d), 20, ["dense"])
     return hits.withColumn("hit_rank", F.col("hit_rank").cast("string"))
 
 
@@ -599,6 +602,34 @@ def page_hit(spark, d):
     return evaluation.page_hits(rows, 4)
 
 
+#: A vector's page and the name that its question expects: the page's most specific one, in capitals.
+PLACES = f"""p AS (SELECT vec_id AS doc_id, CAST(vec_id % 168 + 1 AS INTEGER) AS page, '' AS text FROM embeddings), {LOCATED},
+  named AS (SELECT doc_id, lower(seccion) AS s, lower(actividad) AS a, lower(herramienta) AS t, lower(trim(upper(coalesce(nullif(herramienta, ''), nullif(actividad, ''), seccion)))) AS expected FROM located)"""
+
+
+@register(
+    f"""WITH {VECTORS}, {_knn(20)}, {PLACES} SELECT q.vec_id AS qid, CAST(min(CASE WHEN n.a = x.expected OR n.t = x.expected OR n.s = x.expected THEN k.rank END) AS VARCHAR) AS hit_rank
+      FROM e q JOIN named x ON x.doc_id = q.vec_id LEFT JOIN knn k ON k.qid = q.vec_id LEFT JOIN named n ON n.doc_id = k.fid WHERE q.vec_id % {EVERY} = 0 GROUP BY q.vec_id"""
+)
+def named_hit_rank(spark, d):
+    """First hit by name: activity, tool or section equal to the expected one, case and accents aside."""
+    numbers = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 168 + 1).cast("int").alias("page"))
+    places = pages.located(numbers).select(F.col("doc_id").alias("fid"), "seccion", "actividad", "herramienta")
+    name = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("herramienta", "actividad")), F.col("seccion"))
+    expected = places.select(F.col("fid").alias("qid"), F.upper(name).alias("expected"))
+    hits = retrieval.nearest(_questions(spark, d), _vectors(spark, d), 20).join(places, "fid").join(expected, "qid")
+    ranks = evaluation.first_hits(evaluation.named_hits(hits).withColumn("run", F.lit("dense")), _questions(spark, d), 20, ["dense"])
+    return ranks.select("qid", F.col("hit_rank").cast("string").alias("hit_rank"))
+
+
+@register(
+    f"""WITH {VECTORS}, {_knn(4)}, h AS (SELECT q.vec_id AS qid, max(coalesce(q.vec_id % 168 + 1 BETWEEN fid % 168 AND fid % 168 + 2, FALSE)) AS hit FROM e q LEFT JOIN knn ON knn.qid = q.vec_id WHERE q.vec_id % {EVERY} = 0 GROUP BY q.vec_id)
+    SELECT count(*) AS questions, round(100.0 * count_if(hit) / count(*), 1) AS recall_page, CAST(count_if(NOT hit) AS BIGINT) AS misses FROM h"""
+)
+def recall_page(spark, d):
+    return evaluation.page_metrics(page_hit(spark, d), _questions(spark, d))
+
+
 def _measures(k: int) -> str:
     return f"""SELECT CAST({k} AS INTEGER) AS k, count(*) AS questions, round(100.0 * count(CASE WHEN hit_rank <= {k} THEN 1 END) / count(*), 1) AS recall,
       round(sum(CASE WHEN hit_rank <= {k} THEN 1.0 / hit_rank ELSE 0.0 END) / count(*), 3) AS mrr, CAST(count_if(coalesce(hit_rank > {k}, TRUE)) AS BIGINT) AS misses FROM first"""
@@ -607,13 +638,13 @@ def _measures(k: int) -> str:
 @register(f"WITH {VECTORS}, {_knn(20)}, {FIRST} {_measures(4)} UNION ALL {_measures(20)}")
 def retrieval_metrics(spark, d):
     runs, questions = materialized(_runs(spark, d), "runs"), _questions(spark, d)
-    out = [evaluation.metrics(evaluation.first_hits(runs, questions, k)).select(F.lit(k).alias("k"), "questions", "recall", "mrr", "misses") for k in (4, 20)]
+    out = [evaluation.metrics(evaluation.first_hits(runs, questions, k, ["dense"])).select(F.lit(k).alias("k"), "questions", "recall", "mrr", "misses") for k in (4, 20)]
     return out[0].unionByName(out[1])
 
 
 @register(f"WITH {VECTORS}, {_knn(20)}, {FIRST} SELECT 'dense' AS run, qid FROM first WHERE coalesce(hit_rank > 4, TRUE)")
 def retrieval_misses(spark, d):
-    return evaluation.first_hits(_runs(spark, d), _questions(spark, d), 4).filter("hit_rank is null").select("run", "qid")
+    return evaluation.first_hits(_runs(spark, d), _questions(spark, d), 4, ["dense"]).filter("hit_rank is null").select("run", "qid")
 
 
 #: A second encoder: only the first half of each vector.
@@ -634,7 +665,7 @@ def compare_encoders(spark, d):
         hits = retrieval.nearest(q, f, 20).join(q.select("qid", "qlabel"), "qid").join(f.select("fid", "flabel"), "fid")
         return hits.select(F.lit(name).alias("run"), "qid", "rank", (F.col("qlabel") == F.col("flabel")).alias("hit"))
 
-    hits = evaluation.first_hits(run("full", False).unionByName(run("half", True)), _questions(spark, d), 20)
+    hits = evaluation.first_hits(run("full", False).unionByName(run("half", True)), _questions(spark, d), 20, ["full", "half"])
     return hits.groupBy("run").agg(F.round(100.0 * F.count_if(F.col("hit_rank") <= 4) / F.count("*"), 1).alias("recall4"), F.round(100.0 * F.count("hit_rank") / F.count("*"), 1).alias("recall20"))
 
 
@@ -649,7 +680,7 @@ def compare_rerank(spark, d):
     dense = candidates.filter("rank <= 4").select(F.lit("dense").alias("run"), "qid", "fid", "rank")
     second = retrieval.reranked(candidates, 4).select(F.lit("reranked").alias("run"), "qid", "fid", F.col("final_rank").alias("rank"))
     runs = dense.unionByName(second).join(held, ["qid", "fid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    hits = evaluation.first_hits(runs, held.select("qid").distinct(), 4)
+    hits = evaluation.first_hits(runs, held.select("qid").distinct(), 4, ["dense", "reranked"])
     per = evaluation.metrics(hits).select("questions", "run", "recall")
     return per.groupBy("questions").pivot("run", ["dense", "reranked"]).agg(F.first("recall"))
 
@@ -699,6 +730,20 @@ def store_agreement(spark, d):
     return evaluation.agreement(a, evaluation.swapped(a), 4)
 
 
+@register(
+    f"""WITH {VECTORS}, {_knn(20)}, {HALF.replace("e AS", "e2 AS", 1)}, {_knn(20, "half").replace("e q JOIN e f", "e2 q JOIN e2 f")},
+      per AS (SELECT qid, count_if(coalesce(least(k.rank, b.rank) <= 4 AND k.rank IS DISTINCT FROM b.rank, TRUE)) = 0 AS same_top, count_if(k.rank IS NULL OR b.rank IS NULL) = 0 AS same_set,
+        max(abs((1 - k.score) - (1 - b.score))) AS gap FROM knn k FULL JOIN half b USING (qid, fid) GROUP BY qid)
+    SELECT round(100.0 * count_if(same_top) / count(*), 1) AS same_top, round(100.0 * count_if(same_set) / count(*), 1) AS same_set, round(max(gap), 6) AS max_gap, CAST(count_if(NOT same_top) AS BIGINT) AS differing FROM per"""
+)
+def store_difference(spark, d):
+    """Agreement of two stores whose candidates differ: whole vectors and their first halves."""
+    q, f = _questions(spark, d), _vectors(spark, d)
+    half = retrieval.nearest(q.withColumn("qv", F.slice("qv", 1, 32)), f.withColumn("fv", F.slice("fv", 1, 32)), 20)
+    a, b = (x.withColumn("distance", scores.distance(F.col("score"), "linear")) for x in (retrieval.nearest(q, f, 20), half))
+    return evaluation.agreement(a, b, 4)
+
+
 # --- conversations ---------------------------------------------------------------------------------------------------
 
 ROLLUP = f"""rollup AS (SELECT conv_id, coalesce(substr(min_by(trim(text), turn) FILTER (WHERE role = 'user' AND trim(text) <> ''), 1, {conversations.TITLE_CHARS}), '{conversations.DEFAULT_TITLE}') AS title,

@@ -1,4 +1,4 @@
-"""Sessions and the folder that all executors can see."""
+"""The folder that all executors can see, and tables in it."""
 
 from __future__ import annotations
 
@@ -8,17 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(name: str = "tessera", **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
-    for key, value in conf.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a folder of our own where that is unset (tests)."""
+    """A new path in spark.checkpoint.dir, or in a temporary folder where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}/{label}"

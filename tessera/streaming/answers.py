@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Settings
 from tessera.operators import gate, retrieval
+from tessera.session import materialized
 
 
-def answer(requests: DataFrame, pages: DataFrame, answerer: Callable = gate.extractive, settings: Settings = DEFAULT) -> DataFrame:
-    """Answers of (qid, question, stage) over pages (doc_id, text and the page metadata)."""
-    candidates = retrieval.lexical(requests.select("qid", F.col("question").alias("text")), pages, settings.candidates, qid="qid")
+def answer(requests: DataFrame, pages: DataFrame, answerer: Callable = gate.extractive, settings: Settings = DEFAULT, index: DataFrame | None = None) -> DataFrame:
+    """Answers of (qid, question, stage) over pages (doc_id, text and the page metadata); index: the pages' stored postings."""
+    candidates = retrieval.lexical(requests.select("qid", F.col("question").alias("text")), pages, settings.candidates, qid="qid", index=index)
     top = retrieval.reranked(candidates, settings.top_k)
     hits = top.select("qid", F.col("final_rank").alias("rank"), F.col("pair_score").alias("score"), F.col("fid").alias("doc_id"))
     passed = gate.above(hits, settings.threshold).join(pages, "doc_id")
@@ -24,12 +25,14 @@ def answer(requests: DataFrame, pages: DataFrame, answerer: Callable = gate.extr
 def start(requests: DataFrame, pages: DataFrame, path: str, checkpoint: str, event_time: str | None = None, late: str = "10 minutes", **trigger):
     """Answer a streaming requests frame into Parquet at path.
 
-    With an event_time column, repeated request ids are dropped within the watermark, so state stays bounded.
+    Pages are indexed once, before the first batch. With an event_time column, repeated request ids are dropped within the
+    watermark, so state stays bounded.
     """
+    index = materialized(retrieval.postings(pages), "postings")
     if event_time:
         requests = requests.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["qid"])
 
     def each(batch: DataFrame, number: int) -> None:
-        answer(batch, pages).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        answer(batch, pages, index=index).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -4,7 +4,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tessera import config
-from tessera.operators import evaluation, fragments, gate, pages
+from tessera.operators import evaluation, fragments, gate, pages, retrieval
 from tessera.plans import catalogue
 from tessera.sources import corpus
 
@@ -99,3 +99,69 @@ def test_entry_works_without_training_data_operators(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 2
+
+
+def test_scores_to_four_decimals_by_their_binary_value(spark):
+    hits = spark.createDataFrame([(1, 1, 0.15625, True), (1, 2, 0.03125, False), (2, 1, 0.00015, True)], "qid long, rank int, score double, hit boolean")
+    quest = spark.createDataFrame([(1, "respondible"), (2, "respondible")], "qid long, category string")
+    out = {r["qid"]: r for r in evaluation.score_table(hits, quest).collect()}
+    assert (list(out[1]["scores"]), out[1]["best"], out[1]["hit_score"]) == ([round(0.15625, 4), round(0.03125, 4)], 0.1562, 0.1562)
+    assert out[2]["best"] == round(0.00015, 4)
+
+
+def test_hits_by_name(spark):
+    rows = [(1, 1, "Sección Uno", "", "", "SECCION uno "), (1, 2, "x", "Café", "", "cafe"), (1, 3, "x", "", "Mapa", "mapa"), (1, 4, "x", "", "", ""), (1, 5, "x", "y", "z", None), (1, 6, None, None, None, "q")]
+    ranked = spark.createDataFrame(rows, "qid long, rank int, seccion string, actividad string, herramienta string, expected string")
+    assert [r["hit"] for r in evaluation.named_hits(ranked).orderBy("rank").collect()] == [True, True, True, False, False, False]
+    found = spark.createDataFrame([(1, True), (2, False)], "qid long, page_hit boolean")
+    three = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    assert evaluation.page_metrics(found, three).first().asDict() == {"questions": 3, "recall_page": 33.3, "misses": 2}
+
+
+def test_many_questions_are_dealt_out_in_blocks(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    f = catalogue._vectors(spark, d)
+    q = f.filter("fid % 5 = 0").toDF("qid", "qv", "qlabel")
+    want = [sorted(map(tuple, retrieval.nearest(q, f, 3, same).collect())) for same in (False, True)]
+    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "FRAGMENT_BLOCK", 30)
+    assert [sorted(map(tuple, retrieval.nearest(q, f, 3, same).collect())) for same in (False, True)] == want
+    assert retrieval.nearest(q.limit(0), f, 3).count() == 0
+
+
+def test_pairs_beyond_the_shipped_set_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "b c x"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c"), (8, "")], "item_id long, text string")
+    want = sorted(map(tuple, retrieval.lexical(items, docs, 5).collect()))
+    monkeypatch.setattr(retrieval, "PAIRS_SHIPPED", 1)
+    assert sorted(map(tuple, retrieval.lexical(items, docs, 5).collect())) == want and len(want) == 2
+
+
+def test_files_against_a_manifest(spark, tmp_path):
+    import hashlib
+
+    for name, content in (("a.pdf", b"one"), ("b.pdf", b"two"), ("c.pdf", b"three")):
+        (tmp_path / name).write_bytes(content)
+    manifest = spark.createDataFrame([("a.pdf", hashlib.sha256(b"one").hexdigest()), ("b.pdf", "0")], "name string, sha256 string")
+    out = corpus.fingerprints(corpus.read_files(spark, str(tmp_path)), manifest)
+    assert {r["name"]: r["status"] for r in out.collect()} == {"a.pdf": "match", "b.pdf": "changed", "c.pdf": "unlisted"}
+
+
+def test_pages_with_missing_figures_are_set_apart(spark):
+    blocks = spark.createDataFrame([(1, 0, "text", "t"), (1, 1, "picture", "p"), (2, 0, "picture", "p"), (2, 1, "footer", "f")], "doc_id long, pos int, kind string, text string")
+    figures = spark.createDataFrame([(1, 1, "[Figura] some words here")], "doc_id long, fig_id int, text string")
+    whole, apart = pages.assembled(blocks, figures)
+    assert [r["text"] for r in whole.collect()] == ["t\n\n[Figura] some words here"] and [r["doc_id"] for r in apart.collect()] == [2]
+
+
+def test_repeated_requests_are_answered_once(spark, tmp_path):
+    from tessera.streaming import answers
+
+    d = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{d}/benchmark.parquet").limit(3)
+    asked = items.selectExpr("item_id AS qid", "text AS question", "CAST(NULL AS INT) AS stage", "timestamp'2026-01-01 00:00:00' AS at")
+    asked.unionByName(asked).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+    rows = pages.located(pages.pages_of(spark.read.parquet(f"{d}/documents.parquet"))).withColumn("fuente", pages.label())
+    answers.start(stream, rows, str(tmp_path / "out"), str(tmp_path / "offsets"), event_time="at").awaitTermination()
+    assert sorted(r["qid"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r["item_id"] for r in items.collect())
