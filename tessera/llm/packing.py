@@ -77,13 +77,19 @@ def _grid(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Tokens:
-    """Token ids of the given vocabulary; a text on which the fast encoder gives up goes through merge replay."""
+    """Token ids of the given vocabulary; a text on which the fast encoder gives up goes through merge replay.
+
+    The encoder looks for special tokens at every place of a text if it has none, and by a quick search if it has one. So it
+    is given one, which is never allowed: a text that holds its name is encoded like any other.
+    """
+
+    UNUSED = "<|unused|>"
 
     def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={self.UNUSED: max(table.values()) + 1})
         self.table, self.pattern = table, pattern
 
     def __call__(self, text: str) -> np.ndarray:

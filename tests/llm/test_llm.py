@@ -369,6 +369,16 @@ def test_packing(docs, corpus):
     assert packing.pack_along_curve(docs.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_unused_name_is_plain_text():
+    import tiktoken
+
+    ranks = bpe.read_ranks(open(RANKS, "rb"))
+    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = packing.Tokens(open(RANKS, "rb").read(), PATTERN)
+    for text in (own.UNUSED, f"é{own.UNUSED}{own.UNUSED} b", own.UNUSED[:-1], ""):
+        assert own(text).tolist() == plain.encode_ordinary(text)
+
+
 def test_hilbert_neighbours():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = packing.hilbert_key(grid, 3)
