@@ -1,8 +1,10 @@
 """Quality classifier by co-training of two views.
 
 The content view reads the text (words, signs, repetition), the metadata view reads what else a row says (source, language,
-length). Both start from the labelled rows; in each round each view labels the unlabelled rows it is surest of for the
-other. Their calibrated probabilities are then joined by a third, small model, and every document is scored.
+length). Both start from the labelled rows; in each round each view judges all other documents and hands some of those it is
+sure of, with its label, to the other. Their calibrated probabilities are then joined by a third, small model, and every
+document is scored. Texts are read once: what the views see of them is written as sparse rows, which the rounds and the
+scores read.
 """
 
 from __future__ import annotations
@@ -10,22 +12,22 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_draw, stored, text_or_empty
 
-#: Documented bounds of the fit: labelled rows, and unlabelled rows that may get pseudo-labels.
+#: Documented bound of the fit: labelled rows.
 LABELLED_ROWS = 3000
-POOL_ROWS = 2000
 ROUNDS = 4
-#: In a round a view hands over its surest share of the pool, as long as it is at least so sure.
-SHARE, SURE = 0.05, 0.98
+#: A round hands this many different texts from a view to the other, drawn from all documents it is at least so sure of.
+HANDED_TEXTS, SURE = 200, 0.98
 BUCKETS = 1 << 11
 META_BUCKETS = 64
 # The signs that are counted one by one.
@@ -33,6 +35,10 @@ SIGNS = "!?.,;:|*#$%&=_-/\\<>()[]{}\"'@+~^0123456789"
 # Thai and Lao, Burmese, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 CONTENT_DIM = BUCKETS + len(SIGNS) + 14
+META_DIM = 2 * META_BUCKETS + 4
+#: Columns that described() adds.
+HASH, VIEW = "tessera_text_hash", "tessera_view"
+VIEW_TYPE = "struct<at: array<smallint>, value: array<float>>"
 
 
 def _bucket(word: str, size: int) -> int:
@@ -96,7 +102,7 @@ def content_features(text: str, buckets: Buckets) -> tuple[np.ndarray, np.ndarra
 
 
 def meta_features(source, lang, n_chars) -> np.ndarray:
-    out = np.zeros(2 * META_BUCKETS + 4)
+    out = np.zeros(META_DIM)
     out[_bucket(f"s:{source}", META_BUCKETS)] = 1
     out[META_BUCKETS + _bucket(f"l:{lang}", META_BUCKETS)] = 1
     known = n_chars is not None and n_chars == n_chars
@@ -136,6 +142,8 @@ def fit_scale(z: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, flo
 
 @dataclass(frozen=True)
 class Model:
+    """handed: for each round, how many texts the content view and the metadata view handed over."""
+
     content: np.ndarray
     meta: np.ndarray
     content_scale: tuple[float, float]
@@ -151,108 +159,171 @@ class Model:
         return _sigmoid(a * first + b * second + c)
 
 
-def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    out = np.zeros((len(rows), CONTENT_DIM), np.float32)
-    for i, (at, v) in enumerate(rows):
-        out[i, at] = v
-    return out
+#: (round, content weights, metadata weights, texts to hand over by label) -> what each view hands over: dense rows, labels
+Pick = Callable[[int, np.ndarray, np.ndarray, tuple[int, int]], list[tuple[np.ndarray, np.ndarray]]]
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, keep_good: float = 0.995) -> Model:
+def co_train(x: np.ndarray, y: np.ndarray, pick: Pick, rounds: int = ROUNDS, handed_texts: int = HANDED_TEXTS, keep_good: float = 0.995) -> Model:
     """Fit both views with exchanged pseudo-labels; a fifth of the labelled rows is held back for calibration.
 
-    threshold: the lowest score that at least keep_good of the held-back good rows reach, at most 1/2, so that rejecting below
-    it spares good documents.
+    Labels are handed over in the labelled rows' proportion. threshold: the lowest score that at least keep_good of the
+    held-back good rows reach, at most 1/2, so that rejecting below it spares good documents.
     """
     held = np.arange(len(y)) % 5 == 4
     held = held if 0 < y[held].sum() < held.sum() else np.ones(len(y), bool)
     fit = ~held if (~held).any() and 0 < y[~held].sum() < (~held).sum() else np.ones(len(y), bool)
-    # labels that each view may learn from: its own copy of the labelled rows, and what the other view hands over
-    extra = {"content": (np.zeros(0, int), np.zeros(0)), "meta": (np.zeros(0, int), np.zeros(0))}
-    views = {"content": (content, pool_content), "meta": (meta, pool_meta)}
     base = max(0.02, min(0.98, float(y[fit].mean())))
-    weights, handed = {}, []
+    good = round(handed_texts * base)
+    views = slice(0, CONTENT_DIM), slice(CONTENT_DIM, None)
+    # what each view may learn from: its own copy of the labelled rows, and what the other view hands over
+    taught = [(x[fit][:, v], y[fit], np.ones(fit.sum())) for v in views]
+    handed = []
     for turn in range(rounds + 1):
-        for name, (x, pool) in views.items():
-            rows, labels = extra[name]
-            both = np.concatenate([x[fit], pool[rows]])
-            target = np.r_[y[fit], labels]
-            w = np.where(target > 0.5, 0.5 / base, 0.5 / (1 - base)) * np.r_[np.ones(fit.sum()), np.full(len(rows), 0.3)]
-            weights[name] = fit_logistic(both, target, w)
-        if turn == rounds or len(pool_content) == 0:
+        weights = [fit_logistic(rows, to, np.where(to > 0.5, 0.5 / base, 0.5 / (1 - base)) * weight) for rows, to, weight in taught]
+        if turn == rounds:
             break
-        sizes = []
-        for name, other in (("content", "meta"), ("meta", "content")):
-            p = _sigmoid(views[name][1] @ weights[name])
-            sure = np.maximum(p, 1 - p)
-            taken = set(extra[other][0].tolist())
-            new = [i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] >= SURE and i not in taken][: max(1, int(SHARE * len(p)))]
-            extra[other] = np.r_[extra[other][0], np.array(new, int)], np.r_[extra[other][1], (p[new] > 0.5).astype(float)]
-            sizes.append(len(new))
-        handed.append(tuple(sizes))
-    z = {name: x[held] @ weights[name] for name, (x, _) in views.items()}
-    scale = {name: fit_scale(v, y[held]) for name, v in z.items()}
-    first, second = (scale[k][0] * z[k] + scale[k][1] for k in ("content", "meta"))
+        given = pick(turn, weights[0], weights[1], (handed_texts - good, good))
+        for (rows, to), other in zip(given, (1, 0)):
+            old = taught[other]
+            taught[other] = np.concatenate([old[0], rows[:, views[other]]]), np.r_[old[1], to], np.r_[old[2], np.full(len(to), 0.3)]
+        handed.append(tuple(len(to) for _, to in given))
+    z = [x[held][:, v] @ w for v, w in zip(views, weights)]
+    scale = [fit_scale(v, y[held]) for v in z]
+    first, second = (a * v + b for v, (a, b) in zip(z, scale))
     w = fit_logistic(np.stack([first, second, np.ones(len(first))], axis=1), y[held], np.ones(held.sum()), ridge=1e-3)
-    model = Model(weights["content"], weights["meta"], scale["content"], scale["meta"], tuple(w.tolist()), 0.5, tuple(handed))
-    good = np.sort(model.score(z["content"], z["meta"])[y[held] > 0.5])
-    cut = float(min(0.5, good[int((1 - keep_good) * len(good))])) if len(good) else 0.0
+    model = Model(weights[0], weights[1], scale[0], scale[1], tuple(w.tolist()), 0.5, tuple(handed))
+    ranked = np.sort(model.score(z[0], z[1])[y[held] > 0.5])
+    # less a hair, as tasks add in another order
+    cut = float(min(0.5, ranked[int((1 - keep_good) * len(ranked))] - 1e-6)) if len(ranked) else 0.0
     return Model(**{**model.__dict__, "threshold": cut})
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _views(text: Column, source: Column, lang: Column, n_chars: Column) -> Column:
+    @F.pandas_udf(VIEW_TYPE)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        buckets = Buckets()
+        for texts, *others in batches:
+            at, value = [], []
+            for t, *known in zip(texts, *others):
+                columns, share = content_features(t, buckets)
+                meta = meta_features(*known)
+                own = meta.nonzero()[0]
+                at.append(np.r_[columns, CONTENT_DIM + own].astype(np.int16))
+                value.append(np.r_[share, meta[own]].astype(np.float32))
+            yield pd.DataFrame({"at": at, "value": value})
+
+    return run(text, source, lang, n_chars)
+
+
+def described(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs, a hash of each text and what the views see of each row, written; docs that are described already as they are."""
+    if VIEW in docs.columns:
+        return docs
+
     def column(name, kind):
         return F.col(name).cast(kind) if name in docs.columns else F.lit(None).cast(kind)
 
-    return docs.select(
-        F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), column("source", "string").alias("source"),
-        column("lang", "string").alias("lang"), column("n_chars", "double").alias("n_chars"),
-    )
+    view = _views(text_or_empty(text_col), column("source", "string"), column("lang", "string"), column("n_chars", "double"))
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    return stored(docs.withColumn(HASH, F.xxhash64(text_or_empty(text_col))).withColumn(VIEW, view).select(*(F.col(f"`{c}`") for c in kept), HASH, VIEW), "described")
+
+
+def _logits(content: np.ndarray, meta: np.ndarray) -> Column:
+    """Both views' weighted sums over VIEW, as a struct."""
+    both = np.r_[content, np.zeros(META_DIM)], np.r_[np.zeros(CONTENT_DIM), meta]
+
+    @F.arrow_udf("struct<content: double, meta: double>")
+    def run(at: pa.Array, value: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+        columns, values = at.flatten().to_numpy(), value.flatten().to_numpy()
+        sums = [np.bincount(row, w[columns] * values, len(at)) for w in both]
+        return pa.StructArray.from_arrays([pa.array(s) for s in sums], names=["content", "meta"])
+
+    return run(F.col(f"{VIEW}.at"), F.col(f"{VIEW}.value"))
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    buckets = Buckets()
-    for pdf in batches:
-        rows = [content_features(t, buckets) for t in pdf["text"]]
-        meta = [meta_features(*x) for x in zip(pdf["source"], pdf["lang"], pdf["n_chars"])]
-        yield pd.DataFrame({"label": pdf["label"], "at": [a for a, _ in rows], "value": [v for _, v in rows], "meta": meta})
+def _dense(at: pd.Series, value: pd.Series) -> np.ndarray:
+    out = np.zeros((len(at), CONTENT_DIM + META_DIM), np.float32)
+    for i, (a, v) in enumerate(zip(at, value)):
+        out[i, np.asarray(a, int)] = v
+    return out
+
+
+def _one_each(rows: DataFrame, *by: str) -> pd.DataFrame:
+    """One row of VIEW for each value of `by`, whatever the number of copies; callers bound the number of values."""
+    return rows.groupBy(*by).agg(F.max(F.struct(HASH, VIEW)).alias("v")).select(*by, F.col(f"v.{HASH}").alias("text"), f"v.{VIEW}.at", f"v.{VIEW}.value").orderBy(*by).toPandas()
+
+
+def _hashes(spark: SparkSession, values: set) -> DataFrame:
+    return spark.createDataFrame([(int(h),) for h in sorted(values)], f"{HASH} long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED_ROWS, pool: int = POOL_ROWS) -> Model | None:
-    """Fit on at most `labelled` labelled and `pool` unlabelled rows, drawn by hash of the id; None if a class has no label.
+def _picker(rows: DataFrame) -> Pick:
+    """Hands over texts of `rows`: all rows are judged, and of those a view is sure of, some texts are drawn by hash.
 
-    Labels other than 0 and 1, null ids and labels without document are ignored; of an id labelled twice, the larger counts.
+    A round reads the written views twice, to judge and to fetch the drawn; about twice HANDED_TEXTS hashes reach the driver.
+    """
+    spark, taken = rows.sparkSession, {"content": set(), "meta": set()}
+    span = 1 << 30
+
+    def pick(turn: int, content: np.ndarray, meta: np.ndarray, sizes: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        z = rows.select(HASH, _logits(content, meta).alias("z")).select(HASH, "z.content", "z.meta")
+        sure = float(np.log(SURE / (1 - SURE)))
+        judged = stored(z.filter((F.abs("content") >= sure) | (F.abs("meta") >= sure)), "judged")
+        groups = [(name, label, F.col(name) >= sure if label else F.col(name) <= -sure) for name in taken for label in (0, 1)]
+        texts = judged.agg(*(F.approx_count_distinct(F.when(test, F.col(HASH))).alias(f"{name}{label}") for name, label, test in groups)).first()
+        draw = F.pmod(F.xxhash64(F.col(HASH), F.lit(turn)), F.lit(span))
+
+        def within(name, label, test):
+            wanted = 2 * sizes[label] + len(taken[name]) + 50
+            return F.when(test & (draw < int(min(1.0, wanted / max(1, texts[f"{name}{label}"])) * span)), F.lit(label))
+
+        drawn = judged.select(HASH, draw.alias("draw"), *(F.coalesce(*(within(*g) for g in groups if g[0] == name)).alias(name) for name in taken))
+        drawn = drawn.filter("content is not null or meta is not null").distinct().toPandas().sort_values(["draw", HASH])
+        chosen = {}
+        for name, known in taken.items():
+            new = drawn[drawn[name].notna() & ~drawn[HASH].isin(known)].drop_duplicates(HASH)
+            chosen[name] = pd.concat([new[new[name] == label].head(sizes[label]) for label in (0, 1)])
+            known.update(chosen[name][HASH].tolist())
+        wanted = _hashes(spark, {h for c in chosen.values() for h in c[HASH]})
+        found = _one_each(rows.join(F.broadcast(wanted), HASH), HASH)
+        x, place = _dense(found["at"], found["value"]), {h: i for i, h in enumerate(found[HASH])}
+        return [(x[[place[h] for h in c[HASH]]], c[name].to_numpy(float)) for name, c in chosen.items()]
+
+    return pick
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED_ROWS) -> Model | None:
+    """Fit on at most `labelled` labelled rows, drawn by hash of the id; None if a class has no label.
+
+    All documents whose text isn't among those rows may get pseudo-labels. Labels other than 0 and 1, null ids and labels
+    without document are ignored; of an id labelled twice, the larger counts; of an id with several texts, one is learnt.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("lid")).agg(F.max(label_col).cast("double").alias("label"))
-    rows = _rows(docs, id_col, text_col)
+    rows = described(docs, text_col, keep_text=False).select(F.col(id_col).cast("long").alias("id"), HASH, VIEW)
     ids = rows.select("id").filter("id is not null").distinct()
-    # the drawn ids first: texts are read for them only
-    some = bounded_draw(ids.join(known, ids["id"] == known["lid"]).select("id", "label"), "id", labelled, 23)
-    rest = ids.join(known, ids["id"] == known["lid"], "left_anti").select("id", F.lit(None).cast("double").alias("label"))
-    rest = bounded_draw(rest, "id", pool, 23)
-    drawn = stored(some.unionByName(rest), "drawn")
-    sample = rows.join(F.broadcast(drawn), "id").mapInPandas(_described, "label double, at array<int>, value array<float>, meta array<double>").toPandas()
+    # the drawn ids first: views are read for them only
+    drawn = stored(bounded_draw(ids.join(known, ids["id"] == known["lid"]).select("id", "label"), "id", labelled, 23), "drawn")
+    sample = _one_each(rows.join(F.broadcast(drawn), "id"), "id", "label")
+    # in the order of the draw, so that what is held back is not a matter of ids
+    sample = sample.assign(at_draw=[_bucket(str(i), 1 << 30) for i in sample["id"]]).sort_values(["at_draw", "id"])
     y = sample["label"].to_numpy(float)
-    content = _dense([(np.asarray(a, int), np.asarray(v)) for a, v in zip(sample["at"], sample["value"])])
-    meta = np.array(sample["meta"].tolist(), float).reshape(len(sample), -1)
-    del sample
-    own = ~np.isnan(y)
-    if not 0 < y[own].sum() < own.sum():
+    if not 0 < y.sum() < len(y):
         return None
-    return co_train(content[own], meta[own], y[own], content[~own], meta[~own])
+    learnt = _hashes(docs.sparkSession, set(sample["text"]))
+    return co_train(_dense(sample["at"], sample["value"]), y, _picker(rows.join(F.broadcast(learnt), HASH, "left_anti")))
 
 
-def _scored(model: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets = Buckets()
-        for pdf in batches:
-            first = np.array([model.content[a] @ v for a, v in (content_features(t, buckets) for t in pdf["text"])])
-            second = np.array([meta_features(*x) @ model.meta for x in zip(pdf["source"], pdf["lang"], pdf["n_chars"])])
-            if len(pdf):
-                p = model.score(first, second)
-                yield pd.DataFrame({"id": pdf["id"], "content_score": _sigmoid(model.content_scale[0] * first + model.content_scale[1]), "meta_score": _sigmoid(model.meta_scale[0] * second + model.meta_scale[1]), "score": p, "kept": p >= model.threshold})
+def _judged(docs: DataFrame, model: Model, text_col: str, keep_text: bool) -> DataFrame:
+    """Described docs with the views' calibrated logits and the joint score."""
+    (a, b), (c, d), (e, f, g) = model.content_scale, model.meta_scale, model.joint
+    rows = described(docs, text_col, keep_text).withColumn("tessera_z", _logits(model.content, model.meta))
+    first, second = F.col("tessera_z.content") * a + b, F.col("tessera_z.meta") * c + d
+
+    def probability(z):
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
-    return run
+    return rows.withColumn("tessera_p", F.struct(probability(first).alias("content"), probability(second).alias("meta"), probability(first * e + second * f + g).alias("score")))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,27 +333,19 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     gives an empty result; columns other than id, text, source, lang and n_chars are ignored. Without a model (no labels of
     both classes) scores are null and all documents are kept.
     """
-    rows = _rows(docs, id_col, text_col)
     if model is None:
         void = F.lit(None).cast("double")
-        return rows.select(F.col("id").alias(id_col), void.alias("content_score"), void.alias("meta_score"), void.alias("score"), F.lit(True).alias("kept"))
-    out = rows.mapInPandas(_scored(model), "id long, content_score double, meta_score double, score double, kept boolean")
-    return out.withColumnRenamed("id", id_col)
+        return docs.select(F.col(id_col).cast("long").alias(id_col), void.alias("content_score"), void.alias("meta_score"), void.alias("score"), F.lit(True).alias("kept"))
+    p = F.col("tessera_p")
+    return _judged(docs, model, text_col, False).select(
+        F.col(id_col).cast("long").alias(id_col), p["content"].alias("content_score"), p["meta"].alias("meta_score"), p["score"].alias("score"),
+        (p["score"] >= model.threshold).alias("kept"),
+    )
 
 
-def keep_good(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The documents the classifier keeps, with all their columns. Rows without id are kept as scored by their text."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in (HASH, VIEW)]
     if model is None:
-        return docs
-    schema = docs.schema
-    run = _scored(model)
-
-    def filtered(batches):
-        for pdf in batches:
-            frame = pd.DataFrame({c: pdf[c] if c in pdf else None for c in ("source", "lang", "n_chars")})
-            frame["id"], frame["text"] = pdf[id_col], pdf[text_col].fillna("")
-            frame["n_chars"] = pd.to_numeric(frame["n_chars"], errors="coerce")
-            for scored in run(iter([frame])):
-                yield pdf[scored["kept"].to_numpy()]
-
-    return docs.mapInPandas(filtered, schema)
+        return docs.select(*own)
+    return _judged(docs, model, text_col, True).filter(F.col("tessera_p.score") >= model.threshold).select(*own)

@@ -26,7 +26,7 @@ def op3_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = quality.described(table(spark, sf_dir, "documents"), keep_text=False)
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 

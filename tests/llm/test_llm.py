@@ -211,6 +211,32 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.keep_good(docs.limit(0), model).count() == 0
 
 
+def test_logits_of_written_views(spark, docs):
+    rng = np.random.default_rng(5)
+    content, meta = rng.normal(size=quality.CONTENT_DIM), rng.normal(size=quality.META_DIM)
+    rows = quality.described(docs).select("doc_id", "text", "source", "lang", "n_chars", quality._logits(content, meta).alias("z")).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        at, value = quality.content_features(r["text"] or "", quality.Buckets())
+        assert abs(r["z"]["content"] - content[at] @ value) < 1e-4
+        assert abs(r["z"]["meta"] - quality.meta_features(r["source"], r["lang"], r["n_chars"]) @ meta) < 1e-4
+
+
+def test_pseudo_labels_come_from_all_texts_and_only_once(spark):
+    """One text holds most rows; every other sure text is handed over before any comes twice."""
+    rows = [(i, "!" * 50 if i < 300 else f"!{i}", "x", None, None) for i in range(340)] + [(None, f"a{i}", "y", None, 1) for i in range(9)]
+    data = quality.described(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"))
+    content, meta = np.zeros(quality.CONTENT_DIM), np.zeros(quality.META_DIM)
+    content[quality.BUCKETS] = 1000.0  # the first sign is "!"
+    content[quality.BUCKETS + len(quality.SIGNS)] = -20.0
+    pick = quality._picker(data)
+    given = [pick(turn, content, meta, (4, 25)) for turn in range(3)]
+    labels = [sorted(g[0][1].tolist()) for g in given]
+    assert labels == [[0] * 4 + [1] * 25, [0] * 4 + [1] * 16, [0]] and not any(len(g[1][1]) for g in given)
+    seen = [tuple(x) for g in given for x in g[0][0][:, : quality.BUCKETS]]
+    assert len(seen) == 50
+
+
 def test_features_see_whole_words():
     def at(text):
         return {int(c) for c in quality.content_features(text, quality.Buckets())[0] if c < quality.BUCKETS}
