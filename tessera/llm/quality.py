@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_draw, stored, text_or_empty
@@ -38,6 +38,9 @@ CONTENT_DIM = BUCKETS + len(SIGNS) + 14
 META_DIM = 2 * META_BUCKETS + 4
 #: Columns that described() adds.
 HASH, VIEW = "tessera_text_hash", "tessera_view"
+LOGITS = "tessera_content", "tessera_meta"
+#: Rows that are handed to and from Python at a time.
+SLICE = 1000
 VIEW_TYPE = "struct<at: array<smallint>, value: array<float>>"
 
 
@@ -198,21 +201,15 @@ def co_train(x: np.ndarray, y: np.ndarray, pick: Pick, rounds: int = ROUNDS, han
     return Model(**{**model.__dict__, "threshold": cut})
 
 
-def _views(text: Column, source: Column, lang: Column, n_chars: Column) -> Column:
-    @F.pandas_udf(VIEW_TYPE)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        buckets = Buckets()
-        for texts, *others in batches:
-            at, value = [], []
-            for t, *known in zip(texts, *others):
-                columns, share = content_features(t, buckets)
-                meta = meta_features(*known)
-                own = meta.nonzero()[0]
-                at.append(np.r_[columns, CONTENT_DIM + own].astype(np.int16))
-                value.append(np.r_[share, meta[own]].astype(np.float32))
-            yield pd.DataFrame({"at": at, "value": value})
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), SLICE):
+            yield batch.slice(start, SLICE)
+
 
-    return run(text, source, lang, n_chars)
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *arrays]).astype(kind)))
 
 
 def described(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -221,25 +218,47 @@ def described(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -
         return docs
 
     def column(name, kind):
-        return F.col(name).cast(kind) if name in docs.columns else F.lit(None).cast(kind)
+        return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(f"tessera_{name}")
+
+    own = [c for c in docs.columns if keep_text or c != text_col]
+    asked = docs.select(
+        *(F.col(f"`{c}`") for c in own), F.xxhash64(text_or_empty(text_col)).alias(HASH), text_or_empty(text_col).alias("tessera_text"),
+        column("source", "string"), column("lang", "string"), column("n_chars", "double"),
+    )
+    schema = asked.select(*(F.col(f"`{c}`") for c in own), HASH, F.lit(None).cast(VIEW_TYPE).alias(VIEW)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets()
+        for batch in _slices(batches):
+            at, value = [], []
+            for t, *known in zip(*(batch.column(f"tessera_{c}").to_pylist() for c in ("text", "source", "lang", "n_chars"))):
+                columns, share = content_features(t, buckets)
+                meta = meta_features(*known)
+                place = meta.nonzero()[0]
+                at.append(np.r_[columns, CONTENT_DIM + place])
+                value.append(np.r_[share, meta[place]])
+            view = pa.StructArray.from_arrays([_lists(at, np.int16), _lists(value, np.float32)], names=["at", "value"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*own, HASH)), view], names=[*own, HASH, VIEW])
 
-    view = _views(text_or_empty(text_col), column("source", "string"), column("lang", "string"), column("n_chars", "double"))
-    kept = [c for c in docs.columns if keep_text or c != text_col]
-    return stored(docs.withColumn(HASH, F.xxhash64(text_or_empty(text_col))).withColumn(VIEW, view).select(*(F.col(f"`{c}`") for c in kept), HASH, VIEW), "described")
+    return stored(asked.mapInArrow(run, schema), "described")
 
 
-def _logits(content: np.ndarray, meta: np.ndarray) -> Column:
-    """Both views' weighted sums over VIEW, as a struct."""
+def _logits(rows: DataFrame, content: np.ndarray, meta: np.ndarray) -> DataFrame:
+    """Described rows with both views' weighted sums, as two columns in place of VIEW."""
     both = np.r_[content, np.zeros(META_DIM)], np.r_[np.zeros(CONTENT_DIM), meta]
+    own = [c for c in rows.columns if c != VIEW]
+    schema = rows.select(*(F.col(f"`{c}`") for c in own), *(F.lit(None).cast("double").alias(c) for c in LOGITS)).schema
 
-    @F.arrow_udf("struct<content: double, meta: double>")
-    def run(at: pa.Array, value: pa.Array) -> pa.Array:
-        row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
-        columns, values = at.flatten().to_numpy(), value.flatten().to_numpy()
-        sums = [np.bincount(row, w[columns] * values, len(at)) for w in both]
-        return pa.StructArray.from_arrays([pa.array(s) for s in sums], names=["content", "meta"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            view = batch.column(VIEW)
+            at, value = view.field("at"), view.field("value")
+            row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+            columns, values = at.flatten().to_numpy(), value.flatten().to_numpy()
+            sums = [pa.array(np.bincount(row, w[columns] * values, len(at))) for w in both]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *sums], names=[*own, *LOGITS])
 
-    return run(F.col(f"{VIEW}.at"), F.col(f"{VIEW}.value"))
+    return rows.mapInArrow(run, schema)
 
 
 def _dense(at: pd.Series, value: pd.Series) -> np.ndarray:
@@ -267,7 +286,7 @@ def _picker(rows: DataFrame) -> Pick:
     span = 1 << 30
 
     def pick(turn: int, content: np.ndarray, meta: np.ndarray, sizes: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        z = rows.select(HASH, _logits(content, meta).alias("z")).select(HASH, "z.content", "z.meta")
+        z = _logits(rows.select(HASH, VIEW), content, meta).toDF(HASH, "content", "meta")
         sure = float(np.log(SURE / (1 - SURE)))
         judged = stored(z.filter((F.abs("content") >= sure) | (F.abs("meta") >= sure)), "judged")
         groups = [(name, label, F.col(name) >= sure if label else F.col(name) <= -sure) for name in taken for label in (0, 1)]
@@ -317,8 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _judged(docs: DataFrame, model: Model, text_col: str, keep_text: bool) -> DataFrame:
     """Described docs with the views' calibrated logits and the joint score."""
     (a, b), (c, d), (e, f, g) = model.content_scale, model.meta_scale, model.joint
-    rows = described(docs, text_col, keep_text).withColumn("tessera_z", _logits(model.content, model.meta))
-    first, second = F.col("tessera_z.content") * a + b, F.col("tessera_z.meta") * c + d
+    rows = _logits(described(docs, text_col, keep_text), model.content, model.meta)
+    first, second = F.col(LOGITS[0]) * a + b, F.col(LOGITS[1]) * c + d
 
     def probability(z):
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))

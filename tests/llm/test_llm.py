@@ -211,15 +211,16 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.keep_good(docs.limit(0), model).count() == 0
 
 
-def test_logits_of_written_views(spark, docs):
+def test_logits_of_written_views(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE", 7)
     rng = np.random.default_rng(5)
     content, meta = rng.normal(size=quality.CONTENT_DIM), rng.normal(size=quality.META_DIM)
-    rows = quality.described(docs).select("doc_id", "text", "source", "lang", "n_chars", quality._logits(content, meta).alias("z")).collect()
+    rows = quality._logits(quality.described(docs), content, meta).collect()
     assert len(rows) == docs.count()
     for r in rows:
         at, value = quality.content_features(r["text"] or "", quality.Buckets())
-        assert abs(r["z"]["content"] - content[at] @ value) < 1e-4
-        assert abs(r["z"]["meta"] - quality.meta_features(r["source"], r["lang"], r["n_chars"]) @ meta) < 1e-4
+        assert abs(r["tessera_content"] - content[at] @ value) < 1e-4
+        assert abs(r["tessera_meta"] - quality.meta_features(r["source"], r["lang"], r["n_chars"]) @ meta) < 1e-4
 
 
 def test_pseudo_labels_come_from_all_texts_and_only_once(spark):
