@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, html_extraction, ngram_join, oracles, packing, quality, sharding, substring_dedup, vector_dedup, vector_search
+from tessera.llm import bpe, chat, filter_audit, html_extraction, ngram_join, oracles, packing, prefix_trie, quality, sharding, substring_dedup, toxicity, vector_dedup, vector_search
 from tessera.llm.common import table
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +54,27 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_splitters(table(spark, sf_dir, "documents"))
 
 
+def op11_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    built = (op1_suffix_array, op2_prefix_target, op3_dom_boosting, op4_co_training, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op8_vertical_join, op9_hilbert_packing, op10_sampled_splitters, pipeline)
+    built = (op1_suffix_array, op2_prefix_target, op3_dom_boosting, op4_co_training, op5_kmeans_tree, op6_merge_replay, op7_metric_join, op8_vertical_join, op9_hilbert_packing, op10_sampled_splitters, op11_toxic_spans, op12_filter_audit, op13_prefix_trie, pipeline)
     return {f.__name__: f for f in built}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_prefix_target": oracles.CHAT, "op7_metric_join": oracles.VECTOR_LINKS, "op8_vertical_join": oracles.NEAR_DUPLICATES}
+    return {"op2_prefix_target": oracles.CHAT, "op7_metric_join": oracles.VECTOR_LINKS, "op8_vertical_join": oracles.NEAR_DUPLICATES, "op12_filter_audit": oracles.FILTER_AUDIT, "op13_prefix_trie": oracles.PREFIX_TRIE}
