@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ TIMES, SURPRISE = 8.0, 24.0
 CHAIN = 128
 WEIGHTS = 1 << 18
 SLICE = 500
-MEMORY = 1 << 17
+MEMORY = 1 << 19
 STEPS = 80
 # Thai and Lao, Burmese, Khmer, kana, Han: written without spaces, a token each.
 LONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
@@ -51,14 +52,15 @@ def beginnings(word: str) -> list[str]:
     return [f"={word}", *(word[:k] for k in range(3, min(7, len(word))))]
 
 
-def features(word: str) -> tuple[list[str], list[str], list[str]]:
-    """What a word says of itself, of the word after it and of the word before it."""
-    own = ["bias", *beginnings(word), f"-{word[-3:]}", f"#{min(len(word), 12)}"]
-    return own, [f">{word}", f">{word[:4]}-"], [f"<{word}", f"<{word[:4]}-"]
-
-
-def places(names: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) % WEIGHTS for n in names], np.int64)
+def features(word: str) -> tuple[list[int], list[int], list[int]]:
+    """Hashed features: what a word says of itself, of the word after it and of the word before it."""
+    b, crc = word.encode("utf-8", "surrogatepass"), zlib.crc32
+    n, mask = len(b), WEIGHTS - 1
+    own = [min(n, 12), crc(b, 1) & mask, crc(b[-3:], 2) & mask]
+    if n > 3:
+        own += [crc(b[:k], 3) & mask for k in range(3, min(7, n))]
+    begin = b[:4]
+    return own, [crc(b, 4) & mask, crc(begin, 5) & mask], [crc(b, 6) & mask, crc(begin, 7) & mask]
 
 
 @dataclass(frozen=True)
@@ -72,31 +74,31 @@ class Field:
 
 
 class Words(dict):
-    """Word -> row of `own`, `after`, `before`, its shares of the emissions of itself and its neighbours; forgets all when full."""
+    """Word -> place in `own`, `after`, `before`, its shares of the emissions of itself and its neighbours; forgets all when full."""
 
     def __init__(self, field: Field):
         super().__init__()
-        self.field = field
-        self.shares = np.zeros((3, MEMORY + (1 << 16)))
+        self.weights = field.weights.tolist()
         self.clear()
 
     def clear(self) -> None:
         super().clear()
         self.update(dict.fromkeys(ENDS, 0))
-        self.next = 1
+        self.own, self.after, self.before = (array("d", [0.0]) for _ in range(3))
+
+    def full(self, tokens: int) -> bool:
+        """Whether so many more might be too many."""
+        return len(self.own) + tokens > MEMORY
 
-    def room(self, tokens: int) -> None:
-        """Forgets, if the next tokens might not fit; rows given out before are void then."""
-        if self.next + min(tokens, 1 << 16) > MEMORY:
-            self.clear()
+    def shares(self) -> np.ndarray:
+        return np.stack([self.own, self.after, self.before])
 
     def __missing__(self, word: str) -> int:
-        if self.next >= self.shares.shape[1]:
-            self.shares = np.concatenate([self.shares, np.zeros_like(self.shares)], axis=1)
-        self[word] = at = self.next
-        for share, names in zip(self.shares, features(word)):
-            share[at] = self.field.weights[places(names)].sum()
-        self.next += 1
+        self[word] = at = len(self.own)
+        w, (own, (a, b), (c, d)) = self.weights, features(word)
+        self.own.append(sum([w[i] for i in own]))
+        self.after.append(w[a] + w[b])
+        self.before.append(w[c] + w[d])
         return at
 
 
@@ -160,8 +162,8 @@ def fit_field(sentences: list[tuple[list[str], list[int]]], steps: int = STEPS,
     # per role: features of all distinct words, end to end
     roles = []
     for role in range(3):
-        lists = [places(features(w)[role]) for w in known]
-        roles.append((np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])))
+        lists = [features(w)[role] for w in known]
+        roles.append((np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)))
     first, last = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
     first[starts], last[starts + lengths - 1] = True, True
     weights, moves, begin = np.zeros(WEIGHTS), np.zeros((2, 2)), 0.0
@@ -231,7 +233,7 @@ def _summaries(field: Field, words: Words, texts: list[str], spans: bool) -> tup
         rows = np.concatenate([r for _, r in group])
         ends = np.cumsum([len(r) for _, r in group])
         starts, lengths = chains(rows, ends)
-        forward, backward = log_odds(field, emissions(words.shares, rows, starts, lengths), starts, lengths)
+        forward, backward = log_odds(field, emissions(words.shares(), rows, starts, lengths), starts, lengths)
         z = np.where(rows == 0, -30.0, np.clip(forward + backward, -30, 30))
         for (i, r), end in zip(group, ends):
             own = z[end - len(r) : end]
@@ -242,11 +244,11 @@ def _summaries(field: Field, words: Words, texts: list[str], spans: bool) -> tup
 
     for i, text in enumerate(texts):
         tokens = pattern_of(text).findall(text.lower())
-        if group and (size + len(tokens) > 200_000 or words.next + len(tokens) > MEMORY):
+        if group and (size + len(tokens) > 200_000 or words.full(len(tokens))):
             flush()
             group, size = [], 0
-        if not group:
-            words.room(len(tokens))
+        if not group and words.full(len(tokens)):
+            words.clear()
         group.append((i, np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))))
         size += len(tokens)
     if group:
