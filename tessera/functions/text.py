@@ -47,3 +47,9 @@ def plain_name(names: pd.Series) -> pd.Series:
         return "".join(c for c in unicodedata.normalize("NFKD", (s or "").lower()) if not unicodedata.combining(c)).strip()
 
     return names.map(one)
+
+
+def name_key(name) -> Column:
+    """A name to be compared, joined or grouped by: equal for names that differ in case, accents or outer blanks; null is empty."""
+    trimmed = F.regexp_replace(F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit("")), r"^\s+|\s+$", "")
+    return F.collate(trimmed, "UNICODE_CI_AI")

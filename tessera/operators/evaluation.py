@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import BANDS, THRESHOLDS
 from tessera.functions.scores import percent, to_decimals
-from tessera.functions.text import plain_name
+from tessera.functions.text import name_key
 
 
 def first_hits(rankings: DataFrame, questions: DataFrame, k: int, runs: list[str]) -> DataFrame:
@@ -19,8 +19,8 @@ def first_hits(rankings: DataFrame, questions: DataFrame, k: int, runs: list[str
 
 def named_hits(rankings: DataFrame) -> DataFrame:
     """rankings with hit: whether a fragment's activity, tool or section is the expected name, case and accents aside."""
-    wanted = plain_name("expected")
-    match = [F.coalesce(plain_name(c) == wanted, F.lit(False)) for c in ("actividad", "herramienta", "seccion")]
+    wanted = name_key("expected")
+    match = [name_key(c) == wanted for c in ("actividad", "herramienta", "seccion")]
     return rankings.withColumn("hit", (wanted != "") & (match[0] | match[1] | match[2]))
 
 
@@ -59,16 +59,31 @@ def score_table(hits: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.select("qid", "category").join(per, "qid", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
+def _reached(score: str, steps: list[float]) -> Column:
+    """How many of the rising steps a score reaches; 0 for null."""
+    return F.coalesce(sum(((F.col(score) >= t).cast("int") for t in steps[1:]), (F.col(score) >= steps[0]).cast("int")), F.lit(0))
+
+
 def sweep(scores: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """What each threshold rejects and keeps. The grid is a small fixed table, so it is broadcast; one pass over scores."""
-    grid = F.broadcast(scores.sparkSession.createDataFrame([(t,) for t in thresholds], "umbral double"))
-    low = F.col("best") < F.col("umbral")
+    """What each threshold rejects and keeps.
+
+    Scores are read once into a histogram over the thresholds, whose few rows are then summed for each of them.
+    """
+    steps = sorted(thresholds)
+    counted = scores.groupBy("category", _reached("best", steps).alias("best"), _reached("hit_score", steps).alias("kept")).agg(F.count("*").alias("n"))
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("umbral")) for i, t in enumerate(steps, 1))))
+    each = counted.withColumn("at", at).select("*", "at.*")
+    low, n = F.col("best") < F.col("i"), F.col("n")
+
+    def total(test) -> Column:
+        return F.sum(F.when(test, n).otherwise(F.lit(0)))
+
     inside, out, vague = (F.col("category") == c for c in ("respondible", "fuera", "ambigua"))
-    return scores.crossJoin(grid).groupBy("umbral").agg(
-        percent(F.count_if(out & low), F.count_if(out)).alias("rechazo_fuera"),
-        percent(F.count_if(inside & low), F.count_if(inside)).alias("falsos_no_encuentro"),
-        percent(F.count_if(inside & F.coalesce(F.col("hit_score") >= F.col("umbral"), F.lit(False))), F.count_if(inside)).alias("recall"),
-        F.count_if(vague & low).alias("ambiguas_rechazadas"),
+    return each.groupBy("umbral").agg(
+        percent(total(out & low), total(out)).alias("rechazo_fuera"),
+        percent(total(inside & low), total(inside)).alias("falsos_no_encuentro"),
+        percent(total(inside & (F.col("kept") >= F.col("i"))), total(inside)).alias("recall"),
+        total(vague & low).alias("ambiguas_rechazadas"),
     )
 
 
@@ -81,13 +96,13 @@ def safe(swept: DataFrame) -> DataFrame:
 
 def bands(scores: DataFrame, edges: list[float] = BANDS) -> DataFrame:
     """Answerable and out-of-scope questions by band [lo, hi) of the best score; empty bands stay."""
-    grid = scores.sparkSession.createDataFrame(list(zip(edges, edges[1:])), "lo double, hi double")
-    rows = F.broadcast(grid).join(scores, (F.col("best") >= F.col("lo")) & (F.col("best") < F.col("hi")), "left")
     inside, out = F.col("category") == "respondible", F.col("category") == "fuera"
-    return rows.groupBy("lo", "hi").agg(
-        F.count_if(inside).alias("respondibles"), percent(F.count_if(inside & (F.col("hit_rank") == 1)), F.count_if(inside)).alias("seccion_primera"),
-        F.count_if(out).alias("fuera"),
-    ).select(F.col("lo").alias("desde"), F.least("hi", F.lit(1.0)).alias("hasta"), "respondibles", "seccion_primera", "fuera")
+    counted = scores.groupBy(_reached("best", edges).alias("band")).agg(
+        F.count_if(inside).alias("respondibles"), F.count_if(inside & (F.col("hit_rank") == 1)).alias("first"), F.count_if(out).alias("fuera")
+    )
+    grid = scores.sparkSession.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip(edges, edges[1:]), 1)], "band int, desde double, hi double")
+    rows = grid.join(counted, "band", "left").fillna(0, ["respondibles", "first", "fuera"])
+    return rows.select("desde", F.least("hi", F.lit(1.0)).alias("hasta"), "respondibles", percent(F.col("first"), F.col("respondibles")).alias("seccion_primera"), "fuera")
 
 
 def class_gap(scores: DataFrame) -> DataFrame:

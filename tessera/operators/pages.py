@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions.text import tidy, unescape, word_count
+from tessera.session import materialized
 
 
 def _intervals(df: DataFrame, starts: list[tuple[int, str]], name: str) -> DataFrame:
@@ -22,6 +23,30 @@ def as_of(df: DataFrame, starts: list[tuple[int, str]], name: str, start: str |
     return out.withColumnRenamed("lo", start) if start else out.drop("lo")
 
 
+def as_of_keyed(rows: DataFrame, entries: DataFrame, key: str, at: str, start: str) -> DataFrame:
+    """rows with entry: the struct of the last of `entries` of the same key that starts at or before the row, null if there is none.
+
+    For entries that are too many to broadcast. Both sides are put together and range-partitioned by key and place, so that a key with
+    many rows or entries is spread; the last start is carried forward within a range, and from range to range by one row each. Of
+    entries with equal start the greatest counts; null keys and places have no entry.
+    """
+    told = F.struct(F.col(start), *(F.col(c) for c in entries.columns if c not in (key, start)))
+    own = rows.select(F.col(key).alias("tessera_key"), F.col(at).cast("double").alias("tessera_at"), F.lit(1).alias("tessera_side"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("tessera_row"), F.lit(None).alias("tessera_entry"))
+    other = entries.filter(F.col(key).isNotNull() & F.col(start).isNotNull()).select(
+        F.col(key).alias("tessera_key"), F.col(start).cast("double").alias("tessera_at"), F.lit(0).alias("tessera_side"), F.lit(None).alias("tessera_row"), told.alias("tessera_entry")
+    )
+    order = [F.col("tessera_at").asc_nulls_first(), "tessera_side", "tessera_entry"]
+    both = materialized(own.unionByName(other).repartitionByRange("tessera_key", "tessera_at", "tessera_side").withColumn("tessera_range", F.spark_partition_id()), "as_of")
+    here = F.last("tessera_entry", ignorenulls=True).over(Window.partitionBy("tessera_key", "tessera_range").orderBy(*order))
+    ends = both.groupBy("tessera_key", "tessera_range").agg(F.max(F.when(F.col("tessera_entry").isNotNull(), F.struct("tessera_at", "tessera_entry"))).alias("end"))
+    before = Window.partitionBy("tessera_key").orderBy("tessera_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("tessera_key", "tessera_range", F.last("end.tessera_entry", ignorenulls=True).over(before).alias("tessera_carried"))
+    found = both.select("tessera_key", "tessera_range", "tessera_side", "tessera_at", "tessera_row", here.alias("tessera_here"))
+    joined = found.filter("tessera_side = 1").join(carried, ["tessera_key", "tessera_range"], "left")
+    entry = F.when(F.col("tessera_at").isNotNull(), F.coalesce("tessera_here", "tessera_carried"))
+    return joined.select("tessera_row.*", entry.alias("entry"))
+
+
 def allowed(df: DataFrame, page: str = "page") -> DataFrame:
     keep = F.lit(False)
     for lo, hi in config.ALLOWED_PAGES:

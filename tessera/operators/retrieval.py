@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,28 +33,25 @@ def _unit(vectors) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def _best(ids, labels, fids: np.ndarray, flabel: np.ndarray, scores: np.ndarray, best: list, k: int) -> None:
+def _best(ids, fids: np.ndarray, scores: np.ndarray, best: list, k: int) -> None:
     """Keep each question's k best of what it has and of these fragments."""
     for i, q in enumerate(ids):
         ok = fids != q
-        if labels is not None and labels[i]:
-            ok &= flabel == labels[i]
         s, f = np.concatenate([best[i][0], scores[i][ok]]), np.concatenate([best[i][1], fids[ok]])
         at = _top(s, f, k)
         best[i] = s[at], f[at]
 
 
-def nearest(questions: DataFrame, fragments: DataFrame, k: int, same_label: bool = False) -> DataFrame:
+def nearest(questions: DataFrame, fragments: DataFrame, k: int) -> DataFrame:
     """(qid, fid, score, rank): the k fragments of greatest cosine (6 decimals, ties by id), never the question itself.
 
-    Up to QUESTION_BLOCK questions (qid, qv, qlabel) are broadcast; fragments (fid, fv, flabel) stay where they are and hand
+    Up to QUESTION_BLOCK questions (qid, qv) are broadcast; fragments (fid, fv) stay where they are and hand
     on k rows per question and task. More questions are dealt out in blocks of about that size, fragments in blocks of about
-    FRAGMENT_BLOCK, and every pair of blocks is one group of one job. same_label: a question's label filters fragments before
-    they are ranked; null and 0 filter nothing.
+    FRAGMENT_BLOCK, and every pair of blocks is one group of one job. vector_index has the same with a filter by label.
     """
     spark = questions.sparkSession
     schema = "qid long, fid long, score double"
-    questions, fragments = questions.select("qid", "qv", "qlabel"), fragments.select("fid", "fv", "flabel")
+    questions, fragments = questions.select("qid", "qv"), fragments.select("fid", "fv")
     n = questions.count()
     if n > QUESTION_BLOCK:
         own, parts = -(-n // QUESTION_BLOCK), max(1, -(-fragments.count() // FRAGMENT_BLOCK))
@@ -65,8 +60,7 @@ def nearest(questions: DataFrame, fragments: DataFrame, k: int, same_label: bool
             best = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
             if len(asked) and len(found):
                 scores = np.round(_unit(asked["qv"]) @ _unit(found["fv"]).T, 6)
-                labels = asked["qlabel"].fillna(0).tolist() if same_label else None
-                _best(asked["qid"], labels, found["fid"].to_numpy(), found["flabel"].to_numpy(), scores, best, k)
+                _best(asked["qid"], found["fid"].to_numpy(), scores, best, k)
             rows = [pd.DataFrame({"qid": q, "fid": f, "score": s}) for q, (s, f) in zip(asked["qid"], best)]
             return pd.concat(rows) if rows else pd.DataFrame({"qid": [], "fid": [], "score": []})
 
@@ -78,15 +72,15 @@ def nearest(questions: DataFrame, fragments: DataFrame, k: int, same_label: bool
     rows = questions.orderBy("qid").collect()
     if not rows:
         return ranked(spark.createDataFrame([], schema), k)
-    shipped = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows]), [r[2] for r in rows] if same_label else None))
+    shipped = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, labels = shipped.value
+        ids, vectors = shipped.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for pdf in batches:
             if not pdf.empty:
                 scores = np.round(vectors @ _unit(pdf["fv"]).T, 6)
-                _best(ids, labels, pdf["fid"].to_numpy(), pdf["flabel"].to_numpy(), scores, best, k)
+                _best(ids, pdf["fid"].to_numpy(), scores, best, k)
         sizes = [len(f) for _, f in best]
         yield pd.DataFrame({"qid": np.repeat(np.array(ids, np.int64), sizes), "fid": np.concatenate([f for _, f in best]), "score": np.concatenate([s for s, _ in best])})
 
@@ -121,24 +115,44 @@ def postings(fragments: DataFrame, fid: str = "doc_id", only=None) -> DataFrame:
     return _postings(fragments, fid, only).select(F.col("id").alias("fid"), F.col("n").alias("nf"), F.explode("pairs").alias("pair"))
 
 
-def lexical(questions: DataFrame, fragments: DataFrame | None, k: int, qid: str = "item_id", fid: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
+def asked(questions: DataFrame, qid: str = "item_id") -> DataFrame:
+    """(qid, nq, pair) of questions, written, as their pairs are looked at and joined."""
+    q = _postings(questions, qid).select(F.col("id").alias("qid"), F.col("n").alias("nq"), F.explode("pairs").alias("pair"))
+    return materialized(q, "asked")
+
+
+def shared(asked: DataFrame, index: DataFrame, *version: str) -> DataFrame:
+    """How many pairs a question and a fragment (of a version) share."""
+    return asked.join(index, "pair").groupBy("qid", "fid", *version, "nq", "nf").agg(F.count("*").alias("shared"))
+
+
+def pair_scores(shared: DataFrame, *version: str) -> DataFrame:
+    return shared.select(
+        "qid", "fid", *version, F.round(F.col("shared") / F.sqrt(F.col("nq") * F.col("nf")), 6).alias("score"), F.round(F.col("shared") / F.col("nq"), 6).alias("pair_score")
+    )
+
+
+def _shipped(pairs: DataFrame):
+    """The distinct pairs as a broadcast set, None if there are more than PAIRS_SHIPPED."""
+    own = [r["pair"] for r in pairs.select("pair").distinct().limit(PAIRS_SHIPPED + 1).collect()]
+    return pairs.sparkSession.sparkContext.broadcast(frozenset(own)) if len(own) <= PAIRS_SHIPPED else None
+
+
+def indexed(questions: DataFrame, fragments: DataFrame, qid: str = "item_id", fid: str = "doc_id") -> DataFrame:
+    """Stored postings of the fragments for all word pairs of the questions: one pass over texts for `lexical` and `holders`."""
+    return materialized(postings(fragments, fid, _shipped(asked(questions, qid))), "postings")
+
+
+def lexical(questions: DataFrame, fragments: DataFrame, k: int, qid: str = "item_id", fid: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
     """Candidates by shared word pairs: (qid, fid, score, rank, pair_score).
 
     score is shared / sqrt(pairs of both), pair_score shared / the question's pairs, both to 6 decimals. An inverted-index
-    join over a stored index, if one is given, or over the fragments' texts. In the latter case only pairs that questions have
-    leave the tasks that read fragments, as long as questions have at most PAIRS_SHIPPED. Texts without pairs find nothing.
+    join over the fragments' texts; only pairs that questions have leave the tasks that read fragments, as long as questions
+    have at most PAIRS_SHIPPED. With `index` (see indexed) no text is read. Texts without pairs find nothing.
+    streaming.page_index has the same over a stored index.
     """
-    q = _postings(questions, qid).select(F.col("id").alias("qid"), F.col("n").alias("nq"), F.explode("pairs").alias("pair"))
-    if index is None:
-        q = materialized(q, "asked")
-        own = [r["pair"] for r in q.select("pair").distinct().limit(PAIRS_SHIPPED + 1).collect()]
-        only = q.sparkSession.sparkContext.broadcast(frozenset(own)) if len(own) <= PAIRS_SHIPPED else None
-        index = postings(fragments, fid, only)
-    shared = q.join(index, "pair").groupBy("qid", "fid", "nq", "nf").agg(F.count("*").alias("shared"))
-    scored = shared.select(
-        "qid", "fid", F.round(F.col("shared") / F.sqrt(F.col("nq") * F.col("nf")), 6).alias("score"), F.round(F.col("shared") / F.col("nq"), 6).alias("pair_score")
-    )
-    return ranked(scored, k)
+    q = asked(questions, qid)
+    return ranked(pair_scores(shared(q, postings(fragments, fid, _shipped(q)) if index is None else index)), k)
 
 
 def shared_pairs_scorer() -> Callable[[list[tuple[str, str]]], list[float]]:
@@ -154,28 +168,54 @@ def shared_pairs_scorer() -> Callable[[list[tuple[str, str]]], list[float]]:
     return score
 
 
-def holders(questions: DataFrame, fragments: DataFrame, qid: str = "item_id", fid: str = "doc_id") -> DataFrame:
+def holders(questions: DataFrame, fragments: DataFrame, qid: str = "item_id", fid: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
     """(qid, fid) of every fragment whose text contains the question's, whatever its rank; empty texts have none.
 
     A question's first and last word may be parts of longer words in a fragment, the pairs between them may not. So fragments
-    are looked up by the rarest of those pairs and then compared; questions without such a pair are compared with all.
+    are looked up by the rarest of those pairs and then compared. Questions without such a pair, of three words or fewer, are
+    looked for in every text by one search automaton in the tasks that read fragments (up to PAIRS_SHIPPED of them, else joined).
     """
     def run(batches):
         for pdf in batches:
             own = [WORD.findall(t.lower())[1:-1] for t in pdf["item"]]
             yield pdf.assign(inner=[list(dict.fromkeys(f"{a} {b}" for a, b in zip(t, t[1:]))) for t in own])
 
-    asked = questions.select(F.col(qid).alias("qid"), F.col("text").alias("item")).filter("item != ''")
-    asked = asked.mapInPandas(run, "qid long, item string, inner array<string>")
+    rows = questions.select(F.col(qid).alias("qid"), F.col("text").alias("item")).filter("item != ''")
+    rows = materialized(rows.mapInPandas(run, "qid long, item string, inner array<string>"), "items")
     texts = fragments.select(F.col(fid).alias("fid"), F.col("text").alias("body"))
-    own = asked.select("qid", F.explode("inner").alias("pair"))
-    found_in = postings(fragments, fid).drop("nf")
-    found_in = materialized(found_in.join(own.select("pair").distinct(), "pair", "left_semi"), "postings")
+    own = rows.select("qid", F.explode("inner").alias("pair"))
+    found_in = (indexed(questions, fragments, qid, fid) if index is None else index).drop("nf").join(own.select("pair").distinct(), "pair", "left_semi")
     rarest = own.join(found_in.groupBy("pair").count(), "pair", "left").groupBy("qid").agg(F.min_by("pair", F.struct(F.coalesce("count", F.lit(0)), "pair")).alias("pair"))
     found = rarest.join(found_in, "pair").select("qid", "fid").distinct()
-    found = found.join(texts, "fid").join(asked.select("qid", "item"), "qid").filter(F.contains("body", "item"))
-    short = asked.filter(F.size("inner") == 0).select("qid", "item").join(texts, F.contains("body", "item"))
-    return found.select("qid", "fid").unionByName(short.select("qid", "fid")).distinct()
+    found = found.join(texts, "fid").join(rows.select("qid", "item"), "qid").filter(F.contains("body", "item"))
+    short = rows.filter(F.size("inner") == 0).select("qid", "item")
+    return found.select("qid", "fid").unionByName(_containing(short, texts)).distinct()
+
+
+def _containing(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(qid, fid) of texts that contain an item, for items too short to be looked up by a pair."""
+    some = items.limit(PAIRS_SHIPPED + 1).collect()
+    if not some:
+        return texts.sparkSession.createDataFrame([], "qid long, fid long")
+    if len(some) > PAIRS_SHIPPED:
+        return items.join(texts, F.contains("body", "item")).select("qid", "fid")
+    shipped = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in some])
+
+    def run(batches):
+        import ahocorasick
+
+        by_item: dict[str, list[int]] = {}
+        for q, item in shipped.value:
+            by_item.setdefault(item, []).append(q)
+        search = ahocorasick.Automaton()
+        for item in by_item:
+            search.add_word(item, item)
+        search.make_automaton()
+        for pdf in batches:
+            hits = [(q, f) for f, body in zip(pdf["fid"], pdf["body"]) for item in {x for _, x in search.iter(body or "")} for q in by_item[item]]
+            yield pd.DataFrame(hits, columns=["qid", "fid"])
+
+    return texts.mapInPandas(run, "qid long, fid long")
 
 
 def reranked(candidates: DataFrame, k: int) -> DataFrame:
@@ -219,25 +259,3 @@ def embedded(df: DataFrame, encoder_factory: Callable[[], Callable[[list[str], b
             yield pdf.assign(embedding=list(encode(pdf[text].fillna("").tolist(), is_query).astype(np.float32)))
 
     return df.mapInPandas(run, f"{named}, embedding array<float>")
-
-
-def in_cells(questions: DataFrame, fragments: DataFrame, k: int, cells: int, probes: int, seed: int = 7) -> DataFrame:
-    """Approximate `nearest`: fragments in k-means cells, exact scores within the cells nearest to a question."""
-    vectors = fragments.select("fid", array_to_vector("fv").alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(vectors)
-    centres = [c.tolist() for c in model.clusterCenters()]
-    filed = model.transform(vectors).select("fid", F.col("prediction").alias("cell")).join(fragments, "fid")
-    gaps = F.array_sort(F.array(*[F.struct(_gap(c).alias("gap"), F.lit(i).alias("cell")) for i, c in enumerate(centres)]))
-    asked = questions.select("qid", "qv", F.explode(F.slice(gaps, 1, probes)).alias("c")).select("qid", "qv", "c.cell")
-    from tessera.functions.scores import dot
-
-    score = F.round(dot(F.col("qv"), F.col("fv")) / F.sqrt(dot(F.col("qv"), F.col("qv")) * dot(F.col("fv"), F.col("fv"))), 6)
-    pairs = asked.join(filed, "cell").filter("qid != fid").select("qid", "fid", score.alias("score"))
-    return ranked(pairs, k)
-
-
-def _gap(centre: list[float]):
-    target = F.array(*[F.lit(float(x)) for x in centre])
-    return F.aggregate(F.zip_with("qv", target, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-

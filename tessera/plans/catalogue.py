@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import scores, text
-from tessera.operators import conversations, evaluation, fragments, gate, pages, retrieval
+from tessera.operators import conversations, evaluation, fragments, gate, pages, retrieval, vector_index
 from tessera.session import materialized, shared_path, table
 from tessera.sources import corpus
-from tessera.streaming import answers
+from tessera.streaming import answers, page_index
 
 EVERY = 50
 TAG = config.DEFAULT.tag
@@ -165,26 +165,34 @@ def _rankings(spark, d, k):
     return hits.join(_questions(spark, d).select("qid", "qlabel"), "qid").join(_vectors(spark, d).select("fid", "flabel"), "fid")
 
 
-def _candidates(spark, d):
-    return retrieval.lexical(table(spark, d, "benchmark"), table(spark, d, "documents"), config.DEFAULT.candidates)
+def _candidates(spark, d, index=None):
+    return retrieval.lexical(table(spark, d, "benchmark"), table(spark, d, "documents"), config.DEFAULT.candidates, index=index)
 
 
-def _held(spark, d):
+def _index(spark, d):
+    return retrieval.indexed(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+def _held(spark, d, index):
     """(qid, fid, hit) of every document that contains an item, found by retrieval or not."""
-    held = retrieval.holders(table(spark, d, "benchmark"), table(spark, d, "documents"))
+    held = retrieval.holders(table(spark, d, "benchmark"), table(spark, d, "documents"), index=index)
     return materialized(held.withColumn("hit", F.lit(True)), "held")
 
 
+def _hits(spark, d, index=None):
+    """(qid, fid, rank, score) of the reranked candidates."""
+    top = retrieval.reranked(_candidates(spark, d, index), config.DEFAULT.top_k)
+    return top.select("qid", "fid", F.col("final_rank").alias("rank"), F.col("pair_score").alias("score"))
+
+
 def _top(spark, d):
     """(qid, fid, rank, score, hit) of the reranked candidates and the questions with their category."""
-    candidates = materialized(_candidates(spark, d), "candidates")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
-    held = _held(spark, d)
-    top = retrieval.reranked(candidates, config.DEFAULT.top_k).join(held, ["qid", "fid"], "left")
-    top = top.select("qid", "fid", F.col("final_rank").alias("rank"), F.col("pair_score").alias("score"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    items, index = table(spark, d, "benchmark").select(F.col("item_id").alias("qid")), _index(spark, d)
+    held = _held(spark, d, index)
+    top = _hits(spark, d, index).join(held, ["qid", "fid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     known = held.select("qid").distinct().withColumn("known", F.lit(True))
     quest = items.select("qid").join(known, "qid", "left").select("qid", F.when(F.col("known"), "respondible").otherwise("fuera").alias("category"))
-    return top, quest
+    return materialized(top, "top"), quest
 
 
 def _scores(spark, d):
@@ -193,7 +201,7 @@ def _scores(spark, d):
 
 def _cited(spark, d):
     """Reranked hits above the threshold with their page's metadata."""
-    top, _ = _top(spark, d)
+    top = _hits(spark, d)
     meta = pages.located(_pages(spark, d)).withColumn("fuente", pages.label())
     meta = meta.select(F.col("doc_id").alias("fid"), "text", "fuente", F.col("page").alias("pagina_inicio"), "seccion", "actividad", "herramienta")
     return gate.above(top).join(meta, "fid")
@@ -302,6 +310,17 @@ def asof_section(spark, d):
     return pages.as_of(_pages(spark, d), config.SECTIONS, "seccion").select("doc_id", "page", "seccion")
 
 
+@register(
+    """WITH k AS (SELECT l.doc_id AS label_id, d.source, max(l.quality) AS quality FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY ALL)
+    SELECT d.doc_id, k.label_id, CAST(k.quality AS INTEGER) AS quality FROM documents d ASOF LEFT JOIN k ON k.source = d.source AND d.doc_id >= k.label_id"""
+)
+def asof_keyed(spark, d):
+    """A document's last labelled predecessor of the same source: an as-of join with a dimension that grows with the table."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    labels = table(spark, d, "labels").join(docs, "doc_id").groupBy("source", F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
+    return pages.as_of_keyed(docs, labels, "source", "doc_id", "label_id").select("doc_id", "entry.label_id", F.col("entry.quality").cast("int").alias("quality"))
+
+
 @register(f"WITH {P}, {LOCATED} SELECT doc_id, page, seccion, actividad, herramienta FROM located")
 def locate_page(spark, d):
     return pages.located(_pages(spark, d)).select("doc_id", "page", "seccion", "actividad", "herramienta")
@@ -440,15 +459,22 @@ def knn_top20(spark, d):
 
 @register(f"WITH {VECTORS}, {_knn(4, where='(q.label = 0 OR q.label IS NULL OR f.label = q.label)')} SELECT qid, fid, score, CAST(rank AS INTEGER) AS rank FROM knn")
 def knn_filtered(spark, d):
-    return retrieval.nearest(_questions(spark, d), _vectors(spark, d), config.DEFAULT.top_k, same_label=True)
+    """From a table stored by stage, of which only the stages asked for are read."""
+    path = shared_path(spark, "by_stage")
+    vector_index.write_by_stage(_vectors(spark, d), path)
+    return vector_index.nearest_in_stage(_questions(spark, d), path, config.DEFAULT.top_k)
 
 
 @register()
 def ann_recall(spark, d):
-    questions, vectors = _questions(spark, d), _vectors(spark, d)
+    """Recall of the stored cell index against exact search, and which share of its cells a question reads."""
+    questions, vectors, path = _questions(spark, d), _vectors(spark, d), shared_path(spark, "cells")
+    vector_index.write_cells(vectors, path)
     exact = retrieval.nearest(questions, vectors, 20).select("qid", "fid")
-    found = retrieval.in_cells(questions, vectors, 20, cells=16, probes=10).select("qid", "fid", F.lit(1).alias("found"))
-    return exact.join(found, ["qid", "fid"], "left").agg(F.count("*").alias("neighbours"), F.round(F.avg(F.coalesce("found", F.lit(0))), 3).alias("recall"))
+    found = vector_index.search_cells(questions, path, 20).select("qid", "fid", F.lit(1).alias("found"))
+    cells = spark.read.parquet(f"{path}/centres").agg(F.count("*").alias("cells"), F.max("probes").alias("probes"))
+    recall = exact.join(found, ["qid", "fid"], "left").agg(F.count("*").alias("neighbours"), F.round(F.avg(F.coalesce("found", F.lit(0))), 3).alias("recall"))
+    return recall.join(F.broadcast(cells), F.lit(True)).withColumn("share", F.round(F.col("probes") / F.col("cells"), 3))
 
 
 @register(f"WITH {VECTORS}, {_knn(20)} SELECT qid, fid, round(1 - score, 6) AS linear, round(-ln(score), 6) AS exponential FROM knn WHERE score > 0")
@@ -481,7 +507,7 @@ def sigmoid_score(spark, d):
 
 @register(f"WITH {PAIRS} SELECT qid, fid, score FROM top WHERE score >= 0.5")
 def threshold_cut(spark, d):
-    return gate.above(_top(spark, d)[0]).select("qid", "fid", "score")
+    return gate.above(_hits(spark, d)).select("qid", "fid", "score")
 
 
 GATE = "gate AS (SELECT q.qid, count_if(coalesce(t.score >= 0.5, FALSE)) > 0 AS found, round(max(t.score), 3) AS best, count_if(coalesce(t.score >= 0.5, FALSE)) AS n_kept FROM quest q LEFT JOIN top t USING (qid) GROUP BY q.qid)"
@@ -489,8 +515,7 @@ GATE = "gate AS (SELECT q.qid, count_if(coalesce(t.score >= 0.5, FALSE)) > 0 AS
 
 @register(f"WITH {PAIRS}, {GATE} SELECT qid, found, best, CAST(n_kept AS BIGINT) AS n_kept FROM gate")
 def refusal_gate(spark, d):
-    top, quest = _top(spark, d)
-    return gate.gated(quest, top)
+    return gate.gated(_asked(spark, d), _hits(spark, d))
 
 
 CONFIDENCE = "CASE WHEN best >= 0.9 THEN 'alta' WHEN best >= 0.7 THEN 'media' ELSE 'baja' END"
@@ -541,8 +566,7 @@ def answer_batch(spark, d):
       CASE WHEN found AND qid % 6 <> 0 THEN {CONFIDENCE} END AS confianza, best AS puntaje FROM said"""
 )
 def classify_answer(spark, d):
-    top, quest = _top(spark, d)
-    g = gate.gated(quest, top)
+    g = gate.gated(_asked(spark, d), _hits(spark, d))
     said = F.when(F.col("qid") % 6 == 0, f"{config.REFUSAL} Really.").otherwise(F.concat(F.lit("Answer "), F.col("qid").cast("string")))
     return gate.classified(g, g.filter("found").select("qid", said.alias("answer")))
 
@@ -556,20 +580,50 @@ def validate_requests(spark, d):
     return gate.checked(table(spark, d, "conversations").filter("role = 'user'").withColumn("stage", stage)).select("conv_id", "turn", "reason")
 
 
+def _arriving(spark, rows, path):
+    """rows as a stream of the files in path."""
+    rows.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _stream_requests(spark, d):
+    asked = _arriving(spark, table(spark, d, "benchmark"), shared_path(spark, "arriving"))
+    return asked.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), (F.col("item_id") % 9).cast("int").alias("stage"))
+
+
+def _located_pages(spark, d):
+    return pages.located(_pages(spark, d)).withColumn("fuente", pages.label())
+
+
 @register()
 def stream_answers(spark, d):
     """Benchmark items arrive as a stream; the answers equal those of the batch."""
-    items = table(spark, d, "benchmark")
-    rows = pages.located(_pages(spark, d)).withColumn("fuente", pages.label())
-    path = shared_path(spark, "answers")
-    arriving = shared_path(spark, "arriving")
-    items.write.parquet(arriving)
-    asked = spark.readStream.schema(items.schema).parquet(arriving)
-    asked = asked.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), (F.col("item_id") % 9).cast("int").alias("stage"))
-    answers.start(asked, rows, path, shared_path(spark, "offsets")).awaitTermination()
+    rows, index, path = _located_pages(spark, d), shared_path(spark, "index"), shared_path(spark, "answers")
+    page_index.append(rows, index, 0)
+    answers.start(_stream_requests(spark, d), index, path, shared_path(spark, "offsets")).awaitTermination()
     return spark.read.parquet(path).drop("batch")
 
 
+def _growth(phase: str, where: str) -> str:
+    own = PAIRS.replace("FROM documents)", f"FROM documents WHERE {where})", 1)
+    return f"SELECT * FROM (WITH {own} SELECT b.item_id AS qid, '{phase}' AS phase, count_if(coalesce(h.pair_score >= 0.5, FALSE)) > 0 AS found, round(max(h.pair_score), 3) AS best FROM benchmark b LEFT JOIN hits h ON h.qid = b.item_id GROUP BY b.item_id)"
+
+
+@register(f"{_growth('early', 'doc_id % 2 = 0')} UNION ALL {_growth('late', 'TRUE')}")
+def stream_growing_index(spark, d):
+    """Half of the pages are indexed, questions stream; the other half arrives, and the same questions stream again."""
+    rows, index, source, offsets = _located_pages(spark, d), shared_path(spark, "index"), shared_path(spark, "source"), shared_path(spark, "offsets")
+    page_index.create(spark, index, rows.schema)
+    found = []
+    for phase, half in (("early", 0), ("late", 1)):
+        arriving = _arriving(spark, rows.filter(F.col("doc_id") % 2 == half), source)
+        page_index.follow(arriving, index, offsets).awaitTermination()
+        path = shared_path(spark, phase)
+        answers.start(_stream_requests(spark, d), index, path, shared_path(spark, "offsets")).awaitTermination()
+        found.append(spark.read.parquet(path).select("qid", F.lit(phase).alias("phase"), F.col("encontrada").alias("found"), F.col("puntaje").alias("best")))
+    return found[0].unionByName(found[1])
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 
@@ -675,8 +729,9 @@ def compare_encoders(spark, d):
     SELECT count(*) AS questions, round(100.0 * count(dense) / count(*), 1) AS dense, round(100.0 * count(reranked) / count(*), 1) AS reranked FROM d1"""
 )
 def compare_rerank(spark, d):
-    candidates = materialized(_candidates(spark, d), "candidates")
-    held = _held(spark, d)
+    index = _index(spark, d)
+    candidates = materialized(_candidates(spark, d, index), "candidates")
+    held = _held(spark, d, index)
     dense = candidates.filter("rank <= 4").select(F.lit("dense").alias("run"), "qid", "fid", "rank")
     second = retrieval.reranked(candidates, 4).select(F.lit("reranked").alias("run"), "qid", "fid", F.col("final_rank").alias("rank"))
     runs = dense.unionByName(second).join(held, ["qid", "fid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

@@ -54,4 +54,4 @@ def test_stream_equals_batch(spark):
 
 
 def test_approximate_recall_is_reported_and_high(spark):
-    assert catalogue.queries()["ann_recall"](spark, DIR).first()["recall"] >= 0.8
+    assert catalogue.queries()["ann_recall"](spark, DIR).first()["recall"] >= 0.9

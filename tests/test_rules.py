@@ -122,10 +122,10 @@ def test_many_questions_are_dealt_out_in_blocks(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     f = catalogue._vectors(spark, d)
     q = f.filter("fid % 5 = 0").toDF("qid", "qv", "qlabel")
-    want = [sorted(map(tuple, retrieval.nearest(q, f, 3, same).collect())) for same in (False, True)]
+    want = sorted(map(tuple, retrieval.nearest(q, f, 3).collect()))
     monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 7)
     monkeypatch.setattr(retrieval, "FRAGMENT_BLOCK", 30)
-    assert [sorted(map(tuple, retrieval.nearest(q, f, 3, same).collect())) for same in (False, True)] == want
+    assert sorted(map(tuple, retrieval.nearest(q, f, 3).collect())) == want
     assert retrieval.nearest(q.limit(0), f, 3).count() == 0
 
 
@@ -155,7 +155,7 @@ def test_pages_with_missing_figures_are_set_apart(spark):
 
 
 def test_repeated_requests_are_answered_once(spark, tmp_path):
-    from tessera.streaming import answers
+    from tessera.streaming import answers, page_index
 
     d = "/root/testdata/sf0.001"
     items = spark.read.parquet(f"{d}/benchmark.parquet").limit(3)
@@ -163,5 +163,6 @@ def test_repeated_requests_are_answered_once(spark, tmp_path):
     asked.unionByName(asked).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
     rows = pages.located(pages.pages_of(spark.read.parquet(f"{d}/documents.parquet"))).withColumn("fuente", pages.label())
-    answers.start(stream, rows, str(tmp_path / "out"), str(tmp_path / "offsets"), event_time="at").awaitTermination()
+    page_index.append(rows, str(tmp_path / "index"), 0)
+    answers.start(stream, str(tmp_path / "index"), str(tmp_path / "out"), str(tmp_path / "offsets"), event_time="at").awaitTermination()
     assert sorted(r["qid"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r["item_id"] for r in items.collect())
