@@ -77,9 +77,9 @@ def _described(words: int, num: int, den: int):
 
 
 def _dealt(fragments: int, width: int):
-    """Classes with their heads -> for each block of classes and fragment one row: counts and n-grams.
+    """Classes with their heads -> for each block of classes and fragment one row: which of its classes have n-grams there, how many, and these.
 
-    A block is named by its first class; the row of fragment 0 carries the block's classes and their sizes.
+    A block is named by its first class and has fewer than 65 536; the row of fragment 0 carries the block's classes and their sizes.
     """
 
     def emit(c: list[np.ndarray], n: list[np.ndarray], heads: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
@@ -91,10 +91,10 @@ def _dealt(fragments: int, width: int):
         rows = []
         for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])):
             if z > a or i == 0:
-                counts = np.bincount(owner[order[a:z]], minlength=len(c)).astype(np.uint32)
+                who, counts = np.unique(owner[order[a:z]], return_counts=True)
                 head = (c.astype(np.int64).tobytes(), n.astype(np.int64).tobytes()) if i == 0 else (None, None)
-                rows.append((i, int(c[0]), counts.tobytes(), grams[order[a:z]].tobytes(), *head))
-        return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["f", "block", "counts", "grams", "c", "n"]), _DEALT, preserve_index=False)
+                rows.append((i, int(c[0]), who.astype(np.uint16).tobytes(), counts.astype(np.uint32).tobytes(), grams[order[a:z]].tobytes(), *head))
+        return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=_DEALT.names), _DEALT, preserve_index=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: tuple[list, ...] = ([], [], [], [])
@@ -122,11 +122,11 @@ def _dealt(fragments: int, width: int):
     return run
 
 
-_DEALT = pa.schema([("f", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("grams", pa.binary()), ("c", pa.binary()), ("n", pa.binary())])
+_DEALT = pa.schema([("f", pa.int32()), ("block", pa.int64()), *((k, pa.binary()) for k in ("who", "counts", "grams", "c", "n"))])
 
 
 def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A fragment -> for each block: how many n-grams of each class some other class also has."""
+    """A fragment -> for each block: how many n-grams of which of its classes some other class also has."""
     counts = [np.frombuffer(x, np.uint32) for x in pdf["counts"]]
     grams = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["grams"]])
     order = np.argsort(grams, kind="stable")
@@ -136,17 +136,19 @@ def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
     twin[order[:-1][same]] = True
     ends = np.cumsum(np.concatenate(counts))
     before = np.r_[0, np.cumsum(twin)]
-    sums = before[ends] - before[np.r_[0, ends[:-1]]]
+    sums = before[ends] - before[np.r_[0, ends]][:-1]
     cut = np.cumsum([len(x) for x in counts])[:-1]
-    return pd.DataFrame({"block": pdf["block"], "found": [x.astype(np.uint32).tobytes() for x in np.split(sums, cut)], "c": pdf["c"], "n": pdf["n"]})
+    found = [(np.frombuffer(w, np.uint16)[x > 0].tobytes(), x[x > 0].astype(np.uint32).tobytes()) for w, x in zip(pdf["who"], np.split(sums, cut))]
+    return pd.DataFrame({"block": pdf["block"], "who": [w for w, _ in found], "found": [x for _, x in found], "c": pdf["c"], "n": pdf["n"]})
 
 
 def _summed(num: int, den: int):
     """A block's counts of all fragments, added up -> its classes that may have a partner."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = np.sum([np.frombuffer(x, np.uint32) for x in pdf["found"]], axis=0)
         (c,), (n,) = ([np.frombuffer(x, np.int64) for x in pdf[k] if x is not None] for k in ("c", "n"))
+        who, some = (np.concatenate([np.frombuffer(x, t) for x in pdf[k]]) for k, t in (("who", np.uint16), ("found", np.uint32)))
+        found = np.bincount(who, some, len(c))
         kept = found >= _surplus(n, num, den)
         return pd.DataFrame({"c": c[kept], "n": n[kept]})
 
@@ -278,8 +280,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     heads = described.select("id", F.col("key").alias("own"), "head").join(classes, (F.col("id") == F.col("c")) & (F.col("own") == F.col("key")))
     heads = heads.select("c", "n", "head")
     heads = (heads.dropDuplicates(["c"]) if repeated else heads).sortWithinPartitions("c")  # a retried task must deal the same blocks
-    dealt = heads.mapInArrow(_dealt(fragments, width), "f int, block long, counts binary, grams binary, c binary, n binary")
-    partial = dealt.groupBy("f").applyInPandas(_partial, "block long, found binary, c binary, n binary")
+    dealt = heads.mapInArrow(_dealt(fragments, width), "f int, block long, who binary, counts binary, grams binary, c binary, n binary")
+    partial = dealt.groupBy("f").applyInPandas(_partial, "block long, who binary, found binary, c binary, n binary")
     left = stored(partial.groupBy("block").applyInPandas(_summed(num, den), "c long, n long").distinct(), "left")
     # 2. the sets of the classes left
     kept = left.select("c").join(classes.select("c", "key"), "c")

@@ -8,6 +8,8 @@ has padding.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -76,33 +78,50 @@ def _grid(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.clip(((points + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file: strings that are one token wherever a text holds them."""
+    with open(json_path, encoding="utf-8") as f:
+        listed = json.load(f).get("added_tokens") or []
+    if odd := [t["content"] for t in listed if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]:
+        raise ValueError(f"added tokens that take their surroundings into account: {odd}")
+    return {t["content"]: t["id"] for t in listed}
+
+
 class Tokens:
-    """Token ids of the given vocabulary; a text on which the fast encoder gives up goes through merge replay.
+    """Token ids of the given vocabulary and its added tokens; a text on which the fast encoder gives up goes through merge replay.
 
-    The encoder looks for special tokens at every place of a text if it has none, and by a quick search if it has one. So it
-    is given one, which is never allowed: a text that holds its name is encoded like any other.
+    The encoder is quicker with an added token than without any, as it then searches for that one rather than at every place.
     """
 
-    UNUSED = "<|unused|>"
-
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, added: dict[str, int]):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={self.UNUSED: max(table.values()) + 1})
-        self.table, self.pattern = table, pattern
+        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens=added)
+        self.table, self.pattern, self.added = table, pattern, added
+        self.vocabulary = max([*table.values(), *added.values()]) + 1
+        self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def __call__(self, text: str) -> np.ndarray:
         try:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
         except (ValueError, RuntimeError):  # its pattern engine runs out of stack on very long runs
-            block = encode_block([text], merges_of(self.table), self.pattern)
-            return np.concatenate([np.zeros(0, np.int32), *(block.of_word(w) for w in block.documents[0])]).astype(np.uint32)
-
-
-def _tokenized(batches: Iterator[pd.DataFrame], ranks, pattern: str, end_id: int) -> Iterator[pd.DataFrame]:
-    tokens = Tokens(ranks.value, pattern)
-    table = projection(max(tokens.table.values()) + 2)
+            return self.replayed(text)
+
+    def replayed(self, text: str) -> np.ndarray:
+        out, at = [np.zeros(0, np.int64)], 0
+        for found in [*(self.cut.finditer(text) if self.cut else ()), None]:
+            block = encode_block([text[at : found.start() if found else len(text)]], merges_of(self.table), self.pattern)
+            out += [block.of_word(w) for w in block.documents[0]]
+            if found:
+                out.append(np.array([self.added[found[0]]]))
+                at = found.end()
+        return np.concatenate(out).astype(np.uint32)
+
+
+def _tokenized(batches: Iterator[pd.DataFrame], ranks, pattern: str, added: dict[str, int], end_id: int) -> Iterator[pd.DataFrame]:
+    tokens = Tokens(ranks.value, pattern, added)
+    table = projection(tokens.vocabulary)
     for pdf in batches:
         ids, points, counts = [], [], []
         for text in pdf["text"]:
@@ -139,10 +158,13 @@ def _pack(length: int):
 
 
 def pack_along_curve(
-    docs: DataFrame, ranks_path: str, pattern: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE_TOKENS
+    docs: DataFrame, ranks_path: str, pattern: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE_TOKENS,
+    json_path: str | None = None,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
+    Ids are those of the tokenizer file json_path, whose added tokens are found in texts (none without it), without special tokens
+    around them.
     Each document's ids and end_id lie in exactly one piece each; a sequence's pieces fill it from offset 0 without gaps, and
     only the last sequence is padded. Null text counts as empty (one id). Copies share a key and are told apart by id, so a
     range may cut through a group of copies. Rows are read with their id as number and must have distinct ids for the pieces
@@ -152,9 +174,10 @@ def pack_along_curve(
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file: under 1 MB, whatever the corpus
+    added = added_tokens(json_path) if json_path else {}
     own = F.col(id_col).cast("long")
     rows = docs.select(own.isNotNull().alias("named"), F.coalesce(own, F.monotonically_increasing_id()).alias("k2"), text_or_empty(text_col).alias("text"))
-    tokens = rows.mapInPandas(lambda it: _tokenized(it, ranks, pattern, end_id), "named boolean, k2 long, k1 long, w long, ids binary")
+    tokens = rows.mapInPandas(lambda it: _tokenized(it, ranks, pattern, added, end_id), "named boolean, k2 long, k1 long, w long, ids binary")
     tokens = stored(tokens, "tokens")
     total = tokens.agg(F.sum("w")).first()[0] or 0
     parts = min(MAX_RANGES, max(1, -(-total // range_tokens), min(4 * spark.sparkContext.defaultParallelism, total // 65536)))

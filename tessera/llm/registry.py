@@ -47,7 +47,7 @@ def op8_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, json_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

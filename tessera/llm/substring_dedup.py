@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, stored, text_or_empty
+from tessera.llm.common import free_name, partitions, stored, text_or_empty
 from tessera.llm.lyndon import suffix_array
 from tessera.llm.shingles import mixed, slices, text_bytes
 
@@ -116,7 +116,9 @@ def _key8(data) -> int:
 
 
 def _counted(length: int, bits: int):
-    """Blocks of texts -> for each fragment one row: text keys, counts and anchors' hashes (32 bits below the fragment's)."""
+    """Blocks of texts -> for each fragment one row: keys of the texts that have anchors in it, counts and anchors' hashes (32 bits below
+    the fragment's). Without counts there is a key for each anchor. No more than 12 bytes an anchor, whatever the number of fragments.
+    """
 
     def emit(keys: np.ndarray, h: np.ndarray, owner: np.ndarray):
         order = np.lexsort((h, owner))
@@ -132,8 +134,13 @@ def _counted(length: int, bits: int):
         for i in range(1 << bits):
             a, b = edges[i], edges[i + 1]
             if b > a:
-                counts = np.bincount(owner[a:b], minlength=len(keys)).astype(np.uint32)
-                yield i, keys.tobytes(), counts.tobytes(), low[a:b].tobytes()
+                # owners that have anchors here, with their number; or one owner an anchor where that is shorter
+                first = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
+                if 12 * len(first) < 8 * (b - a):
+                    counts = np.diff(np.r_[first, b - a]).astype(np.uint32)
+                    yield i, keys[owner[a + first]].tobytes(), counts.tobytes(), low[a:b].tobytes()
+                else:
+                    yield i, keys[owner[a:b]].tobytes(), b"", low[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[int, int] = {}  # key of a text -> its number in the block
@@ -146,6 +153,9 @@ def _counted(length: int, bits: int):
         for batch in batches:
             for lo, hi, base, data, offsets, (text, _, h, _, _) in _runs_of(batch.column("text"), length):
                 if base == 0:
+                    if size > BLOCK_BYTES:
+                        yield block()
+                        keys, hashes, owners, size = {}, [], [], 0
                     whole = batch.column("text").slice(lo, hi - lo).fill_null("")
                     names = [_key8(x.as_buffer()) for x in whole]
                     number = np.array([-1 if x in keys else keys.setdefault(x, len(keys)) for x in names])  # a copy in the block counts once
@@ -153,9 +163,6 @@ def _counted(length: int, bits: int):
                 hashes.append(h[own >= 0])
                 owners.append(own[own >= 0])
                 size += len(data)
-                if size > BLOCK_BYTES and (hi - lo > 1 or len(data) < SLICE_BYTES):
-                    yield block()
-                    keys, hashes, owners, size = {}, [], [], 0
         if hashes:
             yield block()
 
@@ -168,7 +175,7 @@ _COUNTED = pa.schema([("f", pa.int32()), ("keys", pa.binary()), ("counts", pa.bi
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """(text key, hash) of the anchors of a fragment that another text also has."""
     grams = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["grams"]])
-    owner = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(c, np.uint32)) for k, c in zip(pdf["keys"], pdf["counts"])])
+    owner = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(c, np.uint32)) if c else np.frombuffer(k, np.int64) for k, c in zip(pdf["keys"], pdf["counts"])])
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
     starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
@@ -524,11 +531,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     described, spans, _ = repeated_spans(docs, length, id_col, text_col)
     copies = described.filter((F.col("id") > F.col("rep")) & (F.col("n_bytes") >= length)).distinct()
     spans = spans.unionByName(copies.select("id", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    by_doc = spans.groupBy("id").agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
+    starts, ends, span_id, span_sha = (free_name(f"repeat_{x}", docs.columns) for x in ("starts", "ends", "id", "sha"))
+    by_doc = spans.groupBy("id").agg(F.collect_list("start").alias(starts), F.collect_list("end").alias(ends))
     own = described.filter(F.col("rep").isNotNull()).select("id", "sha").distinct()
-    by_doc = by_doc.join(own, "id").select(F.col("id").alias("_span_id"), F.col("sha").alias("_span_sha"), "_starts", "_ends")
-    same = (F.col(id_col).cast("long") == F.col("_span_id")) & (F.sha2(text_or_empty(text_col), 256) == F.col("_span_sha"))
-    joined = docs.join(by_doc, same, "left").drop("_span_id", "_span_sha")
+    by_doc = by_doc.join(own, "id").select(F.col("id").alias(span_id), F.col("sha").alias(span_sha), starts, ends)
+    same = (F.col(id_col).cast("long") == F.col(span_id)) & (F.sha2(text_or_empty(text_col), 256) == F.col(span_sha))
+    joined = docs.join(by_doc, same, "left").drop(span_id, span_sha)
     fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,7 +544,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             column = batch.column(text_col)
             data, offsets = text_bytes(column)
             out: list[bytes | None] = []
-            for i, (a, z) in enumerate(_merged(batch.column("_starts"), batch.column("_ends"))):
+            for i, (a, z) in enumerate(_merged(batch.column(starts), batch.column(ends))):
                 at, end = int(offsets[i]), int(offsets[i + 1])
                 kept = []
                 for lo, hi in zip((a + offsets[i]).tolist(), (z + offsets[i]).tolist()):

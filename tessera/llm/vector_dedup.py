@@ -19,7 +19,9 @@ from tessera.llm.common import bounded_draw, stored
 from tessera.llm.components import connected_components, union_find
 from tessera.llm.vectors import matrix, unit, usable_rows
 
-#: A cell holds about so many vectors as long as MAX_PIVOTS allows; larger cells are joined in blocks.
+#: A label of n vectors has about sqrt(n) / ROOT cells, and no more than CELL vectors in one as long as MAX_PIVOTS allows; larger
+#: cells are joined in blocks.
+ROOT = 4
 CELL = 4000
 MAX_PIVOTS = 4096
 BLOCK = 4096
@@ -74,7 +76,7 @@ def _join(cosine: float):
 
 def _pivots(classes: DataFrame, largest: int) -> dict[int, np.ndarray]:
     """At most MAX_PIVOTS vectors, drawn by hash, to the driver; by their length."""
-    n = min(MAX_PIVOTS, math.ceil(largest / CELL))
+    n = min(MAX_PIVOTS, max(math.ceil(largest / CELL), math.ceil(math.sqrt(largest) / ROOT)))
     if n < 2:
         return {}
     drawn = bounded_draw(classes, "rep", n, 5).select("embedding").collect()
@@ -100,6 +102,7 @@ def vector_links(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     label = classes.schema["label"].dataType.simpleString()
     cells = classes.mapInPandas(lambda it: _cells(it, pivots, radius), f"label {label}, embedding array<float>, rep long, copies long, dim int, cell int, home boolean")
+    cells = stored(cells, "cells")  # read to count, and for both sides of the join
     sizes = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     sized = cells.join(sizes, ["label", "dim", "cell"])
     block, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)

@@ -22,8 +22,8 @@ from tessera.llm.vectors import matrix, usable_rows
 #: Documented bounds: rows the tree is fitted on, its leaves, calibration queries, and rows or queries of one search task.
 SAMPLE_ROWS, MOST_SAMPLE_ROWS = 20_000, 131_072
 MAX_LEAVES = 8192
-LEAF_ROWS = 256
-CALIBRATION_QUERIES = 200
+LEAF_ROWS = 64
+CALIBRATION_QUERIES = 400
 TASK_ROWS = 16_384
 TASK_QUERIES = 2048
 
@@ -113,7 +113,8 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, seed: int =
     """Fewest leaf visits that find `recall` of the k nearest of sample queries, by brute force over the sample."""
     rng = np.random.default_rng(seed)
     filed, needed = tree.file(sample), []
-    for q in rng.choice(len(sample), min(CALIBRATION_QUERIES, len(sample)), replace=False):
+    different = np.unique(sample, axis=0, return_index=True)[1]  # copies of one vector find each other in a single visit
+    for q in rng.choice(different, min(CALIBRATION_QUERIES, len(different)), replace=False):
         near = _squares(sample[q : q + 1], sample)[0]
         near[q] = np.inf
         rank = np.empty(tree.leaves, np.int64)
@@ -122,28 +123,50 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, seed: int =
     return int(np.quantile(needed, recall, method="higher")) + 1 if needed else tree.leaves
 
 
+def _best(q: np.ndarray, x: np.ndarray, qid: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of at least the k rows nearest to each query, never the query's own id.
+
+    Squares of distances by one product pick the rows, with room for its rounding; those rows' distances are then exact.
+    """
+    rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :]
+    room = 1e-10 * rough.max(initial=0.0)
+    rough = np.where(qid[:, None] == ids[None, :], np.inf, rough - 2 * q @ x.T)
+    cut = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if rough.shape[1] > k else np.full((len(q), 1), np.inf)
+    i, j = np.nonzero((rough <= cut + room) & (rough < np.inf))
+    score = np.empty(len(i))
+    for a in range(0, len(i), 1 << 16):
+        gap = x[j[a : a + (1 << 16)]] - q[i[a : a + (1 << 16)]]
+        score[a : a + (1 << 16)] = np.sqrt((gap * gap).sum(axis=1))
+    return _first(qid[i], ids[j], score, k)
+
+
+def _first(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k smallest scores, ties by id."""
+    order = np.lexsort((ids, score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+    return query[place < k], ids[place < k], score[place < k]
+
+
 def _nearest(k: int):
+    """Queries and rows of some leaves -> each query's k nearest of the rows in its leaves."""
+
     def run(_key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = []
         if len(queries) and len(rows):
-            x, ids = matrix(rows["embedding"]), rows["vec_id"].to_numpy()
-            for q, v in zip(queries["query_id"], queries["embedding"]):
-                gap = x - np.asarray(v, np.float64)
-                score = np.sqrt((gap * gap).sum(axis=1))
-                score[ids == q] = np.inf
-                if len(score) > k:  # all rows up to the k-th distance, then ties by id
-                    some = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
-                else:
-                    some = np.arange(len(score))
-                some = some[np.lexsort((ids[some], score[some]))][:k]
-                out += [(q, i, s) for i, s in zip(ids[some].tolist(), score[some].tolist()) if s < np.inf]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            by_leaf = dict(tuple(rows.groupby("leaf")))
+            for leaf, asked in queries.groupby("leaf"):
+                if (own := by_leaf.get(leaf)) is not None:
+                    found.append(_best(matrix(asked["embedding"]), matrix(own["embedding"]), asked["query_id"].to_numpy(), own["vec_id"].to_numpy(), k))
+        query, ids, score = (np.concatenate([f[i] for f in found]) for i in range(3)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), _first(query, ids, score, k))))
 
     return run
 
 
 def search(
-    vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.96, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`.
 
@@ -168,8 +191,8 @@ def search(
         found = found.unionByName(_by_tree(fit.filter(size == d), lengths[d], every, k, recall))
     if len(treed) < len(lengths):
         rest = fit.filter(~size.isin(treed))
-        rows = rest.select("vec_id", "embedding", size.alias("d"))
-        asked = rest.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding"), size.alias("d"))
+        rows = rest.select("vec_id", "embedding", size.alias("d"), F.lit(0).alias("leaf"))
+        asked = rest.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding"), size.alias("d"), F.lit(0).alias("leaf"))
         found = found.unionByName(asked.groupBy("d").cogroup(rows.groupBy("d")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -210,20 +233,26 @@ def _by_tree(fit: DataFrame, total: int, every: int, k: int, recall: float) -> D
 
     asked = filed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding")
     asked = stored(asked.mapInPandas(traverse, "query_id long, leaf int, embedding array<float>"), "asked")
-    # a leaf's rows and queries are dealt out in parts, so that no task gets more than its share of a large leaf; leaves that no
-    # query visits drop out
+    # leaves are dealt out in groups of about TASK_ROWS rows, so that a query's best of several leaves is settled in a task; a group
+    # whose leaves have more rows or visitors is dealt out in parts. Leaves that no query visits drop out.
     visitors = dict(asked.groupBy("leaf").count().collect())
-    parts = [(i, -(-held[i] // TASK_ROWS), -(-n // TASK_QUERIES)) for i, n in visitors.items()]
-    parts = spark.createDataFrame(parts, "leaf int, row_parts int, query_parts int")
+    groups, rows_in = 0, 0
+    dealt = []
+    for leaf in sorted(visitors):
+        if rows_in and rows_in + held[leaf] > TASK_ROWS:
+            groups, rows_in = groups + 1, 0
+        rows_in += held[leaf]
+        dealt.append((leaf, groups, -(-held[leaf] // TASK_ROWS), -(-visitors[leaf] // TASK_QUERIES)))
+    row_side, query_side = (F.broadcast(spark.createDataFrame(dealt, "leaf int, bunch int, row_parts int, query_parts int")) for _ in range(2))
     rows = (
-        filed.join(F.broadcast(parts), "leaf")
+        filed.join(row_side, "leaf")
         .withColumn("row_part", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")))
         .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
     )
     asked = (
-        asked.join(F.broadcast(parts), "leaf")
+        asked.join(query_side, "leaf")
         .withColumn("row_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_parts").cast("long") - 1)))
         .withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int"))
     )
-    key = ["leaf", "row_part", "query_part"]
-    return asked.groupBy(*key).cogroup(rows.select("vec_id", "embedding", *key).groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    key = ["bunch", "row_part", "query_part"]
+    return asked.groupBy(*key).cogroup(rows.select("vec_id", "embedding", "leaf", *key).groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")

@@ -377,8 +377,7 @@ def test_packing(docs, corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    pieces = packing.pack_along_curve(docs, RANKS, PATTERN, length=256, range_tokens=3000).toPandas()
+    pieces = packing.pack_along_curve(docs, RANKS, PATTERN, length=256, range_tokens=3000, json_path=public_tokenizers.path("byte_bpe_50k.json")).toPandas()
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in corpus}
     for i, own in pieces.sort_values("start").groupby("doc_id"):
         at = 0
@@ -396,14 +395,18 @@ def test_packing(docs, corpus):
     assert packing.pack_along_curve(docs.limit(0), RANKS, PATTERN).count() == 0
 
 
-def test_unused_name_is_plain_text():
-    import tiktoken
+def test_added_tokens_are_found_in_texts(monkeypatch):
+    from tokenizers import Tokenizer
 
-    ranks = bpe.read_ranks(open(RANKS, "rb"))
-    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own = packing.Tokens(open(RANKS, "rb").read(), PATTERN)
-    for text in (own.UNUSED, f"é{own.UNUSED}{own.UNUSED} b", own.UNUSED[:-1], ""):
-        assert own(text).tolist() == plain.encode_ordinary(text)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    added = packing.added_tokens(path)
+    assert "<|endoftext|>" in added
+    json_tokens, own = Tokenizer.from_file(path), packing.Tokens(open(RANKS, "rb").read(), PATTERN, added)
+    texts = ["end <|endoftext|> start", "<|endoftext|><|endoftext|>", "é <|endoftext|", "<|endoftext|>  \n x", "", "a  <|endoftext|>", "<|unused|> plain"]
+    for text in texts:
+        assert own(text).tolist() == own.replayed(text).tolist() == json_tokens.encode(text, add_special_tokens=False).ids
+    plain = packing.Tokens(open(RANKS, "rb").read(), PATTERN, {})
+    assert added["<|endoftext|>"] not in plain(texts[0]).tolist() and plain(texts[0]).tolist() == plain.replayed(texts[0]).tolist()
 
 
 def test_hilbert_neighbours():

@@ -251,3 +251,79 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
     one, two = (toxicity.fit(frame, spark.createDataFrame(x, kind)) for x in (labels, flipped))
     assert one.joint == two.joint and np.array_equal(one.field.weights, two.field.weights)
+
+
+# volumes, blocks and names of operators 1, 5, 7 and 8
+
+
+def _rows(run, column, texts):
+    import pyarrow as pa
+
+    return [row for batch in run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=[column])])) for row in batch.to_pylist()]
+
+
+def test_dealt_anchors_stay_in_proportion():
+    from tessera.llm import substring_dedup
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(600)]
+    size = {}
+    for bits in (3, 9, 14):
+        rows = _rows(substring_dedup._counted(50, bits), "text", texts)
+        anchors = sum(len(r["grams"]) for r in rows) // 4
+        size[bits] = sum(len(r["keys"]) + len(r["counts"]) + len(r["grams"]) for r in rows) / anchors
+    # bytes an anchor: 4 of its own, and at most 8 that say whose it is, however many fragments there are
+    assert size[3] < 6 and max(size.values()) <= 12.01
+
+
+def test_blocks_close_after_texts_of_any_length(monkeypatch):
+    from tessera.llm import substring_dedup
+
+    rng = random.Random(4)
+    for length in (3000, 300_000):
+        texts = ["".join(rng.choice("abcdefgh ") for _ in range(length)) for _ in range(3_000_000 // length)]
+        monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 600_000)
+        assert sum(r["f"] == 0 for r in _rows(substring_dedup._counted(50, 2), "text", texts)) >= 3
+
+
+def test_dealt_heads_stay_in_proportion():
+    import pyarrow as pa
+
+    from tessera.llm import ngram_join
+
+    rng = np.random.default_rng(3)
+    heads = [np.sort(rng.integers(0, 1 << 62, 60, np.uint64)) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array([100] * 900, pa.int64()), pa.array([h.tobytes() for h in heads], pa.binary())], names=["c", "n", "head"])
+    for fragments in (8, 512, 16384):
+        rows = [r for b in ngram_join._dealt(fragments, (1 << 62) // fragments)(iter([batch])) for r in b.to_pylist()]
+        assert sum(len(r["grams"]) for r in rows) == 900 * 60 * 8
+        assert sum(len(r["who"]) + len(r["counts"]) for r in rows) <= 900 * 60 * 6
+
+
+def test_names_that_clash_with_the_operators_own(spark):
+    import corpus_pipeline
+    from tessera.llm import substring_dedup
+
+    shared = "a passage that is much longer than fifty bytes, for sure, and comes twice"
+    rows = [(1, f"one {shared} end"), (2, f"two {shared} fin"), (None, shared)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["repeat_starts", "Repeat_Ends", "repeat_id", "repeat_sha", "_starts", "_ends", "gone", "GONE_"]
+    for c in names:
+        frame = frame.withColumn(c, F.lit(c))
+    out = substring_dedup.remove_repeats(frame, 50)
+    assert out.columns == frame.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "twofin" and got[None]["text"] == shared and all(got[2][c] == c for c in names)
+    assert corpus_pipeline.one_of_each_group(spark, frame, "").columns == frame.columns
+
+
+def test_given_tables_have_several_pivots_and_leaves(spark, monkeypatch):
+    from tessera.llm import registry, vector_dedup, vector_search
+
+    d, seen = "/root/testdata/sf0.1", {}
+    pivots, fit_tree = vector_dedup._pivots, vector_search.fit_tree
+    monkeypatch.setattr(vector_dedup, "_pivots", lambda *a: seen.setdefault("pivots", pivots(*a)))
+    monkeypatch.setattr(vector_search, "fit_tree", lambda *a: seen.setdefault("tree", fit_tree(*a)))
+    registry.queries()["op7_metric_join"](spark, d)
+    registry.queries()["op5_kmeans_tree"](spark, d)
+    assert all(len(p) > 2 for p in seen["pivots"].values()) and seen["tree"].leaves >= 30
