@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, quality, substring_dedup
-from tessera.llm.common import stored, table
+from tessera.llm.common import free_name, stored, table
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal shingle sets (five words, similarity 0.8), the one with the smallest id."""
     groups = ngram_join.near_duplicate_groups(docs, words=5, num=4, den=5)
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name("gone", docs.columns)
+    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens along the curve."""
-    return packing.pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, json_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", judge), ("near_duplicates", one_of_each_group), ("repeats", without_repeats), ("packing", packed)]
