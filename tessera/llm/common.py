@@ -41,6 +41,22 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where.getParent(), True)
 
 
+class Tables:
+    """Tables that one call writes on its way, to be removed once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, label))
+        return written(df, self.paths[-1])
+
+    def remove(self) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths = []
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """A column name that none of `taken` has, whatever its case."""
     known = {t.lower() for t in taken}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import partitions, stored, text_or_empty
+from tessera.llm.common import Tables, partitions, stored, text_or_empty
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import binary_column, shingle_sets, slices
 
@@ -222,7 +222,7 @@ def _postings(sets: DataFrame, num: int, den: int) -> DataFrame:
     return grams.join(frequent, "g").withColumn("rest", F.row_number().over(order)).filter(F.col("rest") * den >= F.col("n") * num).select("g", "c", "n", "rest")
 
 
-def _starred(posted: DataFrame, num: int, den: int, largest: bool) -> DataFrame:
+def _starred(posted: DataFrame, tables: Tables, num: int, den: int, largest: bool) -> DataFrame:
     """(x, y): each member of a posting list with the list's leader, its smallest set (or its largest)."""
     # of two linked sets, the smaller one has a common n-gram among so few of its rarest
     short = F.col("rest") * (num + den) >= F.col("n") * (2 * num)
@@ -236,12 +236,12 @@ def _starred(posted: DataFrame, num: int, den: int, largest: bool) -> DataFrame:
         & (F.least("rest", "lead.rest") >= _overlap_needed(small, large, num, den))
     )
     rows = posted.filter(short) if largest else posted
-    return rows.join(stored(leader, "leaders"), "g").filter(fits).select(F.least("c", "lead.c").alias("x"), F.greatest("c", "lead.c").alias("y")).distinct()
+    return rows.join(tables.stored(leader, "leaders"), "g").filter(fits).select(F.least("c", "lead.c").alias("x"), F.greatest("c", "lead.c").alias("y")).distinct()
 
 
-def _paired(posted: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+def _paired(posted: DataFrame, signed: DataFrame, tables: Tables, num: int, den: int) -> DataFrame:
     """(x, y): all members of posting lists that are still apart, as far as lengths, places and signatures allow a link."""
-    mixed = stored(posted.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g"), "mixed")
+    mixed = tables.stored(posted.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g"), "mixed")
     rows = posted.join(mixed, "g").join(signed.select("c", "sig"), "c")
     a = rows.filter(F.col("rest") * (num + den) >= F.col("n") * (2 * num)).select("g", *(F.col(k).alias(f"a_{k}") for k in ("c", "n", "rest", "comp", "sig")))
     b = rows.select("g", *(F.col(k).alias(f"b_{k}") for k in ("c", "n", "rest", "comp", "sig")))
@@ -266,11 +266,12 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     smallest digest links, the others take over its component_id. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    tables = Tables(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    described = stored(rows.mapInArrow(_described(words, num, den), "id long, n long, key binary, head binary"), "described")
+    described = tables.stored(rows.mapInArrow(_described(words, num, den), "id long, n long, key binary, head binary"), "described")
     ids = described.filter("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("key", "n")).alias("s"), F.count("*").alias("rows"))
-    ids = stored(ids.select("id", "s.key", "s.n", "rows"), "ids")
-    classes = stored(ids.groupBy("key").agg(F.min("id").alias("c"), F.first("n").alias("n")), "classes")
+    ids = tables.stored(ids.select("id", "s.key", "s.n", "rows"), "ids")
+    classes = tables.stored(ids.groupBy("key").agg(F.min("id").alias("c"), F.first("n").alias("n")), "classes")
     facts = classes.agg(F.sum("n").alias("grams")).crossJoin(ids.agg(F.max("rows").alias("rows"))).first()
     repeated = (facts["rows"] or 0) > 1
     # 1. what every class's head shares with others, fragment by fragment
@@ -282,16 +283,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     heads = (heads.dropDuplicates(["c"]) if repeated else heads).sortWithinPartitions("c")  # a retried task must deal the same blocks
     dealt = heads.mapInArrow(_dealt(fragments, width), "f int, block long, who binary, counts binary, grams binary, c binary, n binary")
     partial = dealt.groupBy("f").applyInPandas(_partial, "block long, who binary, found binary, c binary, n binary")
-    left = stored(partial.groupBy("block").applyInPandas(_summed(num, den), "c long, n long").distinct(), "left")
+    left = tables.stored(partial.groupBy("block").applyInPandas(_summed(num, den), "c long, n long").distinct(), "left")
     # 2. the sets of the classes left
     kept = left.select("c").join(classes.select("c", "key"), "c")
     texts = rows.join(kept, F.col("id") == F.col("c")).select("c", "text", F.col("key").alias("own"))
     sets = texts.select("c", "text").mapInArrow(_sets(words), "c long, key binary, n long, grams array<long>, sig array<long>")
     if repeated:
         sets = sets.join(kept, ["c", "key"], "left_semi").dropDuplicates(["c"])
-    sets = stored(sets.select("c", "n", "grams", "sig"), "sets")
+    sets = tables.stored(sets.select("c", "n", "grams", "sig"), "sets")
     signed = sets.select("c", "n", "sig")
-    posted = stored(_postings(sets, num, den), "postings")
+    posted = tables.stored(_postings(sets, num, den), "postings")
     # 3. each posting list's members with one leader, then those still apart with the next one, then with each other
     links = None
     for step in range(3):
@@ -301,9 +302,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
         else:
             names = connected_components(links, None if last else 1).withColumnRenamed("node", "c")
             known = posted.join(names, "c", "left").select("g", "c", "n", "rest", F.coalesce("component", "c").alias("comp"))
-        pairs = _paired(known, signed, num, den) if last else _may_link(_starred(known, num, den, largest=step == 1), signed, num, den)
+        pairs = _paired(known, signed, tables, num, den) if last else _may_link(_starred(known, tables, num, den, largest=step == 1), signed, num, den)
         found = _verified(pairs, sets, num, den)
-        links = stored(links.unionByName(found) if links is not None else found, "pairs")
+        links = tables.stored(links.unionByName(found) if links is not None else found, "pairs")
     component = connected_components(links)
     # one row per document
     named = ids.select("id", "key").join(classes.select("key", "c"), "key").join(component, F.col("c") == F.col("node"), "left")
@@ -311,4 +312,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     wordy = described.filter("n > 0 and id is not null").select("id", "n").join(named, F.col("id") == F.col("_id"))
     rest = described.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
     out = wordy.select("id", "n", "component").unionByName(rest)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # the result is small; written, it leaves nothing that still reads the sets and postings
+    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "groups")
+    tables.remove()
+    return out
