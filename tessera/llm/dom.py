@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -21,7 +21,6 @@ BLOCK = frozenset(
     "html body main article section nav aside header footer div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table thead tbody"
     " tfoot tr td th caption form fieldset legend label button select option address details summary dialog menu hgroup center hr".split()
 )
-BESIDE_P = BLOCK - {"p"}
 VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
 #: Tags that svg and math don't have: one of them ends an open svg or math.
 BREAKING = BLOCK | frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
@@ -120,9 +119,10 @@ class Tags:
 def read(source: str) -> Page:
     page = Page()
     tags = Tags(source)
-    opened: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of a kind's open elements in stack
     stack, texts, in_link = [0], [], False
-    dropped: list[str] = []  # open elements from a DROPPED one down
+    dropped: list[tuple[str, bool]] = []  # open elements from a DROPPED one down, and whether svg or math reads what follows each
+    held: Counter[str] = Counter()  # kinds of dropped
     pos, n = 0, len(source)
 
     def flush() -> None:
@@ -132,38 +132,47 @@ def read(source: str) -> Page:
                 page.blocks.append((stack[-1], text))
             texts.clear()
 
+    def nearest(kinds) -> int:
+        return max((places[k][-1] for k in kinds if places[k]), default=0)
+
     def close(kinds, borders) -> None:
-        if not any(opened[k] for k in kinds):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            kind = page.tag[stack[i]]
-            if kind in kinds:
-                opened.subtract(page.tag[x] for x in stack[i:])
-                del stack[i:]
-                return
-            if kind in borders:
-                return
+        """End the innermost open element of these kinds, unless a border is inside it; what is closed is looked at once."""
+        at = nearest(kinds)
+        if at > nearest(borders):
+            for x in stack[at:]:
+                places[page.tag[x]].pop()
+            del stack[at:]
 
     def in_foreign() -> bool:
-        return next((k in FOREIGN for k in reversed(dropped) if k in DROPPED or k in HOLDING), False)
+        return bool(dropped) and dropped[-1][1]
+
+    def leave() -> str:
+        tag = dropped.pop()[0]
+        held[tag] -= 1
+        return tag
+
+    def enter(tag: str) -> None:
+        dropped.append((tag, tag in FOREIGN if tag in DROPPED or tag in HOLDING else in_foreign()))
+        held[tag] += 1
 
     def goes_on(tag: str, ending: bool, closed: bool) -> bool:
         """Whether a tag belongs to what is dropped; if not, the dropped part ends before it."""
-        if ending and tag in dropped:
-            del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
+        if ending and held[tag]:
+            while leave() != tag:
+                pass
             return True
         if in_foreign() and tag in BREAKING:
             while in_foreign():
-                dropped.pop()
+                leave()
             return bool(dropped) and goes_on(tag, ending, closed)
         if ending:
-            return not (tag == "head" or (tag == "a" and in_link) or (tag in BLOCK and opened[tag] > 0))
-        if tag == "body" and not opened[tag]:
+            return not (tag == "head" or (tag == "a" and in_link) or (tag in BLOCK and places[tag]))
+        if tag == "body" and not places[tag]:
             return False
-        if tag in ENDS and page.tag[stack[-1]] in ENDS[tag][0] and not any(k in ENDS[tag][0] | ENDS[tag][1] for k in dropped):
+        if tag in ENDS and page.tag[stack[-1]] in ENDS[tag][0] and not any(held[k] for k in ENDS[tag][0] | ENDS[tag][1]):
             return False
         if not closed and tag not in VOID:
-            dropped.append(tag)
+            enter(tag)
         return True
 
     while pos < n:
@@ -191,9 +200,10 @@ def read(source: str) -> Page:
             if goes_on(tag, ending, closed):
                 continue
             dropped.clear()
+            held.clear()
         if tag in DROPPED:
             if not ending and not closed:
-                dropped.append(tag)
+                enter(tag)
             continue
         if tag == "br":
             texts.append(" ")
@@ -209,7 +219,8 @@ def read(source: str) -> Page:
             if ending:
                 close({tag}, ())
                 continue
-            close({"p"}, BESIDE_P)
+            if page.tag[stack[-1]] == "p":
+                close({"p"}, ())
             if tag in ENDS:
                 close(*ENDS[tag])
             words, hidden, mark = _naming(attributes) if attributes.strip() else ((), False, "")
@@ -223,6 +234,6 @@ def read(source: str) -> Page:
             page.linked.append(0)
             if tag not in VOID:
                 stack.append(len(page.tag) - 1)
-                opened[tag] += 1
+                places[tag].append(len(stack) - 1)
     flush()
     return page

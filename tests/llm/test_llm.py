@@ -186,6 +186,11 @@ def test_reading_is_linear_and_sees_attributes():
         began = time.time()
         dom.read(part * ((1 << 20) // len(part)))
         assert time.time() - began < 8, part
+    n = 1 << 15
+    for source in ("<svg>" + "<g>" * 8 * n, "<svg>" + "<g>" * 4 * n + "</x>" * 4 * n, "<table><tr><td><table>" + "<div>" * n + "<tr></tr>" * n, "<dl><dt><dl>" + "<div>" * n + "<dt></dt>" * n):
+        began = time.time()
+        dom.read(source)
+        assert time.time() - began < 5, source[:40]
     page = dom.read("<p class='is hidden'>a</p><p data-x=\"not hidden\">b</p><p hidden>c</p><p class=x hidden=''>d</p><p title='a>b'>e</p><p title='f>g</p>")
     assert page.hidden[1:] == [False, False, True, True, False, False] and [t for _, t in page.blocks] == ["a", "b", "c", "d", "e", "g"]
 
