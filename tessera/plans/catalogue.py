@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import scores, text
-from tessera.operators import conversations, evaluation, fragments, gate, pages, retrieval, vector_index
+from tessera.operators import conversations, encoder, evaluation, fragments, gate, pages, retrieval, stages, vector_index
 from tessera.session import materialized, shared_path, table
 from tessera.sources import corpus
-from tessera.streaming import answers, page_index
+from tessera.streaming import answers, page_index, patches
 
 EVERY = 50
 TAG = config.DEFAULT.tag
@@ -435,6 +435,58 @@ def embed_fragments(spark, d):
     return rows.select("doc_id", "pos", F.size("embedding").alias("dim"), F.round(scores.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
 
 
+CELL = "CAST(CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT) % 256 AS INTEGER) AS cell"
+IDF = f"""df AS (SELECT {CELL.format(x="pair")}, count(DISTINCT id) AS n_texts FROM db GROUP BY 1),
+  idf AS (SELECT CAST(g.cell AS INTEGER) AS cell, coalesce(n_texts, 0) AS n_texts, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n_texts, 0) + 1)) AS weight
+    FROM range(256) g(cell) LEFT JOIN df USING (cell))"""
+ENCODED = f"""{PAIRS}, {IDF},
+  dt AS (SELECT id, cell, count(*) AS tf FROM (SELECT id, {CELL.format(x="pair")} FROM (SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS pair FROM dw WHERE len(t) > 1)) GROUP BY ALL),
+  dv AS (SELECT id, cell, tf * weight AS w FROM dt JOIN idf USING (cell)),
+  qv AS (SELECT DISTINCT qb.id, c.cell, weight AS w FROM qb, LATERAL (SELECT {CELL.format(x="qb.pair")}) c JOIN idf ON idf.cell = c.cell),
+  dl AS (SELECT id, sqrt(sum(w * w)) AS l FROM dv GROUP BY id), ql AS (SELECT id, sqrt(sum(w * w)) AS l FROM qv GROUP BY id),
+  dots AS (SELECT qv.id AS qid, dv.id AS fid, sum(qv.w * dv.w) AS dot FROM qv JOIN dv USING (cell) GROUP BY ALL),
+  near AS (SELECT qid, fid, round(dot / (ql.l * dl.l), 6) AS score FROM dots JOIN ql ON ql.id = qid JOIN dl ON dl.id = fid)"""
+
+
+def _encoder(spark, d):
+    """The encoder as a service loads it: fitted on all documents, saved, read back."""
+    path = shared_path(spark, "encoder")
+    encoder.save(encoder.fit(table(spark, d, "documents")), path)
+    return encoder.load(path)
+
+
+@register(f"WITH {PAIRS}, {IDF} SELECT cell, CAST(n_texts AS BIGINT) AS n_texts, round(weight, 6) AS weight FROM idf")
+def encoder_weights(spark, d):
+    return encoder.weights(spark, _encoder(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+@register(
+    f"WITH {ENCODED} SELECT * FROM (SELECT qid, fid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, fid) AS INTEGER) AS rank FROM near WHERE qid <> fid AND score > 0) WHERE rank <= 4"
+)
+def encoder_top4(spark, d):
+    """Documents nearest to each benchmark item under the fitted encoder, in its question and its passage mode."""
+    model = _encoder(spark, d)
+    asked = encoder.encoded(table(spark, d, "benchmark"), model, is_query=True).select(F.col("item_id").alias("qid"), F.col("embedding").alias("qv"))
+    found = encoder.encoded(table(spark, d, "documents"), model).select(F.col("doc_id").alias("fid"), F.col("embedding").alias("fv"))
+    some = lambda v: F.exists(v, lambda x: x != 0)
+    hits = retrieval.nearest(asked.filter(some("qv")), found.filter(some("fv")), config.DEFAULT.top_k).filter("score > 0")
+    return hits.select("qid", "fid", "score", "rank")
+
+
+@register(
+    f"""WITH {PAIRS} SELECT 'questions' AS stage, count(*) AS rows, count(*) > 0 AS ran FROM benchmark UNION ALL SELECT 'candidates', count(*), TRUE FROM cand
+    UNION ALL SELECT 'reranked', count(*), TRUE FROM hits UNION ALL SELECT 'passed', count_if(pair_score >= 0.5), TRUE FROM hits"""
+)
+def stage_timing(spark, d):
+    """Rows of the stages of retrieval as the stage table has them; seconds, jobs and tasks are not constant, so only whether there were any is returned."""
+    run = stages.Stages(spark)
+    asked = run.run("questions", lambda: table(spark, d, "benchmark"))
+    found = run.run("candidates", lambda: retrieval.lexical(asked, table(spark, d, "documents"), config.DEFAULT.candidates))
+    top = run.run("reranked", lambda: retrieval.reranked(found, config.DEFAULT.top_k))
+    run.run("passed", lambda: gate.above(top.select("qid", "fid", F.col("pair_score").alias("score"))))
+    return run.table().select("stage", "rows", ((F.col("seconds") > 0) & (F.col("jobs") > 0) & (F.col("tasks") > 0)).alias("ran"))
+
+
 @register(
     f"SELECT name, item_id, md5(document || text) AS document_md5, md5(query || text) AS query_md5 FROM benchmark, {_values([(n, a, b) for n, a, b in config.TEMPLATES], 'name, document, query')} t"
 )
@@ -815,18 +867,40 @@ def conversation_search(spark, d):
     return conversations.search(conversations.rollup(table(spark, d, "conversations")), "TION").select("conv_id", "title")
 
 
-@register(
-    """WITH patch AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'patched ' || turn END AS text, CASE WHEN conv_id % 2 = 0 THEN 'error' END AS role FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0)
+PATCHED = """WITH patch AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'patched ' || turn END AS text, CASE WHEN conv_id % 2 = 0 THEN 'error' END AS role FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0)
     SELECT c.conv_id, c.turn, coalesce(p.role, c.role) AS role, md5(coalesce(p.text, c.text)) AS text_md5 FROM conversations c LEFT JOIN patch p ON p.conv_id = c.conv_id AND p.turn = c.turn"""
-)
-def message_patch(spark, d):
-    turns = table(spark, d, "conversations")
+MESSAGE, PATCHABLE = ["conv_id", "turn"], ["text", "role"]
+
+
+def _patches(turns):
+    """Two patches of some messages, the second of which counts."""
     own = turns.filter("role = 'assistant' and conv_id % 3 = 0")
     first = own.select("conv_id", "turn", F.lit("superseded").alias("text"), F.lit("user").alias("role"), F.lit(1).alias("seq"))
     text_ = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("patched "), F.col("turn").cast("string")))
     last = own.select("conv_id", "turn", text_.alias("text"), F.when(F.col("conv_id") % 2 == 0, "error").alias("role"), F.lit(2).alias("seq"))
-    out = conversations.patched(turns, first.unionByName(last), ["conv_id", "turn"], ["text", "role"])
-    return out.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+    return first.unionByName(last)
+
+
+def _digest(messages):
+    return messages.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@register(PATCHED)
+def message_patch(spark, d):
+    turns = table(spark, d, "conversations")
+    return _digest(conversations.patched(turns, _patches(turns), MESSAGE, PATCHABLE))
+
+
+@register(PATCHED)
+def message_patch_stream(spark, d):
+    """The same patches as a stream of three deliveries: the newest ones first, then the older ones, then all once more."""
+    turns, source, path = table(spark, d, "conversations"), shared_path(spark, "patches"), shared_path(spark, "newest")
+    own = _patches(turns)
+    for part in (own.filter("seq = 2"), own.filter("seq = 1"), own):
+        part.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(own.schema).parquet(source)
+        patches.start(arriving, path, MESSAGE, PATCHABLE, f"{source}-offsets").awaitTermination()
+    return _digest(patches.applied(turns, path, MESSAGE, PATCHABLE))
 
 
 @register("SELECT conv_id, max_by(role, turn) = 'user' AS pending FROM conversations GROUP BY conv_id")
