@@ -475,7 +475,7 @@ def encoder_top4(spark, d):
 
 @register(
     f"""WITH {PAIRS} SELECT 'questions' AS stage, count(*) AS rows, count(*) > 0 AS ran FROM benchmark UNION ALL SELECT 'candidates', count(*), TRUE FROM cand
-    UNION ALL SELECT 'reranked', count(*), TRUE FROM hits UNION ALL SELECT 'passed', count_if(pair_score >= 0.5), TRUE FROM hits"""
+    UNION ALL SELECT 'reranked', count(*), TRUE FROM hits UNION ALL SELECT 'passed', CAST(count_if(pair_score >= 0.5) AS BIGINT), TRUE FROM hits"""
 )
 def stage_timing(spark, d):
     """Rows of the stages of retrieval as the stage table has them; seconds, jobs and tasks are not constant, so only whether there were any is returned."""
