@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import scores, text
-from tessera.operators import conversations, encoder, evaluation, fragments, gate, pages, retrieval, stages, vector_index
+from tessera.operators import conversations, encoder, evaluation, fragments, gate, pages, pair_index, retrieval, stages, vector_index
 from tessera.session import materialized, shared_path, table
 from tessera.sources import corpus
 from tessera.streaming import answers, page_index, patches
@@ -543,6 +543,24 @@ def rerank_top4(spark, d):
     return retrieval.reranked(_candidates(spark, d), config.DEFAULT.top_k)
 
 
+def _by_length(spark, d):
+    path = shared_path(spark, "by_length")
+    pair_index.write_by_length(table(spark, d, "documents"), path)
+    return pair_index.search(table(spark, d, "benchmark"), path, config.DEFAULT.candidates)
+
+
+@register(f"WITH {PAIRS} SELECT qid, fid, score, pair_score, CAST(rank AS INTEGER) AS rank FROM cand")
+def lexical_bounded(spark, d):
+    """The candidates from a stored index whose frequent pairs are passed over where scores can't reach the top."""
+    return _by_length(spark, d)[0]
+
+
+@register()
+def lexical_reads(spark, d):
+    """How many postings each step of the bounded search reads, of all that the questions' pairs have."""
+    return _by_length(spark, d)[1]
+
+
 @register(f"WITH {PAIRS} SELECT qid, fid, pair_score, CAST(rank AS INTEGER) AS rank, CAST(final_rank AS INTEGER) AS final_rank FROM hits")
 def rerank_injected(spark, d):
     """Rerank by a pair scorer that reads the texts (here without a model)."""
