@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import escape
@@ -26,21 +27,14 @@ from tessera.llm.common import bounded_draw, stored, text_or_empty
 #: Documented bounds of the fit: source pages drawn from the table, and training pages made of them.
 SOURCE_PAGES, SOURCE_PARAGRAPHS, SOURCE_CHARS = 400, 60, 4000
 TRAINING_PAGES = 1500
+#: Share of training pages whose names mean nothing.
+INVENTED = 0.25
+#: Cells of attribute tokens: a token's cell is its CRC-32, a cell's odds of being content are learned.
+CELLS = 1 << 12
+#: Tokens of a cell count as so many more of either kind.
+SHRINK = 3.0
 #: Log-odds it takes to take an element out of a parent that stays.
 PARTING = 1.0
-# Words of class, id and role attributes, by what they usually name.
-NAMES = {
-    "text": "article content main post entry story body text prose markdown page document".split(),
-    "menu": "nav navigation navbar menu menubar breadcrumb breadcrumbs toc tabs pagination pager skip links".split(),
-    "advert": "ad ads adv advert adverts advertisement sponsor sponsored promo promotion promoted banner adsense dfp teaser".split(),
-    "notice": "cookie cookies consent gdpr notice notices privacy alert warning popup modal overlay toast paywall announcement dialog disclaimer".split(),
-    "comment": "comment comments commentlist reply replies discussion disqus respond thread responses reactions reviews feedback".split(),
-    "side": "sidebar side aside widget widgets rail related recommended recommendations trending popular more tags complementary".split(),
-    "share": "share sharing social follow twitter facebook print toolbar actions buttons".split(),
-    "foot": "footer foot copyright colophon contentinfo legal bottom imprint".split(),
-    "head": "header masthead topbar logo branding top hero site".split(),
-    "form": "form subscribe subscription newsletter signup login signin register search contact field input".split(),
-}
 TAGS = {
     "article": {"article"}, "main": {"main"}, "section": {"section"}, "div": {"div", "center", "body", "html", "#page"}, "p": {"p"},
     "heading": {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, "list": {"ul", "ol", "menu", "dl"}, "item": {"li", "dt", "dd"},
@@ -48,30 +42,39 @@ TAGS = {
     "aside": {"aside"}, "header": {"header"}, "footer": {"footer", "address"},
     "form": {"form", "fieldset", "legend", "label", "button", "select", "option"}, "dialog": {"dialog", "details", "summary"},
 }
-_NAME_BIT = {w: i for i, words in enumerate(NAMES.values()) for w in words}
 _TAG_NUMBER = {t: i for i, tags in enumerate(TAGS.values()) for t in tags}
 FEATURES = (
-    [f"tag_{t}" for t in TAGS] + [f"name_{t}" for t in NAMES] + [f"above_{t}" for t in NAMES]
-    + ["above_nav", "above_aside", "above_header", "above_footer", "above_form", "above_article", "hidden", "furniture"]
+    [f"tag_{t}" for t in TAGS]
+    + ["own_sum", "own_min", "own_max", "own_unknown", "above_sum", "above_min", "above_max"]
+    + ["above_nav", "above_aside", "above_header", "above_footer", "above_form", "above_article", "hidden"]
     + ["depth", "log_text", "log_own", "share", "link_share", "log_links", "stops", "words_a_block", "log_children", "text_a_tag", "log_siblings", "same_siblings", "parent_share"]
 )
-_BAD_TAGS = [i for i, t in enumerate(TAGS) if t in ("nav", "aside", "footer", "form", "dialog")]
 _ABOVE_TAGS = ("nav", "aside", "header", "footer", "form", "article")
 
 
-def features(page: dom.Page) -> np.ndarray:
-    """One row for each element, in the order of FEATURES."""
+def cell_of(token: str) -> int:
+    return zlib.crc32(token.encode()) % CELLS
+
+
+def tokens_of(tag: str, words: tuple[str, ...]) -> set[str]:
+    """An element's attribute tokens, with its tag as one more."""
+    return {f"<{tag}>", *words}
+
+
+def features(page: dom.Page, odds: np.ndarray) -> np.ndarray:
+    """One row for each element, in the order of FEATURES; odds: a number for each cell of attribute tokens, 0 for unknown ones.
+
+    own_*: sum, least, greatest odds and number of unknown ones of the element's own tokens; above_*: of its ancestors' sums.
+    """
     n = len(page.tag)
     parent = np.array(page.parent)
     tag = np.array([_TAG_NUMBER.get(t, 3) for t in page.tag])
     one_tag = np.zeros((n, len(TAGS)))
     one_tag[np.arange(n), tag] = 1
-    named = np.zeros((n, len(NAMES)))
+    own_odds = np.zeros((n, 4))
     for i, words in enumerate(page.words):
-        for w in words:
-            k = _NAME_BIT.get(w)
-            if k is not None:
-                named[i, k] = 1
+        o = odds[[cell_of(w) for w in tokens_of(page.tag[i], words)]]
+        own_odds[i] = o.sum(), min(0.0, o.min()), max(0.0, o.max()), (o == 0).sum()
     own, stops, blocks = np.zeros(n), np.zeros(n), np.zeros(n)
     for i, text in page.blocks:
         own[i] += len(text)
@@ -85,12 +88,12 @@ def features(page: dom.Page) -> np.ndarray:
         children[parent[i]] += 1
         key = (page.parent[i], int(tag[i]))
         first_tag[key] = first_tag.get(key, 0) + 1
-    above = np.zeros((n, len(NAMES)))
+    above = np.zeros((n, 3))
     above_tag = np.zeros((n, len(_ABOVE_TAGS)))
     columns = [list(TAGS).index(t) for t in _ABOVE_TAGS]
     for i in range(1, n):
         p = parent[i]
-        above[i] = np.maximum(above[p], named[p])
+        above[i] = above[p, 0] + own_odds[p, 0], min(above[p, 1], own_odds[p, 0]), max(above[p, 2], own_odds[p, 0])
         above_tag[i] = np.maximum(above_tag[p], one_tag[p, columns])
     siblings = np.r_[1, children[parent[1:]]] if n > 1 else np.ones(1)
     same = np.array([1.0] + [first_tag[(page.parent[i], int(tag[i]))] for i in range(1, n)]) / np.maximum(1, siblings)
@@ -105,17 +108,20 @@ def features(page: dom.Page) -> np.ndarray:
         axis=1,
     )
     hidden = np.array(page.hidden, float)[:, None]
-    # anything by name or kind, here or above, that is seldom part of an article
-    bad = np.concatenate([named[:, 1:8], above[:, 1:8], named[:, 9:], above[:, 9:], above_tag[:, [0, 1, 3, 4]], one_tag[:, _BAD_TAGS], hidden], axis=1)
-    return np.concatenate([one_tag, named, above, above_tag, hidden, bad.max(axis=1, keepdims=True), rest], axis=1)
+    return np.concatenate([one_tag, own_odds, above, above_tag, hidden, rest], axis=1)
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as nested tuples (feature, threshold, left, right) or a leaf's value, with weights; the sum is half a log-odds."""
+    """Trees as nested tuples (feature, threshold, left, right) or a leaf's value, with weights, the sum is half a log-odds; and the
+    odds of attribute tokens by cell."""
 
     trees: tuple
     weights: tuple[float, ...]
+    odds: np.ndarray
+
+    def kept(self, page: dom.Page) -> np.ndarray:
+        return decode(page, self.logits(features(page, self.odds)))
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         def value(tree, rows):
@@ -130,7 +136,7 @@ class Forest:
         return 2 * sum(w * value(t, every) for t, w in zip(self.trees, self.weights))
 
 
-def forest_of(description: str) -> Forest:
+def forest_of(description: str, odds: np.ndarray) -> Forest:
     """Read a fitted model's toDebugString."""
     weights, trees, lines = [], [], []
 
@@ -150,7 +156,7 @@ def forest_of(description: str) -> Forest:
         elif lines and line.strip():
             lines[-1].append(line.strip())
     trees = [tree(rows) for rows in lines]
-    return Forest(tuple(trees), tuple(weights))
+    return Forest(tuple(trees), tuple(weights), odds)
 
 
 def decode(page: dom.Page, logits: np.ndarray) -> np.ndarray:
@@ -173,30 +179,53 @@ def decode(page: dom.Page, logits: np.ndarray) -> np.ndarray:
 
 # --- training pages --------------------------------------------------------------------------------------------------
 
-_SHAPES = {
-    "menu": (["nav", "nav", "ul", "div", "header"], ["menu", "nav", "main-nav", "navbar", "site-navigation", "breadcrumbs", ""]),
-    "head": (["header", "header", "div"], ["header", "site-header", "masthead", "topbar", "page-header", ""]),
-    "foot": (["footer", "footer", "div", "section"], ["footer", "site-footer", "copyright", "page-footer", ""]),
-    "side": (["aside", "aside", "div", "section"], ["sidebar", "widget", "related", "right-rail", "related-posts", "recommended", ""]),
-    "notice": (["div", "section", "aside", "p", "dialog"], ["cookie-notice", "consent", "notice", "gdpr-banner", "alert", "privacy-popup", "paywall-notice"]),
-    "advert": (["div", "aside", "section", "p"], ["ad", "ads", "advert", "sponsored", "promo", "ad-banner", "advertisement", "promo-box"]),
-    "form": (["form", "form", "div"], ["newsletter", "subscribe", "login-form", "search", "signup", "contact-form", ""]),
-    "comment": (["section", "div", "ol", "ul"], ["comments", "comment-list", "discussion", "replies", "disqus_thread", "reader-comments", "responses"]),
-    "share": (["div", "ul"], ["share", "social", "share-buttons", "sharing", "follow-us"]),
+# Words that class, id and role attributes of training pages are made of. What they mean is learned, not looked up.
+NAMES = {
+    "text": "article content main post entry story body text prose markdown news articulo contenido cuerpo texto noticia artikel inhalt corps texte contenu".split(),
+    "menu": "nav navigation navbar menu menubar breadcrumb breadcrumbs toc tabs pagination pager links navegacion migas navi ariane".split(),
+    "head": "header masthead topbar logo branding banner cabecera kopf kopfzeile encabezado entete".split(),
+    "foot": "footer foot copyright colophon contentinfo legal bottom imprint pie impressum fuss pied mentions".split(),
+    "side": "sidebar side aside widget widgets rail related recommended trending popular tags lateral relacionados seitenleiste barre".split(),
+    "notice": "cookie cookies consent gdpr notice notices privacy alert warning popup modal overlay toast paywall announcement disclaimer aviso hinweis avis".split(),
+    "advert": "ad ads adv advert adverts advertisement sponsor sponsored promo promotion promoted adsense teaser publicidad anuncio werbung anzeige publicite".split(),
+    "form": "form subscribe subscription newsletter signup login signin register search contact field buscar formulario suche anmeldung recherche".split(),
+    "comment": "comment comments commentlist reply replies discussion disqus respond thread responses reviews feedback comentarios kommentare commentaires".split(),
+    "share": "share sharing social follow toolbar actions buttons compartir teilen partager".split(),
 }
+_NEUTRAL = "page site wrapper container inner outer box block area item row col left right top wide group unit layout".split()
+_ELEMENTS = {
+    "menu": ["nav", "nav", "ul", "div", "header"], "head": ["header", "header", "div"], "foot": ["footer", "footer", "div", "section"], "side": ["aside", "aside", "div", "section"],
+    "notice": ["div", "section", "aside", "p", "dialog"], "advert": ["div", "aside", "section", "p"], "form": ["form", "form", "div"], "comment": ["section", "div", "ol", "ul"],
+    "share": ["div", "ul"],
+}
+#: Kinds whose own element tells them apart without a name.
+_TELLING = {"nav", "header", "footer", "aside", "form", "dialog"}
 
 
-def _element(kind: str, inner: str, rng: random.Random) -> str:
-    tags, names = _SHAPES[kind]
-    tag, name = rng.choice(tags), rng.choice(names)
-    if not name and tag in ("div", "section", "ul", "p"):
-        name = rng.choice([x for x in names if x])
-    named = f' {rng.choice(["class", "class", "id"])}="{name}"' if name and rng.random() < 0.85 or tag in ("div", "section", "ul", "ol", "p") and name else ""
+def _name(kind: str, rng: random.Random, invented: bool) -> str:
+    """A name of the kind: one of its words, often with a neutral one; or letters that mean nothing."""
+    if invented:
+        return "".join(rng.choices("abcdefghijklmnoprstuvwxyz", k=rng.randint(2, 7))) + rng.choice(["", "-x", "_a", "1"])
+    words = [rng.choice(NAMES[kind])]
+    if rng.random() < 0.4:
+        words.insert(rng.randint(0, 1), rng.choice(_NEUTRAL))
+    return rng.choice(["-", "-", "_", " "]).join(words)
+
+
+def _element(kind: str, inner: str, rng: random.Random, invented: bool) -> str:
+    # a block inside would end a paragraph, and stand outside of what is marked
+    tag = rng.choice([t for t in _ELEMENTS[kind] if t != "p" or not re.search("<(p|ul|div|h[1-6]|button)\\b", inner)])
+    named = "" if tag in _TELLING and rng.random() < 0.5 else f' {rng.choice(["class", "class", "id"])}="{_name(kind, rng, invented)}"'
     return f'<{tag}{named} data-mark="0">{inner}</{tag}>'
 
 
 def training_page(texts: list[str], others: list[str], rng: random.Random) -> str:
-    """A page whose article holds texts; furniture takes its words from others. data-mark tells content (1) from the rest."""
+    """A page whose article holds texts; furniture takes its words from others. data-mark tells content (1) from the rest.
+
+    On a share of the pages names mean nothing; what could then not be told from text (adverts, notices and comments) is left out there.
+    """
+    invented = rng.random() < INVENTED
+
     def some(n: int) -> str:
         words = rng.choice(others).split() or ["x"]
         at = rng.randrange(len(words))
@@ -211,24 +240,26 @@ def training_page(texts: list[str], others: list[str], rng: random.Random) -> st
         return f"<ul>{body}</ul>" if item.startswith("<li>") else body
 
     def furniture(kind: str) -> str:
+        if invented and kind in ("notice", "advert", "comment"):
+            kind = rng.choice(["menu", "share", "form"])
         if kind == "menu":
-            return _element(kind, links(rng.randint(2, 9)), rng)
+            return _element(kind, links(rng.randint(2, 9)), rng, invented)
         if kind == "head":
-            return _element(kind, rng.choice([f"<h1>{some(3)}</h1>", f"<a href='/'>{some(2)}</a>", f"<div class='logo'>{some(2)}</div><p>{some(6)}</p>"]) + (links(4) if rng.random() < 0.5 else ""), rng)
+            return _element(kind, rng.choice([f"<h1>{some(3)}</h1>", f"<a href='/'>{some(2)}</a>", f"<div class='logo'>{some(2)}</div><p>{some(6)}</p>"]) + (links(4) if rng.random() < 0.5 else ""), rng, invented)
         if kind == "foot":
-            return _element(kind, rng.choice([f"&copy; {some(3)} &middot; {some(10)}", f"<p>{some(12)}</p>" + links(3), some(20)]), rng)
+            return _element(kind, rng.choice([f"&copy; {some(3)} &middot; {some(10)}", f"<p>{some(12)}</p>" + links(3), some(20)]), rng, invented)
         if kind == "side":
-            return _element(kind, rng.choice([f"<h3>{some(2)}</h3>" + links(5), f"<h4>{some(3)}</h4><p>{some(25)}</p>", f"<p>{prose()}</p>"]), rng)
+            return _element(kind, rng.choice([f"<h3>{some(2)}</h3>" + links(5), f"<h4>{some(3)}</h4><p>{some(25)}</p>", f"<p>{prose()}</p>"][: 1 if invented else 3]), rng, invented)
         if kind in ("notice", "advert"):
             body = some(rng.randint(4, 40)) if rng.random() < 0.8 else prose()
-            return _element(kind, rng.choice([body, f"<p>{body}</p>", f"<p>{body}</p><button>{some(1)}</button>", f"{body} <a href='/x'>{some(2)}</a>"]), rng)
+            return _element(kind, rng.choice([body, f"<p>{body}</p>", f"<p>{body}</p><button>{some(1)}</button>", f"{body} <a href='/x'>{some(2)}</a>"]), rng, invented)
         if kind == "form":
-            return _element(kind, f"<label>{some(2)}</label><input name='q'><p>{some(rng.randint(3, 15))}</p><button>{some(1)}</button>", rng)
+            return _element(kind, f"<label>{some(2)}</label><input name='q'><p>{some(rng.randint(3, 15))}</p><button>{some(1)}</button>", rng, invented)
         if kind == "comment":
             one = rng.choice(["<li><b>{0}</b><p>{1}</p></li>", "<div class='comment'><span>{0}</span><p>{1}</p></div>", "<article class='comment'><h4>{0}</h4><p>{1}</p></article>", "<p>{1}</p>"])
             body = "".join(one.format(some(1), prose() if rng.random() < 0.6 else some(12)) for _ in range(rng.randint(1, 6)))
-            return _element(kind, rng.choice([f"<h2>{some(1)}</h2>", f"<h3>{some(2)}</h3>", ""]) + body, rng)
-        return _element(kind, links(rng.randint(2, 5)), rng)
+            return _element(kind, rng.choice([f"<h2>{some(1)}</h2>", f"<h3>{some(2)}</h3>", ""]) + body, rng, invented)
+        return _element(kind, links(rng.randint(2, 5)), rng, invented)
 
     inside = []
     if rng.random() < 0.8:
@@ -264,8 +295,12 @@ def training_page(texts: list[str], others: list[str], rng: random.Random) -> st
     if rng.random() < 0.15:
         inside.append(furniture("comment"))
     body = "".join(inside)
-    kind, name = rng.choice([("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("div", "article-text"), ("section", "story"), ("div", "")])
-    body = f'<{kind}{f" class={chr(34)}{name}{chr(34)}" if name else ""} data-mark="1">{body}</{kind}>'
+    kind = rng.choice(["article", "article", "main", "div", "div", "div", "section", "", ""])
+    if kind:
+        name = "" if rng.random() < 0.25 else _name("text", rng, invented)
+        if name and rng.random() < 0.15:  # a word that elsewhere names furniture
+            name = " ".join(rng.sample([name, rng.choice(NAMES[rng.choice(["head", "side", "notice", "share"])]) + "-" + rng.choice(NAMES["text"])], 2))
+        body = f'<{kind}{f" class={chr(34)}{name}{chr(34)}" if name else ""} data-mark="1">{body}</{kind}>'
     if rng.random() < 0.4:
         more = furniture(rng.choice(["side", "comment", "menu"])) if rng.random() < 0.6 else ""
         wrap = rng.choice(["main", "div", 'div class="container"', 'div id="page"', 'div class="wrapper"'])
@@ -296,16 +331,15 @@ def _paragraphs(source: str) -> list[str]:
     return [t for _, t in dom.read(source).blocks if len(t) > 40]
 
 
-def training_rows(pools: list[list[str]], seeds: Iterator[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features and labels of the elements of one page for each seed, made of the paragraphs of other pages."""
+def training_pages(pools: list[list[str]], seeds: Iterator[int]) -> Iterator[tuple[dom.Page, np.ndarray]]:
+    """A page for each seed, made of the paragraphs of other pages, and the labels of its elements."""
     pools = pools or [["No page of this table has any text, so this one stands in for it."]]
     for seed in seeds:
         rng = random.Random(seed)
         own = rng.choice(pools)
         k = min(len(own), rng.choice([1, 2, 3, 5, 8, 12]))
         page = dom.read(training_page(rng.sample(own, k), rng.choice(pools), rng))
-        y = labels_of(page)
-        yield features(page)[y >= 0], y[y >= 0]
+        yield page, labels_of(page)
 
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", seed: int = 5) -> Forest:
@@ -323,15 +357,37 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", seed:
     pools = [list(r["pool"]) for r in drawn.collect() if r["pool"]]
     shipped = spark.sparkContext.broadcast(pools)  # at most SOURCE_PAGES x SOURCE_PARAGRAPHS x SOURCE_CHARS characters
 
+    def made_of(ids):
+        return training_pages(shipped.value, [seed * 1_000_003 + int(i) for i in ids])
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i % 2, cell_of(w), int(k)) for i, (page, y) in zip(pdf["id"], made_of(pdf["id"])) for tag, words, k in zip(page.tag, page.words, y) if k >= 0 for w in tokens_of(tag, words)]
+            yield pd.DataFrame(rows, columns=["fold", "cell", "label"], dtype="int64")
+
+    numbers = spark.range(0, TRAINING_PAGES, 1, 6)
+    # at most 2 x 2 x CELLS rows
+    seen = numbers.mapInPandas(tokens, "fold long, cell long, label long").groupBy("fold", "cell", "label").count().collect()
+    counts = np.zeros((2, 2, CELLS))
+    for r in seen:
+        counts[r["fold"], r["label"], r["cell"]] = r["count"]
+
+    def odds_of(c: np.ndarray) -> np.ndarray:
+        return np.log(c[1] + SHRINK) - np.log(c[0] + SHRINK)
+
+    # a page's features come from the other half's odds, or trees would trust names that only this page has
+    halves = [odds_of(counts[1]), odds_of(counts[0])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x, y = zip(*training_rows(shipped.value, [seed * 1_000_003 + int(i) for i in pdf["id"]]))
+            made = [(features(page, halves[i % 2])[y >= 0], y[y >= 0]) for i, (page, y) in zip(pdf["id"], made_of(pdf["id"]))]
+            x, y = zip(*made)
             yield pd.DataFrame({"x": list(np.concatenate(x)), "label": np.concatenate(y).astype(float)})
 
-    made = stored(spark.range(0, TRAINING_PAGES, 1, 6).mapInPandas(run, "x array<double>, label double"), "training")
+    made = stored(numbers.mapInPandas(run, "x array<double>, label double"), "training")
     rows = made.select(array_to_vector("x").alias("features"), "label").coalesce(4)
     model = GBTClassifier(maxIter=50, maxDepth=4, stepSize=0.3, minInstancesPerNode=10, subsamplingRate=0.8, seed=seed, featuresCol="features").fit(rows)
-    return forest_of(model.toDebugString)
+    return forest_of(model.toDebugString, odds_of(counts.sum(axis=0)))
 
 
 def _extracted(forest: Forest):
@@ -340,7 +396,7 @@ def _extracted(forest: Forest):
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 read = [dom.read(h) for h in part["html"]]
-                x = [features(p) for p in read]
+                x = [features(p, forest.odds) for p in read]
                 edges = np.cumsum([0, *map(len, x)])
                 logits = forest.logits(np.concatenate(x))
                 texts = []

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from tests.llm import brute
 from tessera.llm import bpe, chat, dom, html_extraction, lyndon, ngram_join, packing, quality, registry, sharding, substring_dedup, vector_dedup, vector_search
 from tessera.llm.components import connected_components
+from tests.llm.hand_pages import PAGES
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -142,7 +143,7 @@ def test_extraction_on_held_out_pages(spark, forest):
     for _ in range(n):
         own = rng.choice(pools)
         page = dom.read(html_extraction.training_page(own[: rng.choice([1, 2, 4, 8])], rng.choice(pools), rng))
-        kept = html_extraction.decode(page, forest.logits(html_extraction.features(page)))
+        kept = forest.kept(page)
         mark = [False] * len(page.tag)
         for i in range(1, len(page.tag)):
             mark[i] = page.mark[i] == "1" or (page.mark[i] == "" and mark[page.parent[i]])
@@ -151,6 +152,36 @@ def test_extraction_on_held_out_pages(spark, forest):
     assert right >= 0.93 * n
 
 
+def test_extraction_of_given_and_hand_written_pages(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    forest = html_extraction.fit(given)
+
+    def text_of(source):
+        page = dom.read(source)
+        kept = forest.kept(page)
+        return page, [t for i, t in page.blocks if kept[i]]
+
+    right = sum("\n".join(text_of(source)[1]) == want for source, want in PAGES)
+    assert len(PAGES) >= 30 and right >= 0.9 * len(PAGES)
+    # an article less its adverts, read from the markup of these pages
+    for r in given.collect():
+        page, text = text_of(r["html"] or "")
+        inside = [False] * len(page.tag)
+        for i in range(1, len(page.tag)):
+            inside[i] = (inside[page.parent[i]] or page.tag[i] == "article") and "ad" not in page.words[i]
+        assert text == [t for i, t in page.blocks if inside[i]], r["page_id"]
+
+
+def test_attribute_tokens_weigh_what_was_learned():
+    odds = np.zeros(html_extraction.CELLS)
+    odds[html_extraction.cell_of("lot")], odds[html_extraction.cell_of("bad")] = 2.0, -3.0
+    x = html_extraction.features(dom.read('<div class="lot bad"><p id=new>a</p></div>'), odds)
+    col = {name: x[:, i].tolist() for i, name in enumerate(html_extraction.FEATURES)}
+    assert x.shape[1] == len(html_extraction.FEATURES)
+    assert (col["own_sum"], col["own_min"], col["own_max"]) == ([0, -1, 0], [0, -3, 0], [0, 2, 0]) and col["own_unknown"] == [1, 1, 2]
+    assert col["above_sum"] == [0, 0, -1] and col["above_min"] == [0, 0, -1]
+
+
 def test_extraction_of_odd_pages(spark, forest):
     body = "<article><h1>Title &amp; more</h1><p>First  sentence of the\n text, long enough to count.<p>Second one &eacute;&nbsp;here, after an open tag.<br>On.</article>"
     rows = [(1, "u", f"<html><head><title>x</title><script>var a='<p>no</p>'</script></head><body><nav><a href=/>Home</a></nav>{body}<footer>&copy; foot</footer>"), (2, None, ""), (3, "u", None), (None, "u", "<p"), (4, "u", "<<<>>> </p></div>")]
