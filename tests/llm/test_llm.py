@@ -553,7 +553,7 @@ def test_pipeline(spark):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {k.split("_")[0] for k in registry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {k.split("_")[0] for k in registry.queries()}
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
