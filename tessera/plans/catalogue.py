@@ -361,7 +361,7 @@ for _a, _b in _ENTITIES:
     f"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace({_UNESCAPED}, '(?m)[ \\t\\r]+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM pages"
 )
 def clean_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(text.tidy(text.unescape("html"))).alias("text_md5"))
+    return table(spark, d, "pages").select("page_id", F.md5(text.tidy(text.references(F.col("html")))).alias("text_md5"))
 
 
 @register(f"WITH {P}, {LOCATED} SELECT doc_id, {LABEL} AS fuente FROM located")
