@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialized
 
 #: Questions of a block: what a task holds of them, and what is broadcast at a time.
-QUESTION_BLOCK, FRAGMENT_BLOCK = 4096, 65536
+QUESTION_BLOCK, FRAGMENT_BLOCK = 4096, 16384
+#: Rows that are turned into numbers at a time, and scores that a task holds at a time.
+PIECE, SCORES = 2048, 1 << 19
+NONE = np.zeros(0), np.zeros(0, np.int64)
 #: So many distinct word pairs of questions are broadcast at most; beyond, fragments' pairs are joined with them.
 PAIRS_SHIPPED = 1 << 19
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -33,13 +36,31 @@ def _unit(vectors) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def _best(ids, fids: np.ndarray, scores: np.ndarray, best: list, k: int) -> None:
-    """Keep each question's k best of what it has and of these fragments."""
-    for i, q in enumerate(ids):
-        ok = fids != q
-        s, f = np.concatenate([best[i][0], scores[i][ok]]), np.concatenate([best[i][1], fids[ok]])
-        at = _top(s, f, k)
-        best[i] = s[at], f[at]
+def best_of(ids: np.ndarray, vectors: np.ndarray, fids: np.ndarray, found: np.ndarray, best: list, k: int) -> None:
+    """Keep each question's k best of what it has and of these fragments; at most about SCORES scores are held at a time."""
+    step = max(1, SCORES // max(1, len(fids)))
+    for lo in range(0, len(ids), step):
+        scores = np.round(vectors[lo : lo + step] @ found.T, 6)
+        for i, row in enumerate(scores, lo):
+            own, other = best[i]
+            ok = fids != ids[i]
+            if len(own) == k:
+                ok &= ~(row < own[-1])
+            s, f = np.concatenate([own, row[ok]]), np.concatenate([other, fids[ok]])
+            at = _top(s, f, k)
+            best[i] = s[at], f[at]
+
+
+def told(ids: np.ndarray, best: list) -> pd.DataFrame:
+    """(qid, fid, score) of what `best_of` has kept."""
+    sizes, none = [len(f) for _, f in best], [np.zeros(0)]
+    return pd.DataFrame({"qid": np.repeat(np.asarray(ids, np.int64), sizes), "fid": np.concatenate([f for _, f in best] + none).astype(np.int64), "score": np.concatenate([s for s, _ in best] + none)})
+
+
+def pieces(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """pdf in pieces of PIECE rows, so that what is made of them doesn't grow with a batch or a block."""
+    for lo in range(0, len(pdf), PIECE):
+        yield pdf.iloc[lo : lo + PIECE]
 
 
 def nearest(questions: DataFrame, fragments: DataFrame, k: int) -> DataFrame:
@@ -57,12 +78,12 @@ def nearest(questions: DataFrame, fragments: DataFrame, k: int) -> DataFrame:
         own, parts = -(-n // QUESTION_BLOCK), max(1, -(-fragments.count() // FRAGMENT_BLOCK))
 
         def block(key, asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
-            if len(asked) and len(found):
-                scores = np.round(_unit(asked["qv"]) @ _unit(found["fv"]).T, 6)
-                _best(asked["qid"], found["fid"].to_numpy(), scores, best, k)
-            rows = [pd.DataFrame({"qid": q, "fid": f, "score": s}) for q, (s, f) in zip(asked["qid"], best)]
-            return pd.concat(rows) if rows else pd.DataFrame({"qid": [], "fid": [], "score": []})
+            best, ids = [NONE] * len(asked), asked["qid"].to_numpy()
+            if len(asked):
+                vectors = _unit(asked["qv"])
+                for part in pieces(found):
+                    best_of(ids, vectors, part["fid"].to_numpy(), _unit(part["fv"]), best, k)
+            return told(ids, best)
 
         def dealt(df: DataFrame, key: str, mine: str, count: int, other: str, others: int) -> DataFrame:
             return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
@@ -72,17 +93,15 @@ def nearest(questions: DataFrame, fragments: DataFrame, k: int) -> DataFrame:
     rows = questions.orderBy("qid").collect()
     if not rows:
         return ranked(spark.createDataFrame([], schema), k)
-    shipped = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows])))
+    shipped = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), _unit([r[1] for r in rows])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = shipped.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        best = [NONE] * len(ids)
         for pdf in batches:
-            if not pdf.empty:
-                scores = np.round(vectors @ _unit(pdf["fv"]).T, 6)
-                _best(ids, pdf["fid"].to_numpy(), scores, best, k)
-        sizes = [len(f) for _, f in best]
-        yield pd.DataFrame({"qid": np.repeat(np.array(ids, np.int64), sizes), "fid": np.concatenate([f for _, f in best]), "score": np.concatenate([s for s, _ in best])})
+            for part in pieces(pdf):
+                best_of(ids, vectors, part["fid"].to_numpy(), _unit(part["fv"]), best, k)
+        yield told(ids, best)
 
     return ranked(fragments.mapInPandas(run, schema), k)
 

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import dot
-from tessera.operators.retrieval import FRAGMENT_BLOCK, QUESTION_BLOCK, _top, _unit, nearest, ranked
+from tessera.operators import retrieval
+from tessera.operators.retrieval import FRAGMENT_BLOCK, NONE, QUESTION_BLOCK, _unit, nearest, pieces, ranked
 from tessera.session import materialized
 
 #: Bounds of a cell index: cells, rows that centres are fitted on for each, questions that probes are calibrated with.
@@ -45,18 +46,13 @@ def keyed_nearest(asked: DataFrame, rows: DataFrame, key: str, k: int, scale: st
         return np.stack([np.frombuffer(b, np.int8) for b in pdf["fv"]]) * pdf[scale].to_numpy(float)[:, None]
 
     def best_of(qids: np.ndarray, qv: np.ndarray, pdf: pd.DataFrame, best: dict) -> None:
-        scores, fids = np.round(qv @ vectors(pdf).T, 6), pdf["fid"].to_numpy()
-        for i, q in enumerate(qids):
-            s, f = best.get(q, (np.zeros(0), np.zeros(0, np.int64)))
-            other = fids != q
-            s, f = np.concatenate([s, scores[i][other]]), np.concatenate([f, fids[other]])
-            at = _top(s, f, k)
-            best[q] = s[at], f[at]
+        for part in pieces(pdf):
+            mine = [best.get(q, NONE) for q in qids]
+            retrieval.best_of(qids, qv, part["fid"].to_numpy(), vectors(part), mine, k)
+            best.update(zip(qids, mine))
 
     def told(best: dict) -> pd.DataFrame:
-        sizes = [len(f) for _, f in best.values()]
-        empty = [np.zeros(0)]
-        return pd.DataFrame({"qid": np.repeat(np.array(list(best), np.int64), sizes), "fid": np.concatenate([f for _, f in best.values()] + empty).astype(np.int64), "score": np.concatenate([s for s, _ in best.values()] + empty)})
+        return retrieval.told(list(best), list(best.values()))
 
     if len(held := asked.filter(F.col(key) >= 0).select(key, "qid", "qv").limit(QUESTION_BLOCK + 1).collect()) <= QUESTION_BLOCK:
         by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
