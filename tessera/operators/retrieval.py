@@ -117,27 +117,33 @@ def pairs_of(text: str | None) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(t, t[1:])))
 
 
-def _postings(df: DataFrame, id_col: str, only=None) -> DataFrame:
-    """(id, n, pairs) of each text; with a broadcast set, only its pairs leave the task (n counts all)."""
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, in order; none of null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD.pattern), F.lit(0))
+
+
+def distinct_pairs(words: Column) -> Column:
+    """What `pairs_of` has of a text, of a column of its words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
-    def run(batches):
-        for pdf in batches:
-            own = [pairs_of(t) for t in pdf["text"]]
-            kept = own if only is None else [[p for p in x if p in only.value] for x in own]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in own], "pairs": kept})
 
-    return df.select(F.col(id_col).alias("id"), F.col("text")).mapInPandas(run, "id long, n long, pairs array<string>")
+def _postings(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, n, pair) of each text, in expressions: nothing but one text's words and pairs is held, and no Python runs."""
+    pairs = df.select(F.col(id_col).cast("long").alias("id"), words_of(F.col("text")).alias("words")).select("id", distinct_pairs(F.col("words")).alias("pairs"))
+    # outer: else the optimizer adds a filter by the array's size below, which makes words and pairs once more for each use of them
+    return pairs.select("id", F.size("pairs").cast("long").alias("n"), F.explode_outer("pairs").alias("pair")).filter("pair IS NOT NULL")
 
 
-def postings(fragments: DataFrame, fid: str = "doc_id", only=None) -> DataFrame:
-    """(fid, nf, pair): the inverted index of fragments."""
-    return _postings(fragments, fid, only).select(F.col("id").alias("fid"), F.col("n").alias("nf"), F.explode("pairs").alias("pair"))
+def postings(fragments: DataFrame, fid: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
+    """(fid, nf, pair): the inverted index of fragments; with `only` (pair), which is broadcast, of no other pairs (nf counts all)."""
+    rows = _postings(fragments, fid).select(F.col("id").alias("fid"), F.col("n").alias("nf"), "pair")
+    return rows if only is None else rows.join(F.broadcast(only), "pair", "left_semi")
 
 
 def asked(questions: DataFrame, qid: str = "item_id") -> DataFrame:
     """(qid, nq, pair) of questions, written, as their pairs are looked at and joined."""
-    q = _postings(questions, qid).select(F.col("id").alias("qid"), F.col("n").alias("nq"), F.explode("pairs").alias("pair"))
-    return materialized(q, "asked")
+    return materialized(_postings(questions, qid).select(F.col("id").alias("qid"), F.col("n").alias("nq"), "pair"), "asked")
 
 
 def shared(asked: DataFrame, index: DataFrame, *version: str) -> DataFrame:
@@ -151,15 +157,15 @@ def pair_scores(shared: DataFrame, *version: str) -> DataFrame:
     )
 
 
-def _shipped(pairs: DataFrame):
-    """The distinct pairs as a broadcast set, None if there are more than PAIRS_SHIPPED."""
-    own = [r["pair"] for r in pairs.select("pair").distinct().limit(PAIRS_SHIPPED + 1).collect()]
-    return pairs.sparkSession.sparkContext.broadcast(frozenset(own)) if len(own) <= PAIRS_SHIPPED else None
+def shipped(pairs: DataFrame) -> DataFrame | None:
+    """The distinct pairs, to be broadcast; None if there are more than PAIRS_SHIPPED."""
+    own = pairs.select("pair").distinct()
+    return own if own.limit(PAIRS_SHIPPED + 1).count() <= PAIRS_SHIPPED else None
 
 
 def indexed(questions: DataFrame, fragments: DataFrame, qid: str = "item_id", fid: str = "doc_id") -> DataFrame:
     """Stored postings of the fragments for all word pairs of the questions: one pass over texts for `lexical` and `holders`."""
-    return materialized(postings(fragments, fid, _shipped(asked(questions, qid))), "postings")
+    return materialized(postings(fragments, fid, shipped(asked(questions, qid))), "postings")
 
 
 def lexical(questions: DataFrame, fragments: DataFrame, k: int, qid: str = "item_id", fid: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
@@ -171,7 +177,7 @@ def lexical(questions: DataFrame, fragments: DataFrame, k: int, qid: str = "item
     streaming.page_index has the same over a stored index.
     """
     q = asked(questions, qid)
-    return ranked(pair_scores(shared(q, postings(fragments, fid, _shipped(q)) if index is None else index)), k)
+    return ranked(pair_scores(shared(q, postings(fragments, fid, shipped(q)) if index is None else index)), k)
 
 
 def shared_pairs_scorer() -> Callable[[list[tuple[str, str]]], list[float]]:
@@ -194,13 +200,9 @@ def holders(questions: DataFrame, fragments: DataFrame, qid: str = "item_id", fi
     are looked up by the rarest of those pairs and then compared. Questions without such a pair, of three words or fewer, are
     looked for in every text by one search automaton in the tasks that read fragments (up to PAIRS_SHIPPED of them, else joined).
     """
-    def run(batches):
-        for pdf in batches:
-            own = [WORD.findall(t.lower())[1:-1] for t in pdf["item"]]
-            yield pdf.assign(inner=[list(dict.fromkeys(f"{a} {b}" for a, b in zip(t, t[1:]))) for t in own])
-
-    rows = questions.select(F.col(qid).alias("qid"), F.col("text").alias("item")).filter("item != ''")
-    rows = materialized(rows.mapInPandas(run, "qid long, item string, inner array<string>"), "items")
+    rows = questions.select(F.col(qid).cast("long").alias("qid"), F.col("text").alias("item")).filter("item != ''").withColumn("words", words_of(F.col("item")))
+    inner = rows.withColumn("words", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))))
+    rows = materialized(inner.select("qid", "item", distinct_pairs(F.col("words")).alias("inner")), "items")
     texts = fragments.select(F.col(fid).alias("fid"), F.col("text").alias("body"))
     own = rows.select("qid", F.explode("inner").alias("pair"))
     found_in = (indexed(questions, fragments, qid, fid) if index is None else index).drop("nf").join(own.select("pair").distinct(), "pair", "left_semi")
@@ -218,21 +220,22 @@ def _containing(items: DataFrame, texts: DataFrame) -> DataFrame:
         return texts.sparkSession.createDataFrame([], "qid long, fid long")
     if len(some) > PAIRS_SHIPPED:
         return items.join(texts, F.contains("body", "item")).select("qid", "fid")
-    shipped = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in some])
+    known = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in some])
 
     def run(batches):
         import ahocorasick
 
         by_item: dict[str, list[int]] = {}
-        for q, item in shipped.value:
+        for q, item in known.value:
             by_item.setdefault(item, []).append(q)
         search = ahocorasick.Automaton()
         for item in by_item:
             search.add_word(item, item)
         search.make_automaton()
         for pdf in batches:
-            hits = [(q, f) for f, body in zip(pdf["fid"], pdf["body"]) for item in {x for _, x in search.iter(body or "")} for q in by_item[item]]
-            yield pd.DataFrame(hits, columns=["qid", "fid"])
+            for part in pieces(pdf):
+                hits = [(q, f) for f, body in zip(part["fid"], part["body"]) for item in {x for _, x in search.iter(body or "")} for q in by_item[item]]
+                yield pd.DataFrame(hits, columns=["qid", "fid"])
 
     return texts.mapInPandas(run, "qid long, fid long")
 
