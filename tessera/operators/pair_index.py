@@ -28,12 +28,13 @@ def _band(nf: Column) -> Column:
 
 
 def write_by_length(fragments: DataFrame, path: str, fid: str = "doc_id") -> None:
-    """Postings of (fid, text) by band, sorted by pair within files, and the directory (pair, band, n, lo). Ids must be unique.
+    """Postings of (fid, text) by band, and the directory (pair, band, n, lo). Ids must be unique.
 
     Null texts and texts of fewer than two words have no postings.
     """
     rows = retrieval.postings(fragments, fid).select("pair", "fid", "nf", _band(F.col("nf")).alias("band"))
-    rows.repartitionByRange("band", "pair", "fid").sortWithinPartitions("band", "pair", "fid").write.mode("overwrite").partitionBy("band").parquet(f"{path}/postings")
+    # from where texts are read: a search joins on pairs, which an order by pair or a shuffle wouldn't spare it to read
+    rows.write.mode("overwrite").partitionBy("band").parquet(f"{path}/postings")
     own = fragments.sparkSession.read.schema(POSTING).parquet(f"{path}/postings")
     own.groupBy("pair", "band").agg(F.count("*").alias("n"), F.min("nf").alias("lo")).write.mode("overwrite").parquet(f"{path}/directory")
 
@@ -46,12 +47,17 @@ def search(questions: DataFrame, path: str, k: int, qid: str = "item_id") -> tup
     """Candidates exactly as `retrieval.lexical` finds them, and (step, postings): how many postings each step reads.
 
     Steps: all (every posting of the questions' pairs, for comparison), first, rare, and looked_up (at most so many). Nothing but that
-    report's four numbers depends on a count at the driver; a question's plan has a row for each of its pairs and bands.
+    report's four numbers depends on a count at the driver, save whether pairs are broadcast (up to retrieval.PAIRS_SHIPPED of them, so that
+    postings of others leave no task); a question's plan has a row for each of its pairs and bands.
     """
     spark: SparkSession = questions.sparkSession
     postings = spark.read.schema(POSTING).parquet(f"{path}/postings")
     directory = spark.read.parquet(f"{path}/directory")
-    plan = retrieval.asked(questions, qid).join(directory, "pair")
+    asked = retrieval.asked(questions, qid)
+    own = retrieval.shipped(asked)
+    if own is not None:
+        postings, directory = (x.join(F.broadcast(own), "pair", "left_semi") for x in (postings, directory))
+    plan = asked.join(directory, "pair")
     bands = plan.groupBy("qid", "band").agg(F.sum("n").alias("n_band"), F.count("*").alias("own"), F.min("lo").alias("lo"))
     ahead = F.coalesce(F.sum("n_band").over(Window.partitionBy("qid").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bands = bands.withColumn("first", ahead < F.greatest(F.lit(k), FIRST * F.sum("n_band").over(Window.partitionBy("qid"))))
