@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, quality, substring_dedup
-from tessera.llm.common import free_name, stored, table
+from tessera.llm.common import Tables, free_name, hash_test, stored, table
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    docs = quality.described(docs)
-    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    tables = Tables(spark)
+    model = quality.fit(quality.described(docs, keep_text=False, store=tables.stored), table(spark, sf_dir, "labels"))
+    tables.remove()
+    # texts are read again rather than kept beside the views while the later stages run
+    return quality.keep_good(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +28,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = ngram_join.near_duplicate_groups(docs, words=5, num=4, den=5)
     name = free_name("gone", docs.columns)
     gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias(name))
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    own = [F.col("doc_id").cast("long")]
+    unsure = hash_test(docs, own, gone).join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    return hash_test(docs, own, gone, "left_anti").unionByName(unsure)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

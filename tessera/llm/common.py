@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of the largest map that hash_test broadcasts; with more keys it lets more other rows through.
+MOST_CELLS = 1 << 25
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process."""
@@ -51,10 +54,30 @@ class Tables:
         self.paths.append(new_path(self.spark, label))
         return written(df, self.paths[-1])
 
-    def remove(self) -> None:
-        for path in self.paths:
+    def remove(self, *labels: str) -> None:
+        """Delete the tables of these labels (all, if none is named)."""
+        gone = [p for p in self.paths if not labels or p.rsplit("/", 1)[1] in labels]
+        for path in gone:
             removed(self.spark, path)
-        self.paths = []
+        self.paths = [p for p in self.paths if p not in gone]
+
+
+def hash_test(rows: DataFrame, on: list[Column], keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose `on` may be among the rows of keys: all that are, and few others (with left_anti: the rest, none of which is).
+
+    A bit map of hashes, sized by the number of keys and of 4 MB at most, is broadcast, so that a join which then decides has
+    few rows to shuffle. `on` has the types of keys' columns.
+    """
+    cells = min(MOST_CELLS, 64 << (keys.count() // 4).bit_length())
+    word, bits = free_name("hash_word", rows.columns), free_name("hash_bits", rows.columns)
+
+    def cell(*values: Column) -> Column:
+        return F.pmod(F.xxhash64(*values), F.lit(cells).cast("long"))
+
+    at = cell(*(F.col(k) for k in keys.columns))
+    known = keys.select(F.shiftright(at, 6).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    own = cell(*on)
+    return rows.join(F.broadcast(known), (F.shiftright(own, 6) == F.col(word)) & (F.getbit(F.col(bits), own.bitwiseAND(63).cast("int")) == 1), how)
 
 
 def free_name(name: str, taken: list[str]) -> str:

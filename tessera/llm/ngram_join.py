@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Tables, partitions, stored, text_or_empty
+from tessera.llm.common import Tables, hash_test, partitions, stored, text_or_empty
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import binary_column, shingle_sets, slices
 
@@ -200,12 +200,14 @@ def _signatures_agree(n1: Column, n2: Column, s1: Column, s2: Column, num: int,
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose overlap, counted per fragment and summed, reaches num / den of their union."""
+    """Pairs whose overlap, counted per fragment and summed, reaches num / den of their union. pairs is read several times."""
     shift = 64 - (PAIR_FRAGMENTS.bit_length() - 1)
-    cut = sets.select("c", "n", F.explode(F.sequence(F.lit(0), F.lit(PAIR_FRAGMENTS - 1))).alias("f"), "grams")
-    cut = cut.select("c", "n", "f", F.expr(f"filter(grams, g -> shiftrightunsigned(g, {shift}) = f)").alias("grams"))
-    both = pairs.join(cut.select(F.col("c").alias("x"), F.col("n").alias("nx"), "f", F.col("grams").alias("a")), "x")
-    both = both.join(cut.select(F.col("c").alias("y"), F.col("n").alias("ny"), "f", F.col("grams").alias("b")), ["y", "f"])
+
+    def cut(side: str, n: str, grams: str) -> DataFrame:
+        own = hash_test(sets, [F.col("c")], pairs.select(side)).select("c", "n", F.explode(F.sequence(F.lit(0), F.lit(PAIR_FRAGMENTS - 1))).alias("f"), "grams")
+        return own.select(F.col("c").alias(side), F.col("n").alias(n), "f", F.expr(f"filter(grams, g -> shiftrightunsigned(g, {shift}) = f)").alias(grams))
+
+    both = pairs.join(cut("x", "nx", "a"), "x").join(cut("y", "ny", "b"), ["y", "f"])
     parts = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("a", "b")).alias("part"))
     summed = parts.groupBy("x", "y", "nx", "ny").agg(F.sum("part").alias("common"))
     return summed.filter(F.col("common") * den >= (F.col("nx") + F.col("ny") - F.col("common")) * num).select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -269,7 +271,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     tables = Tables(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     described = tables.stored(rows.mapInArrow(_described(words, num, den), "id long, n long, key binary, head binary"), "described")
-    ids = described.filter("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("key", "n")).alias("s"), F.count("*").alias("rows"))
+    keys = tables.stored(described.select("id", "n", "key"), "keys")
+    ids = keys.filter("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("key", "n")).alias("s"), F.count("*").alias("rows"))
     ids = tables.stored(ids.select("id", "s.key", "s.n", "rows"), "ids")
     classes = tables.stored(ids.groupBy("key").agg(F.min("id").alias("c"), F.first("n").alias("n")), "classes")
     facts = classes.agg(F.sum("n").alias("grams")).crossJoin(ids.agg(F.max("rows").alias("rows"))).first()
@@ -278,15 +281,21 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
     share = (den - num) / den + 1 / EXTRA
     fragments = max(4, partitions(spark), int((facts["grams"] or 0) * share) // FRAGMENT_GRAMS + 1)
     width = int(min(1.0, share * fragments / (fragments - 1)) * (1 << 64)) // fragments
-    heads = described.select("id", F.col("key").alias("own"), "head").join(classes, (F.col("id") == F.col("c")) & (F.col("own") == F.col("key")))
-    heads = heads.select("c", "n", "head")
-    heads = (heads.dropDuplicates(["c"]) if repeated else heads).sortWithinPartitions("c")  # a retried task must deal the same blocks
+    heads = described.filter("n > 0 and id is not null").select(F.col("id").alias("c"), "n", "key", "head")
+    first = classes.select("c", "key")
+    if repeated:
+        heads = heads.join(first, ["c", "key"], "left_semi").dropDuplicates(["c"])
+    else:
+        copies = tables.stored(ids.select(F.col("id").alias("c"), "key").join(first, ["c", "key"], "left_anti").select("c"), "copies")
+        heads = hash_test(heads, [F.col("c")], copies, "left_anti").unionByName(hash_test(heads, [F.col("c")], copies).join(copies, "c", "left_anti"))
+    heads = heads.select("c", "n", "head").sortWithinPartitions("c")  # a retried task must deal the same blocks
     dealt = heads.mapInArrow(_dealt(fragments, width), "f int, block long, who binary, counts binary, grams binary, c binary, n binary")
     partial = dealt.groupBy("f").applyInPandas(_partial, "block long, who binary, found binary, c binary, n binary")
     left = tables.stored(partial.groupBy("block").applyInPandas(_summed(num, den), "c long, n long").distinct(), "left")
+    tables.remove("described")
     # 2. the sets of the classes left
     kept = left.select("c").join(classes.select("c", "key"), "c")
-    texts = rows.join(kept, F.col("id") == F.col("c")).select("c", "text", F.col("key").alias("own"))
+    texts = hash_test(rows, [F.col("id")], left.select("c")).join(kept, F.col("id") == F.col("c")).select("c", "text", F.col("key").alias("own"))
     sets = texts.select("c", "text").mapInArrow(_sets(words), "c long, key binary, n long, grams array<long>, sig array<long>")
     if repeated:
         sets = sets.join(kept, ["c", "key"], "left_semi").dropDuplicates(["c"])
@@ -303,14 +312,14 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
             names = connected_components(links, None if last else 1).withColumnRenamed("node", "c")
             known = posted.join(names, "c", "left").select("g", "c", "n", "rest", F.coalesce("component", "c").alias("comp"))
         pairs = _paired(known, signed, tables, num, den) if last else _may_link(_starred(known, tables, num, den, largest=step == 1), signed, num, den)
-        found = _verified(pairs, sets, num, den)
+        found = _verified(tables.stored(pairs, "candidates"), sets, num, den)
         links = tables.stored(links.unionByName(found) if links is not None else found, "pairs")
     component = connected_components(links)
     # one row per document
     named = ids.select("id", "key").join(classes.select("key", "c"), "key").join(component, F.col("c") == F.col("node"), "left")
     named = named.select(F.col("id").alias("_id"), F.coalesce("component", "c").alias("component"))
-    wordy = described.filter("n > 0 and id is not null").select("id", "n").join(named, F.col("id") == F.col("_id"))
-    rest = described.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
+    wordy = keys.filter("n > 0 and id is not null").select("id", "n").join(named, F.col("id") == F.col("_id"))
+    rest = keys.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
     out = wordy.select("id", "n", "component").unionByName(rest)
     # the result is small; written, it leaves nothing that still reads the sets and postings
     out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "groups")

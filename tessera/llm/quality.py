@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.common import bounded_draw, stored, text_or_empty
 
@@ -212,10 +213,8 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *arrays]).astype(kind)))
 
 
-def described(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs, a hash of each text and what the views see of each row, written; docs that are described already as they are."""
-    if VIEW in docs.columns:
-        return docs
+def _asked(docs: DataFrame, text_col: str, keep_text: bool) -> tuple[DataFrame, list[str], StructType]:
+    """What the views read, the columns of docs among it that stay, and the columns of described rows."""
 
     def column(name, kind):
         return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(f"tessera_{name}")
@@ -226,7 +225,10 @@ def described(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -
         column("source", "string"), column("lang", "string"), column("n_chars", "double"),
     )
     schema = asked.select(*(F.col(f"`{c}`") for c in own), HASH, F.lit(None).cast(VIEW_TYPE).alias(VIEW)).schema
+    return asked, own, schema
 
+
+def _views(own: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in _slices(batches):
@@ -240,14 +242,19 @@ def described(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -
             view = pa.StructArray.from_arrays([_lists(at, np.int16), _lists(value, np.float32)], names=["at", "value"])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*own, HASH)), view], names=[*own, HASH, VIEW])
 
-    return stored(asked.mapInArrow(run, schema), "described")
+    return run
+
+
+def described(docs: DataFrame, text_col: str = "text", keep_text: bool = True, store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """docs, a hash of each text and what the views see of each row, written; docs that are described already as they are."""
+    if VIEW in docs.columns:
+        return docs
+    asked, own, schema = _asked(docs, text_col, keep_text)
+    return store(asked.mapInArrow(_views(own), schema), "described")
 
 
-def _logits(rows: DataFrame, content: np.ndarray, meta: np.ndarray) -> DataFrame:
-    """Described rows with both views' weighted sums, as two columns in place of VIEW."""
+def _weighed(own: list[str], content: np.ndarray, meta: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     both = np.r_[content, np.zeros(META_DIM)], np.r_[np.zeros(CONTENT_DIM), meta]
-    own = [c for c in rows.columns if c != VIEW]
-    schema = rows.select(*(F.col(f"`{c}`") for c in own), *(F.lit(None).cast("double").alias(c) for c in LOGITS)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -258,7 +265,26 @@ def _logits(rows: DataFrame, content: np.ndarray, meta: np.ndarray) -> DataFrame
             sums = [pa.array(np.bincount(row, w[columns] * values, len(at))) for w in both]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *sums], names=[*own, *LOGITS])
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def _logits(rows: DataFrame, content: np.ndarray, meta: np.ndarray, text_col: str = "text") -> DataFrame:
+    """Rows with both views' weighted sums, as two columns in place of VIEW; rows that aren't described yet are so on the way."""
+    steps = []
+    if VIEW not in rows.columns:
+        rows, own, schema = _asked(rows, text_col, True)
+        steps.append(_views(own))
+    else:
+        schema = rows.schema
+    own = [f for f in schema if f.name != VIEW]
+    steps.append(_weighed([f.name for f in own], content, meta))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return rows.mapInArrow(run, StructType([*own, *(StructField(c, DoubleType()) for c in LOGITS)]))
 
 
 def _dense(at: pd.Series, value: pd.Series) -> np.ndarray:
@@ -333,10 +359,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return co_train(_dense(sample["at"], sample["value"]), y, _picker(rows.join(F.broadcast(learnt), HASH, "left_anti")))
 
 
-def _judged(docs: DataFrame, model: Model, text_col: str, keep_text: bool) -> DataFrame:
-    """Described docs with the views' calibrated logits and the joint score."""
+def _judged(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """docs, described or not, with the views' calibrated logits and the joint score."""
     (a, b), (c, d), (e, f, g) = model.content_scale, model.meta_scale, model.joint
-    rows = _logits(described(docs, text_col, keep_text), model.content, model.meta)
+    rows = _logits(docs, model.content, model.meta, text_col)
     first, second = F.col(LOGITS[0]) * a + b, F.col(LOGITS[1]) * c + d
 
     def probability(z):
@@ -356,15 +382,18 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         void = F.lit(None).cast("double")
         return docs.select(F.col(id_col).cast("long").alias(id_col), void.alias("content_score"), void.alias("meta_score"), void.alias("score"), F.lit(True).alias("kept"))
     p = F.col("tessera_p")
-    return _judged(docs, model, text_col, False).select(
+    return _judged(described(docs, text_col, False), model, text_col).select(
         F.col(id_col).cast("long").alias(id_col), p["content"].alias("content_score"), p["meta"].alias("meta_score"), p["score"].alias("score"),
         (p["score"] >= model.threshold).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The documents the classifier keeps, with all their columns. Rows without id are kept as scored by their text."""
+    """The documents the classifier keeps, with all their columns. Rows without id are kept as scored by their text.
+
+    Of docs that aren't described, the views are made in the same pass and nothing is written.
+    """
     own = [F.col(f"`{c}`") for c in docs.columns if c not in (HASH, VIEW)]
     if model is None:
         return docs.select(*own)
-    return _judged(docs, model, text_col, True).filter(F.col("tessera_p.score") >= model.threshold).select(*own)
+    return _judged(docs, model, text_col).filter(F.col("tessera_p.score") >= model.threshold).select(*own)
