@@ -3,8 +3,8 @@
 The content view reads the text (words, signs, repetition), the metadata view reads what else a row says (source, language,
 length). Both start from the labelled rows; in each round each view judges all other documents and hands some of those it is
 sure of, with its label, to the other. Their calibrated probabilities are then joined by a third, small model, and every
-document is scored. Texts are read once: what the views see of them is written as sparse rows, which the rounds and the
-scores read.
+document is scored. What the views see of the texts is written as sparse rows, which the rounds read, and the scores too,
+except where documents are filtered: these are read again, so that no copy of their texts is written.
 """
 
 from __future__ import annotations
