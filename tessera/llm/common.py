@@ -65,7 +65,7 @@ class Tables:
 def hash_test(rows: DataFrame, on: list[Column], keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows whose `on` may be among the rows of keys: all that are, and few others (with left_anti: the rest, none of which is).
 
-    A bit map of hashes, sized by the number of keys and of 4 MB at most, is broadcast, so that a join which then decides has
+    A bit map of hashes, sized by the number of keys and of 4 MB at most (8 MB as rows of a number and its bits), is broadcast, so that a join which then decides has
     few rows to shuffle. `on` has the types of keys' columns.
     """
     cells = min(MOST_CELLS, 64 << (keys.count() // 4).bit_length())
