@@ -312,9 +312,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, num: int = 4, den: in
             names = connected_components(links, None if last else 1).withColumnRenamed("node", "c")
             known = posted.join(names, "c", "left").select("g", "c", "n", "rest", F.coalesce("component", "c").alias("comp"))
         pairs = _paired(known, signed, tables, num, den) if last else _may_link(_starred(known, tables, num, den, largest=step == 1), signed, num, den)
-        found = _verified(tables.stored(pairs, "candidates"), sets, num, den)
-        links = tables.stored(links.unionByName(found) if links is not None else found, "pairs")
-    component = connected_components(links)
+        found = tables.stored(_verified(tables.stored(pairs, "candidates"), sets, num, den), "pairs")
+        links = found if links is None else links.unionByName(found)
+    # names hold the links of the first two steps, all settled; what the last step found joins some of them
+    component = names if found.isEmpty() else connected_components(names.select(F.col("c").alias("u"), F.col("component").alias("v")).unionByName(found))
+    component = component.toDF("node", "component")
     # one row per document
     named = ids.select("id", "key").join(classes.select("key", "c"), "key").join(component, F.col("c") == F.col("node"), "left")
     named = named.select(F.col("id").alias("_id"), F.coalesce("component", "c").alias("component"))

@@ -121,7 +121,7 @@ def _sigmoid(z):
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
     """Weights of a ridge logistic regression, by accelerated gradient steps."""
-    x, weight, y = (a.astype(np.float32) for a in (x, weight, y))
+    x, weight, y = (a.astype(np.float32, copy=False) for a in (x, weight, y))
     n = weight.sum()
     rate = np.float32(4 / max(1e-9, float(weight @ np.einsum("ij,ij->i", x, x)) / n))
     w = v = np.zeros(x.shape[1], np.float32)
@@ -180,7 +180,7 @@ def co_train(x: np.ndarray, y: np.ndarray, pick: Pick, rounds: int = ROUNDS, han
     good = round(handed_texts * base)
     views = slice(0, CONTENT_DIM), slice(CONTENT_DIM, None)
     # what each view may learn from: its own copy of the labelled rows, and what the other view hands over
-    taught = [(x[fit][:, v], y[fit], np.ones(fit.sum())) for v in views]
+    taught = [(x[fit, v], y[fit], np.ones(fit.sum())) for v in views]
     handed = []
     for turn in range(rounds + 1):
         weights = [fit_logistic(rows, to, np.where(to > 0.5, 0.5 / base, 0.5 / (1 - base)) * weight) for rows, to, weight in taught]
@@ -191,7 +191,7 @@ def co_train(x: np.ndarray, y: np.ndarray, pick: Pick, rounds: int = ROUNDS, han
             old = taught[other]
             taught[other] = np.concatenate([old[0], rows[:, views[other]]]), np.r_[old[1], to], np.r_[old[2], np.full(len(to), 0.3)]
         handed.append(tuple(len(to) for _, to in given))
-    z = [x[held][:, v] @ w for v, w in zip(views, weights)]
+    z = [x[held, v] @ w for v, w in zip(views, weights)]
     scale = [fit_scale(v, y[held]) for v in z]
     first, second = (a * v + b for v, (a, b) in zip(z, scale))
     w = fit_logistic(np.stack([first, second, np.ones(len(first))], axis=1), y[held], np.ones(held.sum()), ridge=1e-3)
@@ -287,16 +287,24 @@ def _logits(rows: DataFrame, content: np.ndarray, meta: np.ndarray, text_col: st
     return rows.mapInArrow(run, StructType([*own, *(StructField(c, DoubleType()) for c in LOGITS)]))
 
 
-def _dense(at: pd.Series, value: pd.Series) -> np.ndarray:
-    out = np.zeros((len(at), CONTENT_DIM + META_DIM), np.float32)
-    for i, (a, v) in enumerate(zip(at, value)):
-        out[i, np.asarray(a, int)] = v
+def _dense(table: pa.Table) -> np.ndarray:
+    """A dense row of each of table's sparse ones."""
+    out, row = np.zeros((len(table), CONTENT_DIM + META_DIM), np.float32), 0
+    for batch in table.select(["at", "value"]).to_batches(100):
+        at, value = batch.column("at"), batch.column("value")
+        lengths = np.diff(at.offsets.to_numpy())
+        out[row + np.repeat(np.arange(len(at)), lengths), at.flatten().to_numpy()] = value.flatten().to_numpy()
+        row += len(batch)
     return out
 
 
-def _one_each(rows: DataFrame, *by: str) -> pd.DataFrame:
-    """One row of VIEW for each value of `by`, whatever the number of copies; callers bound the number of values."""
-    return rows.groupBy(*by).agg(F.max(F.struct(HASH, VIEW)).alias("v")).select(*by, F.col(f"v.{HASH}").alias("text"), f"v.{VIEW}.at", f"v.{VIEW}.value").orderBy(*by).toPandas()
+def _one_each(rows: DataFrame, *by: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """For each value of `by` one row, whatever the number of copies: `by` and the text's hash, and what the views see, dense.
+
+    Callers bound the number of values. It comes as Arrow columns, as rows of Python objects take the driver many times the memory.
+    """
+    found = rows.groupBy(*by).agg(F.max(F.struct(HASH, VIEW)).alias("v")).select(*by, F.col(f"v.{HASH}").alias("text"), f"v.{VIEW}.at", f"v.{VIEW}.value").toArrow()
+    return found.select([*by, "text"]).to_pandas(), _dense(found)
 
 
 def _hashes(spark: SparkSession, values: set) -> DataFrame:
@@ -331,8 +339,8 @@ def _picker(rows: DataFrame) -> Pick:
             chosen[name] = pd.concat([new[new[name] == label].head(sizes[label]) for label in (0, 1)])
             known.update(chosen[name][HASH].tolist())
         wanted = _hashes(spark, {h for c in chosen.values() for h in c[HASH]})
-        found = _one_each(rows.join(F.broadcast(wanted), HASH), HASH)
-        x, place = _dense(found["at"], found["value"]), {h: i for i, h in enumerate(found[HASH])}
+        found, x = _one_each(rows.join(F.broadcast(wanted), HASH), HASH)
+        place = {h: i for i, h in enumerate(found[HASH])}
         return [(x[[place[h] for h in c[HASH]]], c[name].to_numpy(float)) for name, c in chosen.items()]
 
     return pick
@@ -349,14 +357,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = rows.select("id").filter("id is not null").distinct()
     # the drawn ids first: views are read for them only
     drawn = stored(bounded_draw(ids.join(known, ids["id"] == known["lid"]).select("id", "label"), "id", labelled, 23), "drawn")
-    sample = _one_each(rows.join(F.broadcast(drawn), "id"), "id", "label")
+    sample, x = _one_each(rows.join(F.broadcast(drawn), "id"), "id", "label")
     # in the order of the draw, so that what is held back is not a matter of ids
     sample = sample.assign(at_draw=[_bucket(str(i), 1 << 30) for i in sample["id"]]).sort_values(["at_draw", "id"])
-    y = sample["label"].to_numpy(float)
+    x, y = x[sample.index], sample["label"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return None
     learnt = _hashes(docs.sparkSession, set(sample["text"]))
-    return co_train(_dense(sample["at"], sample["value"]), y, _picker(rows.join(F.broadcast(learnt), HASH, "left_anti")))
+    return co_train(x, y, _picker(rows.join(F.broadcast(learnt), HASH, "left_anti")))
 
 
 def _judged(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
