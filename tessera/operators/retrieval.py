@@ -148,7 +148,12 @@ def asked(questions: DataFrame, qid: str = "item_id") -> DataFrame:
 
 def shared(asked: DataFrame, index: DataFrame, *version: str) -> DataFrame:
     """How many pairs a question and a fragment (of a version) share."""
-    return asked.join(index, "pair").groupBy("qid", "fid", *version, "nq", "nf").agg(F.count("*").alias("shared"))
+    return counted(asked.join(index, "pair"), *version)
+
+
+def counted(found: DataFrame, *version: str) -> DataFrame:
+    """`shared`, of a row for each pair that a question and a fragment share."""
+    return found.groupBy("qid", "fid", *version, "nq", "nf").agg(F.count("*").alias("shared"))
 
 
 def pair_scores(shared: DataFrame, *version: str) -> DataFrame:

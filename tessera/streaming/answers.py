@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Settings
 from tessera.operators import gate, retrieval
+from tessera.session import materialized
 from tessera.streaming import page_index
 
+#: So many hits of a batch of questions are broadcast at most.
+HITS_SHIPPED = 1 << 19
+
 
 def _from(candidates: DataFrame, requests: DataFrame, pages: DataFrame, version: list[str], answerer: Callable, settings: Settings) -> DataFrame:
     top = retrieval.reranked(candidates, settings.top_k)
-    hits = top.select("qid", F.col("final_rank").alias("rank"), F.col("pair_score").alias("score"), F.col("fid").alias("doc_id"), *version)
-    passed = gate.above(hits, settings.threshold).join(pages, ["doc_id", *version])
+    hits = materialized(top.select("qid", F.col("final_rank").alias("rank"), F.col("pair_score").alias("score"), F.col("fid").alias("doc_id"), *version), "hits")
+    passed = gate.above(hits, settings.threshold)
+    # pages stay where they are, unless hits are too many to be sent to them
+    passed = pages.join(F.broadcast(passed) if passed.count() <= HITS_SHIPPED else passed, ["doc_id", *version])
     prompt = gate.prompts(requests, gate.contexts(passed))
     return gate.classified(gate.gated(requests, hits, settings.threshold), gate.answered(prompt, answerer), settings)
 
